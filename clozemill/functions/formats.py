@@ -40,9 +40,8 @@ def format_metric(c: Column) -> Column:
     special = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(
         c == float("-inf"), "-inf"
     )
-    return F.coalesce(
-        special, F.when(size < _EXACT_BELOW, exact).otherwise(F.format_string("%.4f", c))
-    )
+    large = F.when(size >= _EXACT_BELOW, F.format_string("%.4f", c))
+    return F.coalesce(special, F.when(size < _EXACT_BELOW, exact), large)
 
 
 def format_hms(seconds: Column) -> Column:

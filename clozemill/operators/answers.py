@@ -118,7 +118,7 @@ def top_answers(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
-    max_answers: int = fv.DEFAULT_MAX_ANSWERS,
+    max_answers: int | None = fv.DEFAULT_MAX_ANSWERS,
 ) -> DataFrame:
     """Ranked answers: key, rank, answer_text, answer_kind, answer_score, source_sentence."""
     kinds = F.array(*[F.lit(kind) for kind, _ in fv.TIERS])
@@ -127,8 +127,9 @@ def top_answers(
     # The generator reads an expression, not a bare column: from a bare column
     # Catalyst infers "size > 0" and pushes it, with the whole chain copied
     # into it, below every projection.
+    wanted = F.size("ranked") if max_answers is None else F.lit(max_answers)
     return mined.select(
-        key, "sentences", F.posexplode(F.slice("ranked", 1, max_answers)).alias("pos", "answer")
+        key, "sentences", F.posexplode(F.slice("ranked", F.lit(1), wanted)).alias("pos", "answer")
     ).select(
         key,
         (F.col("pos") + 1).alias("rank"),
@@ -174,3 +175,8 @@ def extracted(
     return found.select(
         key, "sent_idx", F.posexplode(F.slice("f", 1, F.size("f"))).alias("match_idx", "answer_text")
     )
+
+
+def distinct_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All candidates after deduplication, with their place in the ranking."""
+    return top_answers(docs, key, text, max_answers=None)

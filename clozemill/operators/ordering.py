@@ -79,3 +79,14 @@ def with_dense_index(
     """Adds 0, 1, 2, … in the order of a bigint column."""
     counted = {name: ("sum", F.lit(1).cast("bigint"))}
     return with_running(df, order, counted, by, inclusive=False, width=width, then_by=then_by)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Repartitions only a table that arrives in fewer pieces than there are cores.
+
+    Work inside the row has no shuffle that would spread it, so a small file
+    with one row group would keep one core busy. A large table has more splits
+    than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clozemill import fixed_values as fv
 from clozemill.functions.questions import clean_question, is_valid_question, template_question
@@ -71,7 +72,7 @@ def batch_generate(
     """
     settings = {**fv.GENERATION_DEFAULTS, **(config or {})}
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def generate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         generator = make_generator()
         for batch in batches:

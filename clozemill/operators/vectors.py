@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Vectors per block. A block and a block pair are one row each, so this bounds
 # what a task holds at a time, however many tokens one pair has.
@@ -18,7 +19,14 @@ def _unit(vectors) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-@F.pandas_udf("of_prediction array<double>, of_reference array<double>")
+_DOUBLES = T.ArrayType(T.DoubleType())
+
+
+@F.pandas_udf(
+    T.StructType(
+        [T.StructField("of_prediction", _DOUBLES), T.StructField("of_reference", _DOUBLES)]
+    )
+)
 def _best_cosines(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b in zip(prediction, reference):
@@ -68,10 +76,15 @@ def embedding_match(
             _best_cosines("prediction", "reference").alias("best"),
         )
     )
+
+    def side(label: str, block: str, cosines: str) -> Column:
+        return F.struct(
+            F.lit(label).alias("side"), F.col(block).alias("block"), F.col(cosines).alias("cosines")
+        )
+
     sides = F.array(
-        F.struct(F.lit("p").alias("side"), F.col("prediction_block").alias("block"),
-                 F.col("best.of_prediction").alias("cosines")),
-        F.struct(F.lit("r"), F.col("reference_block"), F.col("best.of_reference")),
+        side("p", "prediction_block", "best.of_prediction"),
+        side("r", "reference_block", "best.of_reference"),
     )
     cosines = (
         met.select(*keys, F.explode(sides).alias("s"))

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clozemill.operators.metrics import isolated_text_metrics
-from clozemill.operators.ordering import with_dense_index
-from clozemill.operators.questions import Generator, batch_generate, prediction_rows
+from clozemill.operators.questions import Generator, batch_generate
 from clozemill.operators.runs import run_summary
 from clozemill.sources.readers import load_corpora
 from clozemill.sources.sinks import write_csv, write_jsonl, write_markdown, write_record
@@ -29,18 +28,16 @@ def evaluate_corpus(
     """
     data = config["data"]
     corpus = load_corpora(spark, data[split], data["source_template"], root)
-    # One row number over all corpora, in their order.
-    examples = with_dense_index(corpus, "row_idx", "__position", by=("spec_pos",))
     generated = batch_generate(
-        examples,
+        corpus,
         make_generator,
         config.get("generation"),
         max_source_length=int(data["max_source_length"]),
     )
     out = f"{config['output_dir']}/evaluation"
     rows = generated.select(
-        F.col("spec_pos"),
-        F.col("__position").alias("row_idx"),
+        "spec_pos",
+        "row_idx",
         "example_id",
         "dataset_name",
         "context",
@@ -73,6 +70,3 @@ def summarize_runs(
     write_csv(ordered.drop("group_pos", "pos"), output_csv)
     write_markdown(summary, output_md)
     return summary
-
-
-__all__ = ["evaluate_corpus", "prediction_rows", "summarize_runs"]

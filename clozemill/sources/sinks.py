@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clozemill import fixed_values as fv
 from clozemill.operators.runs import report_cells
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
