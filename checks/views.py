@@ -76,7 +76,8 @@ _CONFIGS = """
 select concat('configs/', n_nationkey, '/', k, '.yaml') as config,
   concat('outputs/', n_nationkey, '-', k) as output_dir,
   concat('base-', n_name) as config_model_name
-from nation cross join (select 0 as k union all select 1 union all select 2) ks
+from (select *, 0 as k from nation union all select *, 1 from nation
+      union all select *, 2 from nation) n
 """
 _RUN_METRICS = """
 select concat('outputs/', c_nationkey, '-', c_custkey % 3) as output_dir,
