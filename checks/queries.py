@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyspark.cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import checks
+import clozemill
 from checks.views import view
 from clozemill import fixed_values as fv
 from clozemill.functions import formats, questions, text
@@ -16,11 +19,15 @@ from clozemill.operators import questions as question_ops
 from clozemill.operators.ordering import spread
 from clozemill.plans.text_to_questions import text_to_questions
 
+# Python workers then need neither package on their path.
+for _package in (checks, clozemill):
+    pyspark.cloudpickle.register_pickle_by_value(_package)
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 STRING = T.StringType()
-CP1251_BREAK = (text._CP1251_NARROW, text._CP1251_WIDE)
+CP1251_BREAK = (text.CP1251_NARROW, text.CP1251_WIDE)
 GROUPS = ["BUILDING", "NO SUCH GROUP", "MACHINERY", "BUILDING"]
 
 

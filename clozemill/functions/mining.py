@@ -58,45 +58,58 @@ def split_sentences(text: Column) -> Column:
 
     Expects collapsed whitespace, so that no piece can start or end in a space.
     """
-    return F.filter(F.split(text, rf"(?<=[{fv.SENTENCE_END}]){_S}+"), lambda s: s != "")
+    return F.filter(F.split(text, f" (?<=[{fv.SENTENCE_END}] )"), lambda s: s != "")
 
 
 def clean_candidate(c: Column) -> Column:
     return F.btrim(c, F.lit(fv.STRIP_CHARS))
 
 
+_LONGEST_STOP_WORD = max(map(len, fv.STOP_WORDS))
+
+
 def is_stop_word(c: Column) -> Column:
-    return F.lower(c).isin(*fv.STOP_WORDS)
+    # Lower-casing is dear, so length decides first.
+    return (F.length(c) <= _LONGEST_STOP_WORD) & F.lower(c).isin(*fv.STOP_WORDS)
+
+
+def _has_valid_form(c: Column) -> Column:
+    return F.length(c).between(fv.MIN_ANSWER_LENGTH, fv.MAX_ANSWER_LENGTH) & ~is_stop_word(c)
 
 
 def is_valid_candidate(c: Column) -> Column:
-    return (
-        F.length(c).between(fv.MIN_ANSWER_LENGTH, fv.MAX_ANSWER_LENGTH)
-        & ~is_stop_word(c)
-        & c.rlike(_LETTER_OR_DIGIT)
-    )
+    return _has_valid_form(c) & c.rlike(_LETTER_OR_DIGIT)
 
 
-def _matches(sentence: Column, pattern: str, group: int) -> Column:
-    found = F.regexp_extract_all(sentence, F.lit(pattern), F.lit(group))
-    return F.filter(F.transform(found, clean_candidate), is_valid_candidate)
+def _matches(sentence: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(sentence, F.lit(pattern), F.lit(group))
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
 def quoted(sentence: Column) -> Column:
-    return _matches(sentence, fv.QUOTED_PATTERN, 1)
+    found = F.transform(_matches(sentence, fv.QUOTED_PATTERN, 1), clean_candidate)
+    return F.when(sentence.rlike('["«]'), F.filter(found, is_valid_candidate)).otherwise(_none())
+
+
+# The patterns below only match text with a letter or a digit, and, but for the
+# dot of a year, with nothing to strip; so each checks what is left to check.
 
 
 def dates_and_numbers(sentence: Column) -> Column:
-    found = F.concat(*[_matches(sentence, p, 0) for p in DATE_PATTERNS])
-    return F.when(sentence.rlike(_D), found).otherwise(F.array().cast("array<string>"))
+    found = F.concat(*[_matches(sentence, p) for p in DATE_PATTERNS])
+    valid = F.filter(F.transform(found, clean_candidate), _has_valid_form)
+    return F.when(sentence.rlike(_D), valid).otherwise(_none())
 
 
 def abbreviations(sentence: Column) -> Column:
-    return _matches(sentence, ABBREVIATION_PATTERN, 0)
+    return F.filter(_matches(sentence, ABBREVIATION_PATTERN), _has_valid_form)
 
 
 def proper_names(sentence: Column) -> Column:
-    return _matches(sentence, NAME_PATTERN, 1)
+    return F.filter(_matches(sentence, NAME_PATTERN, 1), _has_valid_form)
 
 
 _LONG_STOP_WORDS = [w for w in fv.STOP_WORDS if len(w) >= fv.MIN_KEYWORD_LENGTH]
@@ -106,9 +119,7 @@ def key_words(sentence: Column) -> Column:
     """The words of a sentence; null in place of short words and stop words."""
 
     def is_key(w: Column) -> Column:
-        # Lower-casing is the dearest step here, so length decides first.
-        longest = max(map(len, _LONG_STOP_WORDS))
-        return (F.length(w) > longest) | (
+        return (F.length(w) > _LONGEST_STOP_WORD) | (
             (F.length(w) >= fv.MIN_KEYWORD_LENGTH) & ~F.lower(w).isin(*_LONG_STOP_WORDS)
         )
 

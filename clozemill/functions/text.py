@@ -9,9 +9,15 @@ from pyspark.sql import types as T
 from clozemill.fixed_values import WHITESPACE
 
 _EDGE_SPACE = f"^{WHITESPACE}+|{WHITESPACE}+$"
-# Every whitespace run except a lone space, which already is what it should be;
-# the look-ahead settles printable ASCII with one range test.
-_RUN_TO_COLLAPSE = f"(?=[^!-~])(?:(?! ){WHITESPACE}{WHITESPACE}*| {WHITESPACE}+)"
+# Every whitespace run except a lone space, which already is what it should be.
+# The look-aheads settle most characters with two range tests: there is no
+# whitespace in printable ASCII, nor between U+00A1 and U+167F.
+_MAYBE_SPACE = r"(?=[^!-~\x{A1}-\x{167F}])"
+_RUN_TO_COLLAPSE = (
+    f"{_MAYBE_SPACE}(?:(?! ){WHITESPACE}{WHITESPACE}*| {_MAYBE_SPACE}{WHITESPACE}+)"
+)
+# The same characters, one by one.
+WHITESPACE_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def collapse_whitespace(c: Column) -> Column:
@@ -50,7 +56,11 @@ def _cp1251_table() -> tuple[str, str]:
     return "".join(wide), "".join(narrow)
 
 
-_CP1251_WIDE, _CP1251_NARROW = _cp1251_table()
+CP1251_WIDE, CP1251_NARROW = _cp1251_table()
+# The characters that stand for UTF-8 continuation bytes.
+_CONTINUATION = r"\x{80}-\x{BF}" + "".join(
+    wide for wide, narrow in zip(CP1251_WIDE, CP1251_NARROW) if narrow <= "\xbf"
+)
 
 
 def repair_mojibake(c: Column) -> Column:
@@ -61,11 +71,12 @@ def repair_mojibake(c: Column) -> Column:
     has no cp1251 byte, when the bytes are not valid UTF-8, and when decoding
     would add replacement characters.
     """
-    narrow = F.translate(c, _CP1251_WIDE, _CP1251_NARROW)
-    suspect = c.rlike("[РС]") & ~narrow.rlike(r"[^\x{0}-\x{FF}]")
-    decoded = F.when(
-        suspect, F.try_validate_utf8(F.encode(narrow, "ISO-8859-1").cast("string"))
-    )
+    # Р and С are lead bytes of two: without a continuation after each the text
+    # cannot decode. That clears sound Russian text before the dear mapping.
+    suspect = c.rlike("[РС]") & ~c.rlike(f"[РС](?![{_CONTINUATION}])")
+    narrow = F.when(suspect, F.translate(c, CP1251_WIDE, CP1251_NARROW))
+    single_bytes = F.when(~narrow.rlike(r"[^\x{0}-\x{FF}]"), narrow)
+    decoded = F.try_validate_utf8(F.encode(single_bytes, "ISO-8859-1").cast("string"))
     lost = F.lit("�")
     worse = F.regexp_count(decoded, lost) > F.regexp_count(c, lost)
     return F.when(decoded.isNull() | worse, c).otherwise(decoded)

@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clozemill.fixed_values import WHITESPACE
-from clozemill.functions.text import collapse_whitespace
+from clozemill.functions.text import WHITESPACE_CHARS, collapse_whitespace
 
-# The public mteval "13a" rules, in order.
+# The public mteval "13a" rules, in order. The first also lists the
+# space, which it only widens; it is left out, as tokens are split at any width.
 RULES_13A = (
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([\{-\~\[-\`\!-\&\(-\+\:-\@\/])", " $1 "),
     (r"([^0-9])([\.,])", "$1 $2 "),
     (r"([\.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
@@ -20,8 +21,10 @@ ENTITIES_13A = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 
 def tokens_13a(c: Column) -> Column:
     """The tokenisation that corpus BLEU is quoted with."""
-    line = F.regexp_replace(c, f"{WHITESPACE}+$", "")
-    for old, new in (("<skipped>", ""), ("-\n", ""), ("\n", " "), *ENTITIES_13A):
+    line = F.rtrim(c, F.lit(WHITESPACE_CHARS))
+    for old, new in (("<skipped>", ""), ("-\n", ""), ("\n", " ")):
+        line = F.replace(line, F.lit(old), F.lit(new))
+    for old, new in ENTITIES_13A:
         line = F.replace(line, F.lit(old), F.lit(new))
     line = F.concat(F.lit(" "), line, F.lit(" "))
     for pattern, replacement in RULES_13A:

@@ -20,10 +20,7 @@ from clozemill.functions.text import collapse_whitespace
 def _tagged(texts: Column, tier: int, sent: Column) -> Column:
     return F.transform(
         texts,
-        lambda t: F.struct(
-            F.lower(t).alias("key"), F.lit(tier).alias("tier"), t.alias("text"),
-            sent.alias("sent"),
-        ),
+        lambda t: F.struct(F.lit(tier).alias("tier"), t.alias("text"), sent.alias("sent")),
     )
 
 
@@ -85,7 +82,9 @@ def with_ranked(docs: DataFrame, text: str = "text") -> DataFrame:
         "candidates",
         F.transform(
             "candidates",
-            lambda c, i: F.struct(c["key"], c["tier"], i.alias("place"), c["text"], c["sent"]),
+            lambda c, i: F.struct(
+                F.lower(c["text"]).alias("key"), c["tier"], i.alias("place"), c["text"], c["sent"]
+            ),
         ),
     )
     # Both arrays end up with one element per key, in key order, so they pair up
