@@ -118,19 +118,28 @@ def top_answers(
     key: str = "doc_id",
     text: str = "text",
     max_answers: int | None = fv.DEFAULT_MAX_ANSWERS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Ranked answers: key, rank, answer_text, answer_kind, answer_score, source_sentence."""
+    """Ranked answers: key, rank, answer_text, answer_kind, answer_score, source_sentence.
+
+    ``keep`` names document columns to repeat on every answer.
+    """
     kinds = F.array(*[F.lit(kind) for kind, _ in fv.TIERS])
     scores = F.array(*[F.lit(score) for _, score in fv.TIERS])
-    mined = with_ranked(docs.select(key, text), text)
+    wanted_columns = [key, text, *[c for c in keep if c != text]]
+    mined = with_ranked(docs.select(*wanted_columns), text)
     # The generator reads an expression, not a bare column: from a bare column
     # Catalyst infers "size > 0" and pushes it, with the whole chain copied
     # into it, below every projection.
     wanted = F.size("ranked") if max_answers is None else F.lit(max_answers)
     return mined.select(
-        key, "sentences", F.posexplode(F.slice("ranked", F.lit(1), wanted)).alias("pos", "answer")
+        key,
+        *keep,
+        "sentences",
+        F.posexplode(F.slice("ranked", F.lit(1), wanted)).alias("pos", "answer"),
     ).select(
         key,
+        *keep,
         (F.col("pos") + 1).alias("rank"),
         F.col("answer.text").alias("answer_text"),
         F.get(kinds, F.col("answer.tier")).alias("answer_kind"),

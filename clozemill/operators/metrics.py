@@ -18,6 +18,7 @@ from clozemill.functions.overlap import (
     union_lcs_hits,
     word_alignment,
 )
+from clozemill.operators.vectors import embedding_match
 
 ORDERS = (1, 2, 3, 4)
 BLEU_SIGNATURE = "orders=4|tok=13a|smooth=exp"
@@ -227,22 +228,45 @@ FAMILIES = (
 )
 
 
-def isolated_text_metrics(pairs: DataFrame, by: tuple[str, ...] = (), **options) -> DataFrame:
-    """Like ``compute_text_metrics``, but a failing family leaves its error text.
+def isolated_text_metrics(
+    pairs: DataFrame,
+    by: tuple[str, ...] = (),
+    token_vectors: DataFrame | None = None,
+    **options,
+) -> DataFrame:
+    """The full record of scores; a failing family leaves its error text instead.
 
-    Each family is its own job, and its result is kept with ``checkpoint`` in
-    the folder of ``spark.checkpoint.dir``. BLEU is not guarded.
+    ``token_vectors`` (see ``embedding_match``, with the ``by`` columns) adds
+    bertscore_f1. Each family is its own job, and its result is kept with
+    ``checkpoint`` in the folder of ``spark.checkpoint.dir``. BLEU is not guarded.
     """
     keys = by or ("everything",)
-    if not by:
-        pairs = pairs.withColumn("everything", F.lit(0))
-    result = compute_text_metrics(pairs, keys, ("sacrebleu",), **options)
-    for error, metrics in FAMILIES:
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df if by else df.withColumn("everything", F.lit(0))
+
+    families = [
+        (
+            error,
+            lambda m=names: compute_text_metrics(keyed(pairs), keys, m, **options).drop(
+                "num_examples"
+            ),
+        )
+        for error, names in FAMILIES
+    ]
+    if token_vectors is not None:
+        families.append(
+            (
+                "bertscore_error",
+                lambda: embedding_match(keyed(token_vectors), keys).select(*keys, "bertscore_f1"),
+            )
+        )
+    result = compute_text_metrics(keyed(pairs), keys, ("sacrebleu",), **options)
+    for error, compute in families:
         try:
-            family = compute_text_metrics(pairs, keys, metrics, **options).drop("num_examples")
-            family = family.checkpoint()
+            family = compute().checkpoint()
         except Exception as failure:  # whatever broke must not take the others along
             result = result.withColumn(error, F.lit(str(failure)))
         else:
-            result = result.join(family, list(keys))
+            result = result.join(family, list(keys), "left")
     return result if by else result.drop("everything")

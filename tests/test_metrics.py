@@ -133,6 +133,16 @@ def test_a_failing_family_leaves_the_others(spark, monkeypatch):
     assert "no tokens today" in partial.meteor_error
 
 
+def test_the_full_record_has_vectors(spark):
+    pairs = spark.createDataFrame([("a b c d", "a b c d")], "prediction string, reference string")
+    rows = [(1, side, 0, [1.0, 2.0]) for side in ("prediction", "reference")]
+    vecs = spark.createDataFrame(rows, "pair_id int, side string, pos int, vec array<double>")
+    whole = metrics.isolated_text_metrics(pairs, token_vectors=vecs).head()
+    assert whole.bertscore_f1 == pytest.approx(1.0) and whole.rouge2 == 1.0
+    broken = metrics.isolated_text_metrics(pairs, token_vectors=vecs.drop("vec")).head()
+    assert "vec" in broken.bertscore_error and broken.meteor > 0.9
+
+
 def vector_rows(rng, pair, side, n):
     return [(pair, side, i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(n)]
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from clozemill.functions import questions as fq
 from clozemill.operators import questions as oq
-from clozemill.plans.text_to_questions import text_to_questions
+from clozemill.plans.text_to_questions import questions_for_answers, text_to_questions
 
 
 def asked(spark, answer, kind, sentence):
@@ -73,6 +73,26 @@ def test_model_questions_join_by_document_and_rank(spark):
     assert rows[1].generated_question == "Что там было?"
 
 
+def test_a_generator_asks_about_every_answer(spark):
+    def make():
+        return lambda sources, config: ["Что это?" if "NASA" in s[-8:] else "" for s in sources]
+
+    docs = spark.createDataFrame([(1, "Там  был NASA и Юпитер.")], "doc_id int, text string")
+    rows = text_to_questions(docs, "hybrid", make_generator=make, max_answers=2).collect()
+    by_answer = {r.answer_text: r.generated_question for r in rows}
+    assert by_answer["NASA"] == "Что это?" and len(by_answer) == 2
+    assert all(q for q in by_answer.values())
+    with pytest.raises(ValueError):
+        text_to_questions(docs, "model")
+    items = spark.createDataFrame([(" a  b ", "c")], "context string, answer_text string")
+
+    def echo():
+        return lambda sources, config: sources
+
+    out = questions_for_answers(items, echo).head()
+    assert out.generated_question == "generate question: context: a b answer: c"
+
+
 def test_generator_is_built_per_task_and_sees_cut_sources(spark):
     def make():
         return lambda sources, config: [f" {s}|{config['num_beams']} " for s in sources]
