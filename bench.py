@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose
 the data and the cores. Each query runs once to warm up, then BENCH_RUNS
-(default 3) times into the ``noop`` sink; the median counts.
+(default 1) times into the ``noop`` sink; the median counts.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ HEADLINE = (
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = session(int(os.environ.get("BENCH_CPUS", "8")))
     seconds: dict[str, float] = {}
     for name in HEADLINE:
