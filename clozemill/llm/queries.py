@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clozemill.llm import decontaminate, packing, pii, quality, simhash, tokens
+from clozemill.llm import decontaminate, embeddings, packing, pii, quality, simhash, tokens, toxicity, url_rules, warc
 from clozemill.llm.common import crc_of_id
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,54 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
 
+PREFIX_RULES = (
+    "allow com/",
+    "block example.com/en/",
+    "allow www.example.com/en/",
+    "block net/es/",
+    "block net/fr/",
+)
+#: What the method itself blocks where no rule of the list fits.
+SPAM_WORDS = ("bets", "casino", "pills", "poker")
+
+
+@query
+def op3_url_rules(spark, sf_dir):
+    rules = [url_rules.parse(r, rank=1) for r in PREFIX_RULES]
+    rules += [url_rules.host_word("block", w) for w in SPAM_WORDS]
+    names = [r.name for r in rules if not r.pattern]
+    judged = url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    listed = F.when(F.col("rule").isin(names), F.col("rule")).alias("rule")
+    return judged.select("page_id", "host", "path", listed, "verdict")
+
+
+_RULE_ROWS = ", ".join(
+    f"('{host}', '/{path}', '{host}/{path}', '{verdict}')"
+    for verdict, host, path in (
+        (r.split(" ")[0], *r.split(" ")[1].split("/", 1)) for r in PREFIX_RULES
+    )
+)
+ORACLES["op3_url_rules"] = rf"""
+WITH u AS (
+  SELECT page_id, row_number() OVER () AS r,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+),
+rules(h, p, name, said) AS (VALUES {_RULE_ROWS}),
+best AS (
+  SELECT r, arg_max(name, length(name)) AS name, arg_max(said, length(name)) AS said
+  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY r
+)
+SELECT page_id, host, path, name AS rule,
+  coalesce(said, CASE WHEN regexp_matches(host, '(^|[.-])({"|".join(SPAM_WORDS)})([.-]|$)')
+    THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN best USING (r)
+"""
+
+
 @query
 def op4_quality(spark, sf_dir):
     docs = texts(spark, sf_dir)
@@ -77,6 +125,107 @@ def op4_quality(spark, sf_dir):
     return quality.score(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
+@query
+def op5_embeddings(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op5_embeddings"] = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (
+  SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL
+    AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0
+),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93
+),
+reach AS (
+  WITH RECURSIVE r(a, b) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+  SELECT a, min(b) AS component_id FROM r GROUP BY a
+),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN reach ON vec_id = reach.a LEFT JOIN n ON vec_id = n.a
+"""
+
+
+@query
+def op6_warc(spark, sf_dir):
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).drop("source_headers")
+
+
+def _op6_oracle() -> str:
+    """Plain alternations for the possessive ones; entities of the tables only, & last."""
+    unseen = warc._UNSEEN
+    attributes = """(?:[^>"'']|"[^"]*"|''[^'']*'')*"""
+    block = rf"(?i)</?(?:{warc._BLOCKS})(?:{attributes})>".replace("(?:(?:", "(?:(?:")
+    named = {"&copy;": "\u00a9", "&middot;": "\u00b7", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+    def decoded(x):
+        for name, letter in named.items():
+            x = f"replace({x}, '{name}', '{letter}')"
+        return x
+
+    def uuid(*parts):
+        h = f"sha256(concat_ws(chr(1), {', '.join(parts)}))"
+        cut = [f"substring({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+        return f"'<urn:uuid:' || concat_ws('-', {', '.join(cut)}) || '>'"
+
+    crlf = "chr(13) || chr(10)"
+    blanks = "[\\t\\n\\x0B\\f\\r \u00a0]+"
+    text = f"regexp_replace(regexp_replace(html, '{unseen}', ' ', 'g'), '{blanks}', ' ', 'g')"
+    # RE2 has no look-ahead: what follows the name of a tag is a blank, a slash or its end.
+    block = rf"(?i)</?(?:{warc._BLOCKS})(?:[^a-z0-9>-]{attributes})?>"
+    text = f"regexp_replace({text}, '{block}', chr(10), 'g')"
+    text = f"regexp_replace({text}, '(?i)</?[a-z!?]{attributes}>', '', 'g')"
+    text = f"regexp_replace({text}, '{warc._CUT_TAG}', '', 'g')"
+    text = f"regexp_replace({decoded(text)}, '[ \u00a0]+', ' ', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+\\z', '', 'g')"
+    link = warc._LINK.replace("'", "''")
+    one = lambda x: f"trim(regexp_replace({decoded(x)}, '[\\x00-\\x20\u00a0]+', ' ', 'g'))"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS html FROM pages),
+h AS (SELECT *, 'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: '
+  || CAST(octet_length(CAST(encode(html) AS BLOB)) AS VARCHAR) || {crlf} AS http, 'sha256:' || sha256(html) AS payload FROM p),
+b AS (SELECT *, 'sha256:' || sha256(http || {crlf} || html) AS blockd FROM h),
+i AS (SELECT *, {uuid("'response'", "coalesce(CAST(page_id AS VARCHAR), '')", "uri", f"'{warc.NO_DATE}'", "blockd")} AS id,
+  regexp_replace(html, '(?is)<!--.*?(?:-->|\\z)|<script\\b.*?(?:</script[^>]*>|\\z)', ' ', 'g') AS visible FROM b),
+k AS (SELECT *, {uuid("'metadata'", "id")} AS mid, {uuid("'conversion'", "id")} AS tid, {text} AS body FROM i),
+m AS (SELECT *, 'title: ' || {one(f"regexp_extract(visible, '{warc._TITLE}', 1)")} || {crlf} || 'conversion: ' || tid || {crlf}
+  || 'source-payload-digest: ' || payload || {crlf} || 'source-block-digest: ' || blockd || {crlf}
+  || 'source-header: HTTP/1.1 200 OK' || {crlf} || 'source-header: Content-Type: text/html; charset=utf-8' || {crlf}
+  || 'source-header: Content-Length: ' || CAST(octet_length(CAST(encode(html) AS BLOB)) AS VARCHAR) || {crlf}
+  || array_to_string(list_transform(regexp_extract_all(visible, '{link}', 1), lambda x: 'outlink: ' || {one("x")} || {crlf}), '') AS about FROM k),
+r AS (
+  SELECT page_id, 'metadata' AS warc_type, mid AS record_id, id AS refers_to, tid AS concurrent_to, uri, 'application/warc-fields' AS content_type, payload, about AS block FROM m
+  UNION ALL
+  SELECT page_id, 'conversion', tid, id, mid, uri, 'text/plain; charset=utf-8', payload, body FROM m
+)
+SELECT page_id, warc_type, record_id, refers_to, concurrent_to, uri AS target_uri, '{warc.NO_DATE}' AS date, content_type,
+  CAST(octet_length(CAST(encode(block) AS BLOB)) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest,
+  payload AS source_digest, block,
+  'WARC/1.1' || {crlf} || 'WARC-Type: ' || warc_type || {crlf} || 'WARC-Record-ID: ' || record_id || {crlf}
+  || 'WARC-Refers-To: ' || refers_to || {crlf} || 'WARC-Concurrent-To: ' || concurrent_to || {crlf}
+  || 'WARC-Target-URI: ' || uri || {crlf} || 'WARC-Date: {warc.NO_DATE}' || {crlf}
+  || 'WARC-Block-Digest: sha256:' || sha256(block) || {crlf} || 'Content-Type: ' || content_type || {crlf}
+  || 'Content-Length: ' || CAST(octet_length(CAST(encode(block) AS BLOB)) AS VARCHAR) || {crlf} AS headers
+FROM r
+"""
+
+
+ORACLES["op6_warc"] = _op6_oracle()
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    docs = texts(spark, sf_dir)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held_out = (crc_of_id(F.col("doc_id")) % 5 == 0).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 @query
 def op8_token_counts(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
