@@ -6,9 +6,10 @@ of its sentences: one minus the product of their complements. The weights
 maximise the likelihood of the document labels, so they learn which sentences
 made a document toxic, and the same scores locate those sentences.
 
-The trees of features stay small: the vocabulary are the words whose presence
-depends most on the label among a bounded sample of labelled documents. Counts
-are taken by Spark; the fit runs over word numbers of the sample.
+Words count as they are and by their beginnings, so that forms of one stem share
+a weight. The vocabulary are the words and beginnings whose presence depends
+most on the label among a bounded sample of labelled documents. Counts are
+taken by Spark; the fit runs over numbers of the sample.
 
 Rows: a null or empty text has no sentence; its score is that of no evidence.
 Null labels and ids teach nothing; several labels of one id count as their
@@ -19,10 +20,13 @@ Other columns of the input stay; one named like an output is replaced.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +34,15 @@ from clozemill.llm.common import append_columns, crc_of_id, one_label, saved
 
 #: Labelled documents that the model is fitted on, chosen by a hash of the id.
 SAMPLE = 20_000
-#: Words that have a weight.
+#: Words and beginnings that have a weight.
 VOCABULARY = 2_000
 #: A word must occur in so many sampled documents.
-LEAST_DOCUMENTS = 3
-STEPS, RATE, PENALTY = 400, 0.1, 2e-3
+LEAST_DOCUMENTS = 4
+#: Lengths of the beginnings of words that count as features.
+BEGINNINGS = (3, 4, 5, 6, 7)
+STEPS, RATE, PENALTY = 400, 0.1, 0.3
+#: Entries of a task's table of counts or of known words; a full table starts anew.
+TABLE = 300_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*|[.!?]+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -55,26 +63,43 @@ def words(sentence: str) -> set[str]:
     return set(_WORD.findall(sentence.lower()))
 
 
+def forms(word: str) -> list[str]:
+    """The word, and its beginnings with a star."""
+    return [word, *[word[:k] + "*" for k in BEGINNINGS if k < len(word)]]
+
+
 @dataclass
 class Model:
-    """Log-odds of a sentence without known words, the words' weights, and the base rate."""
+    """Log-odds of a sentence without known words, the weights of forms, and the base rate."""
 
     bias: float = -30.0
     weights: dict[str, float] = field(default_factory=dict)
     rate: float | None = None
+    known: dict[str, float] = field(default_factory=dict, repr=False)
+
+    def _word(self, word: str) -> float:
+        total = sum(self.weights.get(f, 0.0) for f in forms(word))
+        if len(word) <= 64:
+            if len(self.known) >= TABLE:
+                self.known.clear()
+            self.known[word] = total
+        return total
 
     def sentence_scores(self, text: str | None) -> list[tuple[int, int, float]]:
-        get, out = self.weights.get, []
+        known, out = self.known, []
         for start, end in sentences(text):
-            total = self.bias + sum(w for x in words(text[start:end]) if (w := get(x)) is not None)
-            out.append((start, end, 1 / (1 + np.exp(-total))))
+            total = self.bias
+            for x in words(text[start:end]):
+                w = known.get(x)
+                total += self._word(x) if w is None else w
+            out.append((start, end, 1 / (1 + math.exp(-max(total, -500.0)))))
         return out
 
     def document(self, scores: list[tuple[int, int, float]]) -> float:
         if self.rate is not None:
             return self.rate
-        clean = sum(np.log1p(-min(s, 1 - 1e-12)) for *_, s in scores)
-        return float(-np.expm1(clean))
+        clean = sum(math.log1p(-min(s, 1 - 1e-12)) for *_, s in scores)
+        return -math.expm1(clean)
 
 
 def _fit(rows: list[tuple[float, list[list[int]], int]], size: int) -> tuple[float, np.ndarray]:
@@ -141,30 +166,54 @@ def train(
 
     rows = saved(
         append_columns(found.select("text", "label"), ["text"], "sentences array<array<string>>", start)
-        .select("label", "sentences", F.array_distinct(F.flatten("sentences")).alias("present"))
-        # A repeated id can bring more rows than labels.
-        .withColumn("pick", F.xxhash64("present", "label"))
+        .select("label", "sentences")
+        .withColumn("pick", F.xxhash64("sentences", "label"))
     )
     n, mean = rows.agg(F.count("*"), F.avg("label")).first()
     if not n or mean in (0.0, 1.0):
         return Model(rate=float(mean or 0.0))
+
+    def count(batches):
+        documents, bad = Counter(), Counter()
+
+        def flush():
+            keys = list(documents)
+            columns = [keys, [documents[k] for k in keys], [float(bad[k]) for k in keys]]
+            documents.clear()
+            bad.clear()
+            kinds = [pa.string(), pa.int64(), pa.float64()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["form", "n", "bad"]
+            )
+
+        for batch in batches:
+            for label, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                present = {f for w in set().union(*found) for f in forms(w)}
+                documents.update(present)
+                if label:
+                    bad.update(dict.fromkeys(present, label))
+                if len(documents) >= TABLE:
+                    yield flush()
+        yield flush()
+
     counts = (
-        rows.select("label", F.explode("present").alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
+        rows.select("label", "sentences")
+        .mapInArrow(count, "form string, n bigint, bad double")
+        .groupBy("form")
+        .agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
         .where(F.col("n") >= LEAST_DOCUMENTS)
     )
-    # How far the word's share of bad documents lies from the mean, in standard errors.
+    # How far the form's share of bad documents lies from the mean, in standard errors.
     strange = (F.col("bad") - F.col("n") * mean) ** 2 / (F.col("n") * mean * (1 - mean))
-    top = counts.orderBy(strange.desc(), "word").limit(VOCABULARY)
-    vocabulary = [r["word"] for r in top.select("word").collect()]
+    top = counts.orderBy(strange.desc(), "form").limit(VOCABULARY)
+    vocabulary = [r["form"] for r in top.select("form").collect()]
     number = {w: i for i, w in enumerate(vocabulary)}
 
     def reduce():
         def compute(found):
             out, bare = [], []
             for one in found.to_pylist():
-                sets = [[number[w] for w in s if w in number] for s in one]
+                sets = [[number[f] for w in s for f in forms(w) if f in number] for s in one]
                 with_words = [s for s in sets if s]
                 out.append(with_words)
                 bare.append(len(sets) - len(with_words))
