@@ -16,7 +16,6 @@ from clozemill import fixed_values as fv
 from clozemill.functions import formats, questions, text
 from clozemill.operators import answers, batches, corpus, metrics, runs, vectors
 from clozemill.operators import questions as question_ops
-from clozemill.operators.ordering import spread
 from clozemill.plans.text_to_questions import text_to_questions
 
 # Python workers then need neither package on their path.
@@ -36,8 +35,13 @@ def query(f: Query) -> Query:
     return f
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """The test tables are one file each, which one core would read alone."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(view(spark, sf_dir, "v_texts"), "doc_id")
+    return _spread(view(spark, sf_dir, "v_texts"), "doc_id")
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -274,7 +278,7 @@ def align_pairs(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    return spread(view(spark, sf_dir, "v_pairs"), "pair_id")
+    return _spread(view(spark, sf_dir, "v_pairs"), "pair_id")
 
 
 def _turns(spark, sf_dir) -> DataFrame:

@@ -21,6 +21,11 @@ WORD_PATTERN = r"[A-Za-zЀ-ӿ][A-Za-zЀ-ӿ\-]*"
 CAPITALIZED_PATTERN = r"[A-ZА-ЯЁ][A-Za-zЀ-ӿ\-]*"
 CAPITALS_PATTERN = r"[A-ZА-ЯЁ]{2,}"
 QUOTED_PATTERN = r'["«](.{3,80}?)["»]'
+# Dates and numbers: a day, a month name and a year; a year or a century; a quantity.
+MONTH_NAME_PATTERN = r"[Ѐ-ӿ]{3,12}"
+YEAR_WORD_PATTERN = r"(?:г\.?|год[ауе]?|век[ауе]?|вв?\.?)"
+DECIMALS_PATTERN = r"(?:[,.]\d+)?"
+UNIT_PATTERN = r"(?:%|km|m|cm|kg|g|mln|million|billion)"
 SENTENCE_END = ".!?"
 STRIP_CHARS = " \t\r\n,.;:!?()[]{}"
 MIN_ANSWER_LENGTH = 2

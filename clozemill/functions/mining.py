@@ -25,10 +25,9 @@ _S = fv.WHITESPACE
 _D = r"\p{Nd}"
 
 DATE_PATTERNS = (
-    rf"(?iu){_OPENS_NUMBER}{_D}{{1,2}}{_S}+[Ѐ-ӿ]{{3,12}}{_S}+{_D}{{4}}{_CLOSES}",
-    rf"(?iu){_OPENS_NUMBER}{_D}{{4}}{_S}*(?:г\.?|год[ауе]?|век[ауе]?|вв?\.?){_EDGE}",
-    rf"(?iu){_OPENS_NUMBER}{_D}+(?:[,.]{_D}+)?{_S}*"
-    rf"(?:%|km|m|cm|kg|g|mln|million|billion){_EDGE}",
+    rf"(?iu){_OPENS_NUMBER}{_D}{{1,2}}{_S}+{fv.MONTH_NAME_PATTERN}{_S}+{_D}{{4}}{_CLOSES}",
+    rf"(?iu){_OPENS_NUMBER}{_D}{{4}}{_S}*{fv.YEAR_WORD_PATTERN}{_EDGE}",
+    rf"(?iu){_OPENS_NUMBER}{_D}+{fv.DECIMALS_PATTERN.replace(chr(92) + 'd', _D)}{_S}*{fv.UNIT_PATTERN}{_EDGE}",
 )
 ABBREVIATION_PATTERN = (
     f"{_OPENS_CAPITAL}{fv.CAPITALS_PATTERN}(?:-{fv.CAPITALS_PATTERN})?{_CLOSES}"

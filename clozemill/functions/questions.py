@@ -43,18 +43,26 @@ def is_valid_question(c: Column) -> Column:
 
 
 def template_question(answer: Column, kind: Column, sentence: Column) -> Column:
-    """A cloze question: the answer is blanked out of its sentence."""
+    """A cloze question: the answer is blanked out of its sentence.
+
+    Written so that the fact is computed in one place only; a Python function
+    over the question rules out binding it in a lambda.
+    """
     sentence = F.coalesce(sentence, F.lit(""))
     blanked = strip_whitespace(F.replace(sentence, answer, F.lit(fv.BLANK)))
     fact = F.regexp_replace(blanked, f"[{fv.SENTENCE_END}]+$", "")
-    question = None
-    for name, (with_fact, without_fact) in fv.QUESTION_TEXTS.items():
-        text = F.concat(F.lit(without_fact), answer, F.lit("?"))
-        if with_fact is not None:
-            asked = F.concat(F.lit(with_fact), fact, F.lit("?"))
-            text = F.when(fact != "", asked).otherwise(text)
-        if name == "other":
-            question = question.otherwise(text)
-        else:
-            question = (F if question is None else question).when(kind == name, text)
-    return question
+
+    def opening(which: int) -> Column:
+        said = F.lit(fv.QUESTION_TEXTS["other"][which])
+        for name, texts in fv.QUESTION_TEXTS.items():
+            if name != "other":
+                said = F.when(kind == name, F.lit(texts[which])).otherwise(said)
+        return said
+
+    # Something but end marks is left, and the kind has a text for facts.
+    asks_fact = blanked.rlike(f"[^{fv.SENTENCE_END}]") & opening(0).isNotNull()
+    return F.concat(
+        F.when(asks_fact, opening(0)).otherwise(opening(1)),
+        F.when(asks_fact, fact).otherwise(answer),
+        F.lit("?"),
+    )

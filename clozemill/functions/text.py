@@ -34,6 +34,8 @@ def falsy_to_empty(c: Column, dtype: T.DataType) -> Column:
     """The column as text, with null, zero, false and empty lists as ''."""
     if isinstance(dtype, T.BooleanType):
         text = F.when(c, F.lit("True"))
+    elif isinstance(dtype, (T.DoubleType, T.FloatType)):
+        text = F.when(c != 0, _fractional(c.cast("string")))
     elif isinstance(dtype, T.NumericType):
         text = F.when(c != 0, c.cast("string"))
     elif isinstance(dtype, T.ArrayType):
@@ -45,6 +47,27 @@ def falsy_to_empty(c: Column, dtype: T.DataType) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def _fractional(text: Column) -> Column:
+    """A double's text with the exponents that Python's str() uses, and no others."""
+    sign, first, rest = (F.regexp_extract(text, r"^(-?)(\d)\.(\d+)E", i) for i in (1, 2, 3))
+    digits = F.concat(first, F.regexp_replace(rest, "0+$", ""))
+    power = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    padded = F.rpad(digits, F.greatest(F.length(digits), power + 1), "0")
+    tail = F.substring(padded, power + 2, F.length(padded))
+    tail = F.when(tail == "", "0").otherwise(tail)
+    plain = F.concat(sign, F.substring(padded, F.lit(1), power + 1), F.lit("."), tail)
+    small = F.concat(sign, F.lit("0.000"), digits)
+    mantissa = F.concat(first, F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(""))
+    exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), "0"))
+    special = F.create_map(*[F.lit(x) for x in ("NaN", "nan", "Infinity", "inf", "-Infinity", "-inf")])
+    return (
+        F.when(power.between(7, 15), plain)
+        .when(power == -4, small)
+        .when(power.isNotNull(), F.concat(sign, mantissa, exponent))
+        .otherwise(F.coalesce(F.try_element_at(special, text), text))
+    )
+
+
 def _cp1251_table() -> tuple[str, str]:
     """cp1251 characters beyond U+00FF, and the Latin-1 character of the same byte."""
     wide, narrow = [], []
@@ -74,12 +97,11 @@ def repair_mojibake(c: Column) -> Column:
     # Р and С are lead bytes of two: without a continuation after each the text
     # cannot decode. That clears sound Russian text before the dear mapping.
     suspect = c.rlike("[РС]") & ~c.rlike(f"[РС](?![{_CONTINUATION}])")
-    narrow = F.when(suspect, F.translate(c, CP1251_WIDE, CP1251_NARROW))
-    single_bytes = F.when(~narrow.rlike(r"[^\x{0}-\x{FF}]"), narrow)
-    decoded = F.try_validate_utf8(F.encode(single_bytes, "ISO-8859-1").cast("string"))
-    lost = F.lit("�")
-    worse = F.regexp_count(decoded, lost) > F.regexp_count(c, lost)
-    return F.when(decoded.isNull() | worse, c).otherwise(decoded)
+    # A character without a byte, or the bytes EF BF BD of a replacement character.
+    hopeless = c.rlike(rf"[^\x{{0}}-\x{{FF}}{CP1251_WIDE}]|[пï][ї¿][Ѕ½]")
+    single_bytes = F.encode(F.translate(c, CP1251_WIDE, CP1251_NARROW), "ISO-8859-1")
+    decoded = F.try_validate_utf8(single_bytes.cast("string"))
+    return F.coalesce(F.when(suspect & ~hopeless, decoded), c)
 
 
 def normalize_text(c: Column, dtype: T.DataType = T.StringType()) -> Column:

@@ -18,8 +18,6 @@ QA_COLUMNS = (
     "example_id", "context", "answer_text", "question", "source", "target",
     "dataset_name", "language",
 )
-# Up to here a first-n is one bounded priority queue per task.
-TOP_N_ROWS = 100_000
 
 
 def _first_answer_raw(answers: Column, dtype: T.DataType) -> tuple[Column, T.DataType]:
@@ -202,20 +200,17 @@ def flatten_qas(
 def limit_first_n(df: DataFrame, max_samples: int | str | None, order: str = ROW) -> DataFrame:
     """The first rows in table order; None keeps all.
 
-    A small limit is a bounded top-n per task. A larger one numbers the rows
-    instead of sorting them into one task.
+    Rows are numbered, not sorted into one task. A null in the order is an error.
     """
     if max_samples is None:
         return df
     n = max(int(max_samples), 0)
-    if n <= TOP_N_ROWS:
-        return df.orderBy(order).limit(n)
     return with_dense_index(df, order, "__position").where(F.col("__position") < n).drop("__position")
 
 
 def union_corpora(corpora: list[DataFrame]) -> DataFrame:
     """Corpora one after another; ``spec_pos`` keeps their order, gaps are null."""
     if not corpora:
-        raise ValueError("Dataset specs are empty")
+        raise ValueError("No corpus is given")
     tagged = [df.withColumn("spec_pos", F.lit(i)) for i, df in enumerate(corpora)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)

@@ -15,6 +15,7 @@ from clozemill.functions import tokens
 from clozemill.functions.overlap import (
     clipped_matches,
     lcs_length,
+    synonym_alignment,
     union_lcs_hits,
     word_alignment,
 )
@@ -23,8 +24,12 @@ from clozemill.operators.vectors import embedding_match
 ORDERS = (1, 2, 3, 4)
 BLEU_SIGNATURE = "orders=4|tok=13a|smooth=exp"
 TEXT_METRICS = ("sacrebleu", "rouge1", "rouge2", "rougeL", "rougeLsum", "meteor")
-# Above this a synonym table is too large to ship inside a task.
-MAX_SYNONYM_WORDS = 1_000_000
+# Metric families that fail on their own, the name their error is kept under, and
+# the columns of a pair that can hold it.
+FAMILIES = (
+    ("rouge_error", ("rouge1", "rouge2", "rougeL", "rougeLsum"), ("rouge_m", "lcs", "hits")),
+    ("meteor_error", ("meteor",), ("align",)),
+)
 
 
 def safe_mean(c: Column) -> Column:
@@ -35,18 +40,16 @@ def safe_mean(c: Column) -> Column:
 def align_pairs(predictions: DataFrame, references: DataFrame, key: str = "row_idx") -> DataFrame:
     """Predictions and references paired by row; a row on one side only is an error.
 
-    The error is raised by the job itself, so the join runs once.
+    The error is raised by a filter of the job itself, which no selection of
+    columns removes, and the join runs once.
     """
-    message = F.lit("Predictions and references must have the same length")
+    message = F.lit("A row has a prediction or a reference, but not both")
     joined = predictions.select(key, "prediction", F.lit(1).alias("p")).join(
         references.select(key, "reference", F.lit(1).alias("r")), key, "full"
     )
-
-    def checked(c: str) -> Column:
-        one_sided = F.col("p").isNull() | F.col("r").isNull()
-        return F.when(one_sided, F.raise_error(message)).otherwise(F.col(c)).alias(c)
-
-    return joined.select(key, checked("prediction"), checked("reference"))
+    one_sided = F.col("p").isNull() | F.col("r").isNull()
+    whole = F.when(one_sided, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return joined.where(whole).select(key, "prediction", "reference")
 
 
 # --- per pair ----------------------------------------------------------------
@@ -79,7 +82,7 @@ def _token_columns(metrics: tuple[str, ...], tokenizer: str) -> dict[str, Column
     return columns
 
 
-def _overlap_columns(metrics: tuple[str, ...], synonyms: dict | None) -> dict[str, Column]:
+def _overlap_columns(metrics: tuple[str, ...], with_synonyms: bool) -> dict[str, Column]:
     columns: dict[str, Column] = {}
     if "sacrebleu" in metrics:
         columns["bleu_m"] = clipped_matches(F.col("bleu_p"), F.col("bleu_r"), ORDERS)
@@ -90,34 +93,71 @@ def _overlap_columns(metrics: tuple[str, ...], synonyms: dict | None) -> dict[st
     if "rougeLsum" in metrics:
         columns["hits"] = union_lcs_hits(F.col("lines_p"), F.col("lines_r"))
     if "meteor" in metrics:
-        columns["align"] = word_alignment(synonyms)(F.col("words_p"), F.col("words_r"))
+        words = (F.col("words_p"), F.col("words_r"))
+        columns["align"] = (
+            synonym_alignment(*words, F.col("synonyms")) if with_synonyms else word_alignment(*words)
+        )
     return columns
 
 
-def _score_columns(metrics: tuple[str, ...]) -> dict[str, Column]:
+def _with_synonyms(counted: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """Adds the synonyms (word, synonym) that join a predicted word to a referred one.
+
+    Pairs of equal words are looked up once, under a hash of both texts.
+    """
+    key = F.sha2(F.concat_ws("\n", "words_p", "words_r"), 256)
+    counted = counted.withColumn("__texts", key)
+    texts = counted.select("__texts", "words_p", "words_r").dropDuplicates(["__texts"])
+
+    def words(side: str, name: str) -> DataFrame:
+        each = F.explode(F.array_distinct(F.split(side, " "))).alias(name)
+        return texts.select("__texts", each)
+
+    table = synonyms.select("word", "synonym").distinct()
+    found = (
+        words("words_p", "word")
+        .join(table, "word")
+        .join(words("words_r", "synonym"), ["__texts", "synonym"])
+        .groupBy("__texts")
+        .agg(F.collect_list(F.struct("word", "synonym")).alias("synonyms"))
+    )
+    return counted.join(found, "__texts", "left").drop("__texts")
+
+
+def _score_columns(metrics: tuple[str, ...], guarded: bool) -> dict[str, Column]:
+    def value(name: str, kind: str, alone: bool = True) -> Column:
+        """The outcome of a pair; an error fails the job unless its family is guarded."""
+        if guarded and alone:
+            return F.col(f"{name}.value")
+        error = F.col(f"{name}.error")
+        return F.when(error.isNotNull(), F.raise_error(error).cast(kind)).otherwise(
+            F.col(f"{name}.value")
+        )
+
     def sizes(kind: str) -> tuple[Column, Column]:
         return tokens.token_count(F.col(f"{kind}_p")), tokens.token_count(F.col(f"{kind}_r"))
 
     columns: dict[str, Column] = {}
     if "sacrebleu" in metrics:
         p, r = sizes("bleu")
-        columns["bleu_m"] = F.col("bleu_m")
+        columns["bleu_m"] = value("bleu_m", "array<int>", alone=False)
         columns["bleu_np"], columns["bleu_nr"] = p, r
     for n, name in ((1, "rouge1"), (2, "rouge2")):
         if name in metrics:
             p, r = sizes("rouge")
             columns[name] = _f_measure(
-                F.get("rouge_m", n - 1),
+                F.get(value("rouge_m", "array<int>"), n - 1),
                 F.greatest(p - (n - 1), F.lit(0)),
                 F.greatest(r - (n - 1), F.lit(0)),
             )
     if "rougeL" in metrics:
-        columns["rougeL"] = _f_measure(F.col("lcs"), *sizes("rouge"))
+        columns["rougeL"] = _f_measure(value("lcs", "int"), *sizes("rouge"))
     if "rougeLsum" in metrics:
-        columns["rougeLsum"] = _f_measure(F.col("hits"), *sizes("rouge"))
+        columns["rougeLsum"] = _f_measure(value("hits", "int"), *sizes("rouge"))
     if "meteor" in metrics:
         p, r = sizes("words")
-        matches, chunks = F.col("align.matches"), F.col("align.chunks")
+        aligned = value("align", "array<int>")
+        matches, chunks = F.get(aligned, 0), F.get(aligned, 1)
         mean = (matches / p) * (matches / r) / (0.9 * matches / p + 0.1 * matches / r)
         penalty = 0.5 * F.pow(chunks / matches, 3)
         columns["meteor"] = F.when(matches > 0, (1 - penalty) * mean).otherwise(F.lit(0.0))
@@ -129,19 +169,31 @@ def pair_scores(
     by: tuple[str, ...] = (),
     metrics: tuple[str, ...] = TEXT_METRICS,
     tokenizer: str = "ascii",
-    synonyms: dict[str, set[str]] | None = None,
+    synonyms: DataFrame | None = None,
+    guarded: bool = False,
 ) -> DataFrame:
-    """Per pair: the ``by`` columns and the score (for BLEU: the counts) of each metric."""
-    if synonyms and len(synonyms) > MAX_SYNONYM_WORDS:
-        raise ValueError(f"More than {MAX_SYNONYM_WORDS} words with synonyms")
+    """Per pair: the ``by`` columns and the score (for BLEU: the counts) of each metric.
+
+    ``synonyms`` is a table (word, synonym) for METEOR. With ``guarded``, what
+    fails in a pair's ROUGE or METEOR is kept as text in a column per family.
+    """
     unknown = set(metrics) - set(TEXT_METRICS)
     if unknown:
         raise ValueError(f"Unknown metrics: {sorted(unknown)}")
     text = _token_columns(metrics, tokenizer)
     counted = pairs.select(*by, *[c.alias(n) for n, c in text.items()])
-    overlaps = _overlap_columns(metrics, synonyms)
+    use_synonyms = synonyms is not None and "meteor" in metrics
+    if use_synonyms:
+        counted = _with_synonyms(counted, synonyms)
+    overlaps = _overlap_columns(metrics, use_synonyms)
     counted = counted.select("*", *[c.alias(n) for n, c in overlaps.items()])
-    return counted.select(*by, *[c.alias(n) for n, c in _score_columns(metrics).items()])
+    errors = {}
+    if guarded:
+        for name, _, outcomes in FAMILIES:
+            if own := [F.col(f"{c}.error") for c in outcomes if c in overlaps]:
+                errors[name] = F.coalesce(*own)
+    scores = _score_columns(metrics, guarded) | errors
+    return counted.select(*by, *[c.alias(n) for n, c in scores.items()])
 
 
 # --- per group ---------------------------------------------------------------
@@ -182,17 +234,26 @@ def compute_text_metrics(
     by: tuple[str, ...] = (),
     metrics: tuple[str, ...] = TEXT_METRICS,
     tokenizer: str = "ascii",
-    synonyms: dict[str, set[str]] | None = None,
+    synonyms: DataFrame | None = None,
+    guarded: bool = False,
 ) -> DataFrame:
-    """One row per group: num_examples and every metric, in one pass over the pairs."""
-    scores = pair_scores(pairs, by, metrics, tokenizer, synonyms)
+    """One row per group: num_examples and every metric, in one pass over the pairs.
+
+    With ``guarded`` a group in which a family failed has its error text and no
+    scores of that family.
+    """
+    scores = pair_scores(pairs, by, metrics, tokenizer, synonyms, guarded)
     bleu = "sacrebleu" in metrics
     means = [m for m in metrics if m != "sacrebleu"]
     grouped = scores.groupBy(*by).agg(
         F.count(F.lit(1)).alias("num_examples"),
         *(_bleu_sums() if bleu else []),
         *[safe_mean(F.col(m)).alias(m) for m in means],
+        *[F.max(e).alias(e) for e, *_ in FAMILIES if e in scores.columns],
     )
+    errors = {m: e for e, names, _ in FAMILIES if e in scores.columns for m in names}
+    means = [F.when(F.col(errors[m]).isNull(), F.col(m)).alias(m) if m in errors else m for m in means]
+    means += [e for e, *_ in FAMILIES if e in scores.columns]
     named = []
     if bleu:
         named = [_bleu_score().alias("sacrebleu"), F.lit(BLEU_SIGNATURE).alias("sacrebleu_signature")]
@@ -216,18 +277,11 @@ def rouge_lsum(pairs: DataFrame, by: tuple[str, ...] = (), tokenizer: str = "asc
 
 
 def meteor_exact(
-    pairs: DataFrame, by: tuple[str, ...] = (), synonyms: dict[str, set[str]] | None = None
+    pairs: DataFrame, by: tuple[str, ...] = (), synonyms: DataFrame | None = None
 ) -> DataFrame:
     return compute_text_metrics(pairs, by, ("meteor",), synonyms=synonyms)
 
 
-# Metric families that fail on their own, and the name their error is kept under.
-FAMILIES = (
-    ("rouge_error", ("rouge1", "rouge2", "rougeL", "rougeLsum")),
-    ("meteor_error", ("meteor",)),
-)
-
-
 def isolated_text_metrics(
     pairs: DataFrame,
     by: tuple[str, ...] = (),
@@ -236,37 +290,32 @@ def isolated_text_metrics(
 ) -> DataFrame:
     """The full record of scores; a failing family leaves its error text instead.
 
-    ``token_vectors`` (see ``embedding_match``, with the ``by`` columns) adds
-    bertscore_f1. Each family is its own job, and its result is kept with
-    ``checkpoint`` in the folder of ``spark.checkpoint.dir``. BLEU is not guarded.
+    One pass over the pairs. A family fails alone both when its plan cannot be
+    built and when a pair breaks it; BLEU is not guarded. ``token_vectors`` (see
+    ``embedding_match``, with the ``by`` columns) adds bertscore_f1 by a join of
+    one row per group.
     """
-    keys = by or ("everything",)
-
-    def keyed(df: DataFrame) -> DataFrame:
-        return df if by else df.withColumn("everything", F.lit(0))
-
-    families = [
-        (
-            error,
-            lambda m=names: compute_text_metrics(keyed(pairs), keys, m, **options).drop(
-                "num_examples"
-            ),
-        )
-        for error, names in FAMILIES
-    ]
-    if token_vectors is not None:
-        families.append(
-            (
-                "bertscore_error",
-                lambda: embedding_match(keyed(token_vectors), keys).select(*keys, "bertscore_f1"),
-            )
-        )
-    result = compute_text_metrics(keyed(pairs), keys, ("sacrebleu",), **options)
-    for error, compute in families:
+    metrics, failed = ["sacrebleu"], {}
+    for error, names, _ in FAMILIES:
         try:
-            family = compute().checkpoint()
+            pair_scores(pairs, by, names, guarded=True, **options)
         except Exception as failure:  # whatever broke must not take the others along
-            result = result.withColumn(error, F.lit(str(failure)))
+            failed[error] = str(failure)
         else:
-            result = result.join(family, list(keys), "left")
-    return result if by else result.drop("everything")
+            metrics += names
+    result = compute_text_metrics(pairs, by, tuple(metrics), guarded=True, **options)
+    if token_vectors is not None:
+        try:
+            matched = embedding_match(token_vectors, by).select(
+                *[F.col(c).alias(f"__of_{c}") for c in by], "bertscore_f1"
+            )
+        except Exception as failure:
+            failed["bertscore_error"] = str(failure)
+        else:
+            same = reduce(
+                lambda a, b: a & b,
+                [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by],
+                F.lit(True),
+            )
+            result = result.join(matched, same, "left").drop(*[f"__of_{c}" for c in by])
+    return result.withColumns({e: F.lit(text) for e, text in failed.items()})

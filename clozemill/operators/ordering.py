@@ -9,6 +9,8 @@ on partition ids, so a recomputed task gives the same numbers.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,17 +40,18 @@ def with_running(
     """Adds running sums, minima or maxima in the order of a bigint column.
 
     ``columns`` maps a new name to ("sum" | "min" | "max", expression). The
-    ``by`` and ``order`` columns must not be null. Without ``inclusive`` the
-    current row is left out.
+    ``by`` columns group as in groupBy, nulls together; a null ``order`` is an
+    error. Without ``inclusive`` the current row is left out.
     """
-    rows = df.withColumn(_CHUNK, F.shiftright(F.col(order).cast("bigint"), width))
+    missing = F.raise_error(F.lit(f"Rows without {order} have no place"))
+    place = F.when(F.col(order).isNull(), missing.cast("bigint")).otherwise(F.col(order).cast("bigint"))
+    rows = df.withColumn(_CHUNK, F.shiftright(place, width))
     parts = rows.groupBy(*by, _CHUNK).agg(
         *[_FUNCTIONS[f](e).alias(f"__part_{name}") for name, (f, e) in columns.items()]
     )
     earlier = Window.partitionBy(*by).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select(
-        *by,
-        _CHUNK,
+        *[F.col(c).alias(f"__of_{c}") for c in (*by, _CHUNK)],
         *[
             _FUNCTIONS[f](f"__part_{name}").over(earlier).alias(f"__carry_{name}")
             for name, (f, _) in columns.items()
@@ -59,7 +62,8 @@ def with_running(
         .orderBy(order, *then_by)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    return rows.join(carried, [*by, _CHUNK]).select(
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in (*by, _CHUNK)]
+    return rows.join(carried, reduce(lambda a, b: a & b, same)).select(
         *df.columns,
         *[
             _COMBINE[f](F.col(f"__carry_{name}"), _FUNCTIONS[f](e).over(inside)).alias(name)
@@ -80,13 +84,3 @@ def with_dense_index(
     counted = {name: ("sum", F.lit(1).cast("bigint"))}
     return with_running(df, order, counted, by, inclusive=False, width=width, then_by=then_by)
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartitions only a table that arrives in fewer pieces than there are cores.
-
-    Work inside the row has no shuffle that would spread it, so a small file
-    with one row group would keep one core busy. A large table has more splits
-    than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -51,7 +51,7 @@ def select_ids(experiments: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
 
 def require_experiments(experiments: DataFrame) -> DataFrame:
     if experiments.isEmpty():
-        raise ValueError("No experiments selected")
+        raise ValueError("The selection holds no experiment")
     return experiments
 
 
@@ -101,11 +101,10 @@ def run_summary(
         configs.select("config", "output_dir", "config_model_name"), "config", "left"
     )
     missing = F.concat(F.lit("No config for experiment "), F.col("id"))
-    directory = F.when(F.col("output_dir").isNull(), F.raise_error(missing)).otherwise(
-        F.col("output_dir")
-    )
+    known = F.when(F.col("output_dir").isNull(), F.raise_error(missing).cast("boolean"))
     return (
-        configured.join(scores, "output_dir", "left")
+        configured.where(known.otherwise(F.lit(True)))
+        .join(scores, "output_dir", "left")
         .join(outcomes, "output_dir", "left")
         .select(
             *order,
@@ -114,7 +113,7 @@ def run_summary(
             F.coalesce(given_name, F.col("config_model_name"), F.lit("")).alias("model_name"),
             *[text(c) for c in _TEXT_FIELDS[3:]],
             "config",
-            directory.alias("output_dir"),
+            "output_dir",
             F.concat(F.col("output_dir"), F.lit("/checkpoints/best")).alias("checkpoint"),
             "best_val_loss",
             F.coalesce("elapsed_hms", F.lit("")).alias("elapsed_hms"),
@@ -246,5 +245,5 @@ def human_eval_sheet(predictions: DataFrame) -> DataFrame:
 def human_eval_summary(ratings: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
     """Mean of every score column that is there; blanks and non-numbers are left out."""
     scores = [c for c in fv.RATING_COLUMNS if c.endswith("_1_5") and c in ratings.columns]
-    means = [F.avg(F.col(c).try_cast("int")).alias(c.removesuffix("_score_1_5")) for c in scores]
+    means = [F.avg(F.col(c).try_cast("double")).alias(c.removesuffix("_score_1_5")) for c in scores]
     return ratings.groupBy(*by).agg(*means)

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clozemill.operators.metrics import isolated_text_metrics
 from clozemill.operators.questions import Generator, batch_generate
-from clozemill.operators.runs import run_summary
+from clozemill.operators.runs import human_eval_sheet, run_summary
 from clozemill.sources.readers import load_corpora
 from clozemill.sources.sinks import write_csv, write_jsonl, write_markdown, write_record
 
+#: From texts to the token vectors of each.
+Encoder = Callable[[list[str]], list[list[list[float]]]]
+
 
 def evaluate_corpus(
     spark: SparkSession,
@@ -20,11 +24,14 @@ def evaluate_corpus(
     make_generator: Callable[[], Generator],
     split: str = "evaluation_datasets",
     root: str = ".",
+    make_encoder: Callable[[], Encoder] | None = None,
 ) -> DataFrame:
     """Generates a question for every row of a corpus, then scores them.
 
     Predictions are written first and read back for scoring, so the generator
-    runs once, and a lost executor costs only its own tasks.
+    runs once, and a lost executor costs only its own tasks. ``make_encoder``
+    runs once per task and gives a function from texts to the vectors of their
+    tokens; with it the scores hold bertscore_f1.
     """
     data = config["data"]
     corpus = load_corpora(spark, data[split], data["source_template"], root)
@@ -48,12 +55,37 @@ def evaluate_corpus(
     write_jsonl(rows, f"{out}/predictions")
     written = spark.read.schema(rows.schema).json(f"{out}/predictions")
     pairs = written.select(
+        F.xxhash64("spec_pos", "row_idx").alias("pair_id"),
         F.col("generated_question").alias("prediction"),
         F.col("reference_question").alias("reference"),
     )
-    metrics = isolated_text_metrics(pairs)
+    vectors = encoded(pairs, make_encoder) if make_encoder else None
+    metrics = isolated_text_metrics(pairs.drop("pair_id"), token_vectors=vectors)
     write_record(metrics, f"{out}/metrics")
-    return metrics
+    return spark.read.schema(metrics.schema).json(f"{out}/metrics")
+
+
+def encoded(pairs: DataFrame, make_encoder: Callable[[], Encoder]) -> DataFrame:
+    """Token vectors (pair_id, side, pos, vec) of both texts of every pair."""
+
+    def encode(batches):
+        encoder = make_encoder()
+        for batch in batches:
+            rows = []
+            for side in ("prediction", "reference"):
+                texts = [t or "" for t in batch[side]]
+                for pair, vectors in zip(batch["pair_id"], encoder(texts), strict=True):
+                    rows += [(pair, side, i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+            yield pd.DataFrame(rows, columns=["pair_id", "side", "pos", "vec"])
+
+    return pairs.mapInPandas(encode, "pair_id bigint, side string, pos int, vec array<double>")
+
+
+def rating_sheet(spark: SparkSession, predictions: str, output_csv: str) -> DataFrame:
+    """Written predictions as a sheet with blank rating columns, saved as CSV."""
+    sheet = human_eval_sheet(spark.read.json(predictions))
+    write_csv(sheet, output_csv)
+    return sheet
 
 
 def summarize_runs(

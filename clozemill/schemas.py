@@ -25,6 +25,7 @@ SQUAD_SCHEMA = T.StructType(
         ),
     ]
 )
+CONFIG_SCHEMA = _strings("config", "output_dir", "config_model_name")
 GENERATION_INPUT_SCHEMA = _strings("context", "answer_text")
 MANIFEST_FIELDS = (
     "id", "title", "config", "model_family", "model_name", "train_language",

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pathlib import PurePosixPath
+import re
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clozemill.operators.corpus import limit_first_n, normalize_qa, union_corpora
 from clozemill.schemas import (
+    CONFIG_SCHEMA,
     GENERATION_INPUT_SCHEMA,
     MANIFEST_FIELDS,
     MANIFEST_SCHEMA,
@@ -23,39 +26,42 @@ def _as_list(paths: str | list[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def number_rows(scan: DataFrame, paths: list[str], name: str = "row_idx") -> DataFrame:
-    """Adds the position of every row in the files: 0, 1, 2, … over all of them.
+def number_rows(scans: list[DataFrame], name: str = "row_idx") -> DataFrame:
+    """Adds the position of every row: 0, 1, 2, … over all scans one after another.
 
-    Files count in the order of ``paths``, and by name below a directory. Only
-    the row counts of the file splits are gathered, one row per split; the rows
-    themselves are neither sorted nor shuffled, unless there are so many splits
-    that Spark will not broadcast their counts.
+    Within a scan, files count by name and their splits in order. Only the row
+    counts of the file splits are gathered in one task, one row per split; the
+    rows themselves are neither sorted nor shuffled, unless there are so many
+    splits that Spark will not broadcast their counts.
     """
-    listed: Column = F.lit(len(paths))
-    for i, path in reversed(list(enumerate(paths))):
-        listed = F.when(F.col("__file").endswith(PurePosixPath(path).name), i).otherwise(listed)
-    placed = scan.select(
-        "*",
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__split"),
-        F.monotonically_increasing_id().alias("__id"),
-    )
+    columns = list(dict.fromkeys(c for scan in scans for c in scan.columns))
+    tagged = [
+        scan.select(
+            "*",
+            F.lit(i).alias("__listed"),
+            F.col("_metadata.file_path").alias("__file"),
+            F.col("_metadata.file_block_start").alias("__split"),
+            F.monotonically_increasing_id().alias("__id"),
+        )
+        for i, scan in enumerate(scans)
+    ]
+    placed = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     splits = (
-        placed.groupBy("__file", "__split")
+        placed.groupBy("__listed", "__file", "__split")
         .agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__rows"))
-        .withColumn("__listed", listed)
     )
     earlier = Window.orderBy("__listed", "__file", "__split").rowsBetween(
         Window.unboundedPreceding, -1
     )
     starts = splits.select(
+        "__listed",
         "__file",
         "__split",
         "__first",
         F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start"),
     )
-    return placed.join(starts, ["__file", "__split"]).select(
-        *scan.columns, (F.col("__start") + F.col("__id") - F.col("__first")).alias(name)
+    return placed.join(starts, ["__listed", "__file", "__split"]).select(
+        *columns, (F.col("__start") + F.col("__id") - F.col("__first")).alias(name)
     )
 
 
@@ -74,28 +80,35 @@ def read_json_corpus(
 ) -> DataFrame:
     """A JSON-lines corpus with its row numbers; the schema is inferred if not given."""
     paths = _as_list(data_files)
-    return number_rows(read_jsonl(spark, paths, schema), paths)
+    schema = schema or read_jsonl(spark, paths).schema
+    return number_rows([read_jsonl(spark, path, schema) for path in paths])
 
 
 def read_csv_corpus(
-    spark: SparkSession, data_files: str | list[str], answers_json: bool = False
+    spark: SparkSession,
+    data_files: str | list[str],
+    answers_json: bool = False,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
-    """A CSV corpus with a header.
+    """A CSV corpus with a header; all columns are text unless a schema is given.
 
     A plain cell in ``answers`` is no answer, so such a corpus normalises to
-    nothing; ``answers_json`` parses the cell as a struct of lists instead.
+    nothing; ``answers_json`` parses the cell as a struct of lists instead. A
+    malformed row or cell fails the job. Cells may hold line breaks, so each
+    file is read by one task.
     """
-    paths = _as_list(data_files)
-    scan = (
+    reader = (
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
-        .csv(paths)
+        .option("mode", "FAILFAST")
     )
-    corpus = number_rows(scan, paths)
+    if schema is not None:
+        reader = reader.schema(schema)
+    corpus = number_rows([reader.csv(path) for path in _as_list(data_files)])
     if answers_json and "answers" in corpus.columns:
-        parsed = F.from_json("answers", SQUAD_SCHEMA["answers"].dataType)
+        parsed = F.from_json("answers", SQUAD_SCHEMA["answers"].dataType, {"mode": "FAILFAST"})
         corpus = corpus.withColumn("answers", parsed)
     return corpus
 
@@ -106,7 +119,7 @@ def read_named_corpus(
     """One split of a named corpus, kept as Parquet partitioned by ``split``."""
     location = "/".join(p for p in (root, path, name) if p)
     scan = spark.read.parquet(location).where(F.col("split") == split)
-    return number_rows(scan, [location]).drop("split")
+    return number_rows([scan]).drop("split")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -125,7 +138,7 @@ def read_generation_input(
     if input_jsonl:
         return read_jsonl(spark, input_jsonl, GENERATION_INPUT_SCHEMA)
     if not context or not answer:
-        raise ValueError("Either provide input_jsonl or both context and answer")
+        raise ValueError("Nothing to read: give a file, or a context with its answer")
     return spark.createDataFrame([(context, answer)], GENERATION_INPUT_SCHEMA)
 
 
@@ -136,7 +149,7 @@ def read_context(
     if input_txt:
         return read_documents(spark, input_txt)
     if not context:
-        raise ValueError("Provide context or input_txt")
+        raise ValueError("Nothing to read: give a text file or a context")
     return spark.createDataFrame([("inline", context)], "doc_id string, text string")
 
 
@@ -161,32 +174,93 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
         import json
 
         return manifest_table(spark, json.loads(text))
-    raise ValueError(f"Unsupported config format: {path}")
+    raise ValueError(f"A manifest is a YAML or JSON file, not {path}")
 
 
-def _read_runs(spark: SparkSession, root: str, inner: str, schema: T.StructType) -> DataFrame:
-    scan = (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", inner.rsplit("/", 1)[1])
-        .json(root)
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path as the file system names it, with one slash after the scheme."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return re.sub(r"^([A-Za-z][A-Za-z0-9+.-]*):/+", r"\1:/", system.makeQualified(found).toString())
+
+
+def _file_path() -> Column:
+    """The file of a row, in the form of ``_qualified``."""
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, r"^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
+def read_configs(spark: SparkSession, configs: DataFrame | list[str]) -> DataFrame:
+    """(config, output_dir, config_model_name) of config files, YAML or JSON.
+
+    ``configs`` is a list of paths or a manifest; it lists experiments, so the
+    paths are gathered on the driver. A missing file or output_dir is an error.
+    """
+    if isinstance(configs, DataFrame):
+        configs = [r[0] for r in configs.select("config").distinct().collect()]
+    if not configs:
+        return spark.createDataFrame([], CONFIG_SCHEMA)
+
+    @F.pandas_udf("output_dir string, config_model_name string")
+    def settings(texts: pd.Series) -> pd.DataFrame:
+        import yaml
+
+        loaded = [yaml.safe_load(text) for text in texts]  # JSON is YAML, too
+        return pd.DataFrame(
+            {
+                "output_dir": [str(c["output_dir"]) for c in loaded],
+                "config_model_name": [(c.get("model") or {}).get("name", "") for c in loaded],
+            },
+            dtype="object",
+        )
+
+    scan = spark.read.text(configs, wholetext=True)
+    read = scan.select(_file_path().alias("__file"), settings("value").alias("s"))
+    named = spark.createDataFrame(
+        [(c, _qualified(spark, c)) for c in configs], "config string, __file string"
     )
-    directory = F.regexp_extract("__file", rf"([^/]+)/{inner}$", 1)
-    return (
-        scan.select("*", F.col("_metadata.file_path").alias("__file"))
-        .select(F.concat(F.lit(root.rstrip("/") + "/"), directory).alias("output_dir"), "*")
-        .drop("__file")
+    return named.join(read, "__file").select("config", "s.*")
+
+
+def _read_runs(spark: SparkSession, root: str, folder: str, stem: str, schema: T.StructType) -> DataFrame:
+    """``folder/stem.json`` of every run below ``root``, or the parts of a table written there.
+
+    output_dir is ``root`` with the path between it and ``folder``. The files are
+    listed first, one name per run; a broken one fails the job.
+    """
+    inner = rf"/{folder}/{stem}(\.json|(\.json)?/part-[^/]*\.json)$"
+    listed = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.json")
+        .load(root)
+        .select("path")
+        .where(F.col("path").rlike(inner))
     )
+    paths = [r["path"] for r in listed.collect()]
+    prefix = _qualified(spark, root).rstrip("/")
+    between = F.regexp_replace(F.substring(_file_path(), F.lit(len(prefix) + 1), F.lit(2**30)), inner, "")
+    scans = [
+        spark.read.schema(schema)
+        .option("multiLine", whole)
+        .option("mode", "FAILFAST")
+        .json(own)
+        .select(F.concat(F.lit(root.rstrip("/")), between).alias("output_dir"), "*")
+        for whole in (True, False)
+        if (own := [p for p in paths if whole != bool(re.search(r"/part-[^/]*$", p))])
+    ]
+    if not scans:
+        return spark.createDataFrame([], T.StructType([T.StructField("output_dir", T.StringType()), *schema]))
+    return reduce(lambda a, b: a.union(b), scans)
 
 
 def read_run_metrics(spark: SparkSession, root: str) -> DataFrame:
     """The metrics of every run below a folder; a run without the file has no row."""
-    return _read_runs(spark, root, "evaluation/metrics.json", METRICS_SCHEMA)
+    return _read_runs(spark, root, "evaluation", "metrics", METRICS_SCHEMA)
 
 
 def read_training_summaries(spark: SparkSession, root: str) -> DataFrame:
-    return _read_runs(spark, root, "logs/training_summary.json", TRAINING_SUMMARY_SCHEMA)
+    return _read_runs(spark, root, "logs", "training_summary", TRAINING_SUMMARY_SCHEMA)
 
 
 def load_one_spec(
@@ -202,9 +276,11 @@ def load_one_spec(
     elif kind == "json":
         raw = read_json_corpus(spark, spec["data_files"], spec.get("schema"))
     elif kind == "csv":
-        raw = read_csv_corpus(spark, spec["data_files"], spec.get("answers_json", False))
+        raw = read_csv_corpus(
+            spark, spec["data_files"], spec.get("answers_json", False), spec.get("schema")
+        )
     else:
-        raise ValueError(f"Unsupported dataset spec type: {kind}")
+        raise ValueError(f"No reader for corpora of type {kind!r}")
     corpus = normalize_qa(raw, template, name, spec.get("language", "unknown"))
     return limit_first_n(corpus, spec.get("max_samples"))
 

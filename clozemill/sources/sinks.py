@@ -17,8 +17,8 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_record(df: DataFrame, path: str) -> None:
-    """A one-row table as a single JSON file."""
-    write_jsonl(df.limit(1).coalesce(1), path)
+    """A small table, such as one row of scores, as a folder of JSON lines; all rows are kept."""
+    write_jsonl(df, path)
 
 
 def write_csv(df: DataFrame, path: str, bom: bool = True, single_file: bool = False) -> None:

@@ -56,12 +56,14 @@ def test_nested_questions_are_numbered_over_kept_rows(spark):
 
 
 @pytest.mark.parametrize("limit, expected", [(None, 10), (3, 3), ("4", 4), (0, 0), (99, 10)])
-def test_limit_keeps_the_first_rows(spark, limit, expected, monkeypatch):
+def test_limit_keeps_the_first_rows(spark, limit, expected):
     df = spark.range(10).select((F.col("id") * 7 % 10).alias("row_idx")).repartition(3)
-    for threshold in (100, -1):  # top-n and numbered
-        monkeypatch.setattr(corpus, "TOP_N_ROWS", threshold)
-        rows = corpus.limit_first_n(df, limit).collect()
-        assert sorted(r.row_idx for r in rows) == list(range(expected))
+    rows = corpus.limit_first_n(df, limit).collect()
+    assert sorted(r.row_idx for r in rows) == list(range(expected))
+    unplaced = df.union(spark.sql("select cast(null as bigint)"))
+    if limit is not None:
+        with pytest.raises(Exception, match="have no place"):
+            corpus.limit_first_n(unplaced, limit).count()
 
 
 def test_union_keeps_order_and_fills_gaps(spark):
@@ -69,7 +71,7 @@ def test_union_keeps_order_and_fills_gaps(spark):
     b = spark.createDataFrame([(0, "y", "t")], "row_idx long, q string, title string")
     rows = corpus.union_corpora([a, b]).orderBy("spec_pos", "row_idx").collect()
     assert [(r.spec_pos, r.q, r.title) for r in rows] == [(0, "x", None), (1, "y", "t")]
-    with pytest.raises(ValueError, match="Dataset specs are empty"):
+    with pytest.raises(ValueError, match="No corpus is given"):
         corpus.union_corpora([])
 
 

@@ -4,7 +4,7 @@ import pytest
 
 from clozemill.fixed_values import DEFAULT_TEMPLATE, METRIC_COLUMNS
 from clozemill.operators import runs
-from clozemill.plans.evaluation import evaluate_corpus, summarize_runs
+from clozemill.plans.evaluation import evaluate_corpus, rating_sheet, summarize_runs
 from clozemill.sources import readers, sinks
 from clozemill.schemas import SQUAD_SCHEMA
 
@@ -61,7 +61,7 @@ def test_specs(spark, tmp_path):
     rows = [(r.spec_pos, r.example_id, r.dataset_name, r.language) for r in df.collect()]
     assert rows == [(0, "e0", "d", "ru"), (0, "e2", "d", "ru"), (1, "x", str(csv), "unknown"), (2, "n2", "squad", "unknown")]
     assert readers.load_one_spec(spark, {"type": "csv", "data_files": str(csv)}, DEFAULT_TEMPLATE).count() == 0
-    with pytest.raises(ValueError, match="Unsupported dataset spec type"):
+    with pytest.raises(ValueError, match="No reader for corpora"):
         readers.load_one_spec(spark, {"type": "xml"}, DEFAULT_TEMPLATE)
 
 
@@ -127,3 +127,87 @@ def test_evaluation_and_reports(spark, tmp_path):
     assert report[0].startswith("| id | scenario | model_name |") and report[1] == "| " + " | ".join(["---"] * 10) + " |"
     assert report[2:] == ["| x |  | base |  |  | 1.5000 |  |  |  | 0.5000 |", "| y |  | m |  |  |  |  |  |  |  |"]
     assert set(METRIC_COLUMNS) <= set(scores.columns)
+
+
+def test_files_count_in_the_order_given(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "y y").mkdir()
+    first = lines(tmp_path / "y y" / "train.jsonl", [example(0), example(1)])
+    second = lines(tmp_path / "x" / "train.jsonl", [example(2)])
+    third = lines(tmp_path / "bad+d.jsonl", [example(3)])
+    fourth = lines(tmp_path / "d.jsonl", [example(4)])
+    for schema in (SQUAD_SCHEMA, None):
+        df = readers.read_json_corpus(spark, [first, second, third, fourth], schema).orderBy("row_idx")
+        assert [(r.row_idx, r.id) for r in df.collect()] == [(i, f"e{i}") for i in range(5)]
+
+
+def test_bad_csv_fails(spark, tmp_path):
+    path = tmp_path / "b.csv"
+    path.write_text('id,context,question,answers\nx,c,q?,"{""text"": 7"\n')
+    with pytest.raises(Exception):
+        readers.read_csv_corpus(spark, str(path), answers_json=True).collect()
+    path.write_text("id,n\nx,1\ny,z\n")
+    with pytest.raises(Exception):
+        readers.read_csv_corpus(spark, str(path), schema="id string, n int").collect()
+
+
+def test_records_keep_all_rows(spark, tmp_path):
+    sinks.write_record(spark.range(2), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 2
+
+
+def test_run_folders(spark, tmp_path):
+    root = tmp_path / "all runs"
+    for name, score in (("a/r1", 1.0), ("b/r1", 2.0), ("c + d", 3.0)):
+        (root / name / "evaluation").mkdir(parents=True)
+        (root / name / "evaluation" / "metrics.json").write_text(json.dumps({"sacrebleu": score}))
+    (root / "a" / "metrics.json").write_text('{"sacrebleu": 9}')
+    rows = readers.read_run_metrics(spark, str(root)).collect()
+    assert {(r.output_dir, r.sacrebleu) for r in rows} == {
+        (f"{root}/a/r1", 1.0), (f"{root}/b/r1", 2.0), (f"{root}/c + d", 3.0),
+    }
+    assert readers.read_training_summaries(spark, str(root)).count() == 0
+    (root / "a" / "r1" / "evaluation" / "metrics.json").write_text('{"sacrebleu": ')
+    with pytest.raises(Exception):
+        readers.read_run_metrics(spark, str(root)).collect()
+
+
+def test_from_manifest_to_report(spark, tmp_path):
+    data = lines(tmp_path / "d.jsonl", [example(i) for i in range(3)])
+    root = tmp_path / "runs"
+    for name, text in (("one.yaml", f"output_dir: {root}/g/one\nmodel: {{name: base-1}}\n"),
+                       ("two.json", json.dumps({"output_dir": f"{root}/two", "model": {}}))):
+        (tmp_path / name).write_text(text)
+    manifest = tmp_path / "m.yaml"
+    manifest.write_text(
+        f"g:\n  - {{id: x, config: {tmp_path}/one.yaml}}\n  - {{id: y, config: {tmp_path}/two.json, model_name: m}}\n"
+    )
+    experiments = runs.select_groups(readers.read_manifest(spark, str(manifest)), ["g"])
+    configs = readers.read_configs(spark, experiments)
+    found = {r.config: r for r in configs.collect()}
+    assert found[f"{tmp_path}/one.yaml"].config_model_name == "base-1"
+
+    def make():
+        return lambda sources, settings: ["Что 1?" for _ in sources]
+
+    def encoder():
+        return lambda texts: [[[1.0, float(len(w))] for w in t.split()] for t in texts]
+
+    for r in found.values():
+        config = {"output_dir": r.output_dir,
+                  "data": {"source_template": DEFAULT_TEMPLATE, "max_source_length": 64,
+                           "evaluation_datasets": [{"type": "json", "data_files": data, "dataset_name": "d"}]}}
+        evaluate_corpus(spark, config, make, make_encoder=encoder)
+    scores = readers.read_run_metrics(spark, str(root))
+    assert {(r.output_dir, r.num_examples, r.bertscore_f1 > 0.9) for r in scores.collect()} == {
+        (f"{root}/g/one", 3, True), (f"{root}/two", 3, True),
+    }
+    outcomes = readers.read_training_summaries(spark, str(root))
+    summarize_runs(experiments, configs, scores, outcomes, str(tmp_path / "csv"), str(tmp_path / "md"))
+    report = "".join(p.read_text() for p in sorted((tmp_path / "md").glob("part*"))).splitlines()
+    assert [line.split(" | ")[2] for line in report[2:]] == ["base-1", "m"]
+    assert all(float(line.split(" | ")[8]) > 0.9 for line in report[2:])
+    sheet = rating_sheet(spark, f"{root}/two/evaluation/predictions", str(tmp_path / "sheet"))
+    assert sheet.count() == 3 and "overall_score_1_5" in sheet.columns
+    with pytest.raises(Exception):
+        readers.read_configs(spark, [f"{tmp_path}/none.yaml"]).collect()

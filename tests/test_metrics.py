@@ -3,6 +3,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def test_meteor_goldens(spark):
     r = scores(spark, [("a b d e", "a b c d e")])
     mean = 0.8 / (0.9 + 0.1 * 0.8)
     assert r.meteor == pytest.approx((1 - 0.5 * (2 / 4) ** 3) * mean)
-    r = scores(spark, [("big dog", "large dog")], synonyms={"big": {"large"}})
+    r = scores(spark, [("big dog", "large dog")], synonyms=spark.createDataFrame([("big", "large"), ("big", "huge"), ("x", "y")], "word string, synonym string"))
     assert r.meteor == pytest.approx(1 - 0.5 * (1 / 2) ** 3)
 
 
@@ -115,8 +116,8 @@ def test_groups_and_pairing(spark):
     pairs = metrics.align_pairs(p, r)
     by_row = metrics.rouge_n(pairs, ("row_idx",)).orderBy("row_idx").collect()
     assert [x.rouge1 for x in by_row] == [1.0, 0.0]
-    with pytest.raises(Exception, match="same length"):
-        metrics.align_pairs(p, r.where("row_idx = 1")).collect()
+    with pytest.raises(Exception, match="but not both"):
+        metrics.align_pairs(p, r.where("row_idx = 1")).count()
 
 
 def test_a_failing_family_leaves_the_others(spark, monkeypatch):
@@ -168,3 +169,26 @@ def test_embedding_match(spark, monkeypatch):
     assert got[0].bertscore_f1 == pytest.approx(2 * p * r / (p + r))
     assert got[1].bertscore_f1 == pytest.approx(1.0)
     assert got[2].bertscore_f1 == 0.0
+
+
+def test_isolation_without_checkpoints_and_with_null_groups(spark, monkeypatch):
+    rows = [("a b c d", "a b c d", None), ("a b c d", "a b c x", "g")]
+    pairs = spark.createDataFrame(rows, "prediction string, reference string, k string")
+    got = {r.k: r for r in metrics.isolated_text_metrics(pairs, ("k",)).collect()}
+    assert got[None].rougeL == 1.0 and got[None].meteor > 0.9 and got["g"].rouge1 == 0.75
+    text = metrics.isolated_text_metrics(pairs, ("k",))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and text.count("Scan") == 1 and "Join" not in text
+
+    # What fails inside a pair stays in its family and group.
+    @F.pandas_udf("struct<value:int,error:string>")
+    def bad(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        none = pd.Series([None] * len(a), dtype="Int32")
+        return pd.DataFrame({"value": none, "error": ["no length"] * len(a)})
+
+    monkeypatch.setattr(metrics, "lcs_length", bad)
+    got = {r.k: r for r in metrics.isolated_text_metrics(pairs, ("k",)).collect()}
+    assert got["g"].rougeL is None and got["g"].rouge1 is None and "no length" in got["g"].rouge_error
+    assert got["g"].meteor > 0 and got["g"].sacrebleu > 0 and got["g"].meteor_error is None
+    with pytest.raises(Exception, match="no length"):
+        metrics.rouge_l(pairs).collect()
+

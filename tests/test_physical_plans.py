@@ -2,8 +2,11 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from checks.queries import QUERIES
 from checks.views import view
+from clozemill.functions.text import normalize_text
 from clozemill.operators import answers, corpus, metrics
 from clozemill.plans.text_to_questions import text_to_questions
 
@@ -33,9 +36,18 @@ def test_a_score_shuffles_only_group_sums(spark):
     assert text.count("ArrowEvalPython") == 1
 
 
-def test_small_limits_are_top_n(spark):
+@pytest.mark.parametrize("n", [5, 500_000])
+def test_limits_have_one_plan(spark, n):
     df = spark.range(10).withColumnRenamed("id", "row_idx")
-    assert "TakeOrderedAndProject" in plan(corpus.limit_first_n(df, 5))
+    text = plan(corpus.limit_first_n(df, n))
+    assert "TakeOrdered" not in text and "Limit" not in text and "Window" in text
+
+
+def test_repair_maps_a_column_once(spark):
+    df = spark.createDataFrame([("a",)], "t string")
+    assert plan(df.select(normalize_text(F.col("t")).alias("t"))).count("translate(") == 1
+    for name, columns in (("normalize_qa", 4), ("flatten_qas", 4)):
+        assert plan(QUERIES[name](spark, SF)).count("translate(") <= columns, name
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

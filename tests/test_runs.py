@@ -3,6 +3,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from clozemill.functions import formats
 from clozemill.operators import runs
 from clozemill.sources.readers import manifest_table
 
@@ -47,7 +50,7 @@ def test_ids(spark, manifest):
     assert {r.id for r in runs.select_ids(manifest, ["a", "c"]).collect()} == {"a", "c"}
     table = spark.createDataFrame([("b",), ("b",)], "id string")
     assert [r.id for r in runs.select_ids(manifest, table).collect()] == ["b"]
-    with pytest.raises(ValueError, match="No experiments selected"):
+    with pytest.raises(ValueError, match="holds no experiment"):
         runs.require_experiments(runs.select_ids(manifest, ["zzz"]))
 
 
@@ -130,3 +133,37 @@ def test_compare_runs(spark):
     pairs = spark.createDataFrame([("drop", "a", "b")], "comparison string, left_id string, right_id string")
     r = runs.compare_runs(scores, pairs, ("sacrebleu",)).head()
     assert (r.comparison, r.sacrebleu_delta) == ("drop", 17.5)
+
+
+def test_ratings_may_be_fractions(spark):
+    rated = spark.createDataFrame([("m", "4.5"), ("m", "3")], "model string, fluency_score_1_5 string")
+    assert runs.human_eval_summary(rated).head().fluency == 3.75
+
+
+def test_checks_survive_column_pruning(spark, manifest):
+    none = spark.createDataFrame([], "config string, output_dir string, config_model_name string")
+    empty = spark.createDataFrame([], "output_dir string")
+    summary = runs.run_summary(manifest, none, empty, empty)
+    for shape in (summary.count, runs.report_cells(summary).select("id").collect):
+        with pytest.raises(Exception, match="No config"):
+            shape()
+
+
+def test_rows_without_an_epoch_fail_and_null_runs_stay(spark):
+    rows = [(None, 1, 2.0), (None, 2, 1.0), (7, 1, 1.0)]
+    df = spark.createDataFrame(rows, "run_id int, epoch int, val_loss double")
+    got = {r.run_id: r.epochs_run for r in runs.early_stopping(df).collect()}
+    assert got == {None: 2, 7: 1}
+    bad = spark.createDataFrame([(1, None, 2.0)], "run_id int, epoch int, val_loss double")
+    with pytest.raises(Exception, match="have no place"):
+        runs.early_stopping(bad).collect()
+
+
+def test_format_metric_as_python_does(spark):
+    rng = random.Random(11)
+    values = [rng.choice([-1, 1]) * rng.random() * 10 ** rng.randint(-6, 15) for _ in range(10_000)]
+    values += [0.0, -0.0, 274877906944.00055, 12345678901234.568, 0.99995, 9.99995, 0.00005, 2.5e-05, 1e22, 2.0**99, 2.0**53 + 2, 1e-300]
+    values += [k / 32 / 1000 for k in range(200)] + [math.inf, -math.inf, math.nan]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    got = {r.i: r.t for r in df.select("i", formats.format_metric(F.col("v")).alias("t")).collect()}
+    assert [got[i] for i in range(len(values))] == [f"{v:.4f}" for v in values]

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,3 +53,13 @@ def test_seconds_as_text(spark):
     assert column(spark, [0.0, 59.9, 3661.0, 360000.5], formats.format_hms, "double") == [
         "00:00:00", "00:00:59", "01:01:01", "100:00:00",
     ]
+
+
+def test_fractional_numbers_read_as_in_python(spark):
+    rng = random.Random(12)
+    # Digits are the JVM's: before JDK 19 a few doubles, like 2e23, show more than they need.
+    values = [0.0, 1e7, 123456789.0, 1.5e-5, 0.001, 0.0001, 0.00012345, 1e15, 1e16, 1.25e21, 9999999.5, -3e7, -0.00025, float("inf"), float("nan"), 1e-300]
+    values += [float(f"{rng.random() * 10 ** rng.randint(-7, 17):.6g}") for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    got = {r.i: r.t for r in df.select("i", text.falsy_to_empty(F.col("v"), T.DoubleType()).alias("t")).collect()}
+    assert [got[i] for i in range(len(values))] == [str(v or "") for v in values]
