@@ -351,22 +351,33 @@ summary as (
   from picked p join v_configs c on c.config = p.config
     left join v_run_metrics m on m.output_dir = c.output_dir
     left join v_summaries s on s.output_dir = c.output_dir)"""
+_EVERY_RUN = _PICKED.replace(
+    "values ('BUILDING', 0), ('NO SUCH GROUP', 1), ('MACHINERY', 2), ('BUILDING', 3)",
+    "values ('MACHINERY', 0), ('AUTOMOBILE', 1), ('BUILDING', 2), ('HOUSEHOLD', 3), ('FURNITURE', 4)",
+)
+_CELLS = _EVERY_RUN + """,
+cells as (
+  select group_pos, pos, id, scenario, model_name, train_language, eval_language,
+    coalesce(printf('%.4f', sacrebleu), '') as sacrebleu,
+    coalesce(printf('%.4f', "rougeL"), '') as "rougeL",
+    coalesce(printf('%.4f', meteor), '') as meteor, '' as bertscore_f1,
+    coalesce(printf('%.4f', best_val_loss), '') as best_val_loss from summary)"""
 
 _STOPPING = duck_with("v_epochs") + """,
 run_epochs as (
   select run_id, list(epoch order by epoch) as e, list(val_loss order by epoch) as v
   from v_epochs group by 1),
 walk as (
-  select run_id, e, v, 0 as i, 'inf'::double as best, null::int as best_epoch, 0 as waited
-  from run_epochs
+  select run_id, patience, e, v, 0 as i, 'inf'::double as best, null::int as best_epoch, 0 as waited
+  from run_epochs cross join (values (0), (1), (2), (3)) p(patience)
   union all
-  select run_id, e, v, i + 1, least(best, v[i + 1]),
+  select run_id, patience, e, v, i + 1, least(best, v[i + 1]),
     case when v[i + 1] < best then e[i + 1] else best_epoch end,
     case when v[i + 1] < best then 0 else waited + 1 end
-  from walk where i < len(e) and waited < 2)
-select run_id, cast(i as bigint) as epochs_run, e[i] as stop_epoch, best_epoch,
-  best as best_val_loss, waited >= 2 as stopped_early
-from walk where i = len(e) or waited >= 2"""
+  from walk where i < len(e) and waited < greatest(patience, 1))
+select run_id, patience, cast(i as bigint) as epochs_run, e[i] as stop_epoch, best_epoch,
+  best as best_val_loss, waited >= greatest(patience, 1) as stopped_early
+from walk where i = len(e) or waited >= greatest(patience, 1)"""
 
 # --- batches -----------------------------------------------------------------
 
@@ -381,6 +392,8 @@ _BATCH_IDS = (
     "cast((row_number() over (order by row_idx) - 1) % 4 as int) as batch_pos"
 )
 
+_SHUFFLED = "order by ('0x' || substr(md5(row_idx || ':42'), 1, 15))::bigint, row_idx"
+
 
 ORACLES: dict[str, str] = {
     "normalize_text": f"""
@@ -393,6 +406,8 @@ union all select 'latin', doc_id, 'Р ' || text from documents""",
     "falsy_to_empty": """
 select l_orderkey, l_linenumber,
   case when l_discount = 0 then '' else cast(l_discount as varchar) end as number,
+  cast(floor(l_extendedprice) * 4096.0::double as varchar) as large,
+  cast(l_quantity::double / 65536.0::double as varchar) as small,
   case when l_returnflag = 'R' then 'True' else '' end as flag,
   case when l_returnflag = 'R' then l_linestatus else '' end as text from lineitem""",
     "build_source": _QA + f"\nselect row_idx, {_CANON} as source from v_qa_flat",
@@ -464,6 +479,13 @@ select lang, num_examples, sacrebleu from sizes join bleu using (lang)""",
     "rouge_n_unicode": _rouge("v_pairs", "pair_id", "lang", r"\p{L}\p{N}"),
     "rouge_l": _TURN_PAIRS + "," + _LCS + """
 select count(*) as num_examples, round(avg(f), 6) as "rougeL" from lcs""",
+    # The prediction leaves words of its reference out, so it is their longest common part.
+    "rouge_l_documents": duck_with("v_pairs") + f""",
+sizes as (
+  select lang, len({_rouge_tokens('prediction', 'a-z0-9')}) as p,
+    len({_rouge_tokens('reference', 'a-z0-9')}) as r from v_pairs)
+select lang, count(*) as num_examples,
+  round(avg(case when p > 0 then 2.0 * p / (p + r) else 0.0 end), 6) as "rougeL" from sizes group by 1""",
     "rouge_lsum": _TURN_PAIRS + "," + _LCS + """
 select count(*) as num_examples, round(avg(f), 6) as "rougeLsum" from lcs""",
     "meteor_exact": duck_with("v_pairs") + "," + _meteor("v_pairs", "pair_id", "lang") + """
@@ -510,13 +532,15 @@ from sizes join bleu using (everything)""",
     "select_ids": duck_with("v_experiments") + """
 select id, config from v_experiments where id in (
   select 'run-' || o_custkey from orders where o_orderpriority = '1-URGENT')""",
-    "run_summary": _PICKED + "\nselect * from summary",
-    "report_cells": _PICKED + """
-select group_pos, pos, id, scenario, model_name, train_language, eval_language,
-  coalesce(printf('%.4f', sacrebleu), '') as sacrebleu,
-  coalesce(printf('%.4f', "rougeL"), '') as "rougeL",
-  coalesce(printf('%.4f', meteor), '') as meteor, '' as bertscore_f1,
-  coalesce(printf('%.4f', best_val_loss), '') as best_val_loss from summary""",
+    "run_summary": _EVERY_RUN + """
+select *, null::double as rouge1, null::double as rouge2, null::double as "rougeLsum",
+  null::double as bertscore_f1 from summary""",
+    "report_cells": _CELLS + "\nselect * from cells",
+    "markdown_lines": _CELLS + """
+select group_pos, pos, '| ' || concat_ws(' | ', id, scenario, model_name, train_language, eval_language,
+  sacrebleu, "rougeL", meteor, bertscore_f1, best_val_loss) || ' |' as value from cells
+union all select -1, 0, '| id | scenario | model_name | train_language | eval_language | sacrebleu | rougeL | meteor | bertscore_f1 | best_val_loss |'
+union all select -1, 1, '| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |'""",
     "format_metric": """
 select l_orderkey, l_linenumber,
   printf('%.4f', (l_extendedprice * l_discount - 100) / 64) as formatted from lineitem""",
@@ -537,12 +561,14 @@ from v_epochs""",
 select *, '' as relevance_score_1_5, '' as answerability_score_1_5,
   '' as pedagogical_value_score_1_5, '' as annotator_id, '' as notes from v_ratings""",
     "human_eval_summary": duck_with("v_ratings") + """
-select model, round(avg(try_cast(fluency_score_1_5 as int)), 6) as fluency,
-  round(avg(try_cast(overall_score_1_5 as int)), 6) as overall from v_ratings group by 1""",
+select model, round(avg(try_cast(fluency_score_1_5 as double)), 6) as fluency,
+  round(avg(try_cast(overall_score_1_5 as double)), 6) as overall from v_ratings group by 1""",
     "truncate_tokens": _QA + "," + _CANONICAL + "," + _BATCHED + """
 select row_idx, array_to_string(s[1:48], ' ') as input_ids,
   array_to_string(t[1:16], ' ') as labels, len(s) > 48 or len(t) > 16 as truncated from limited""",
     "assign_batches": _QA + "," + _CANONICAL + f"\nselect row_idx, {_BATCH_IDS} from canonical",
+    "shuffle_batches": _QA + "," + _CANONICAL + f"""
+select row_idx, {_BATCH_IDS.replace("order by row_idx", _SHUFFLED)} from canonical""",
     "pad_batches": _QA + "," + _CANONICAL + "," + _BATCHED + f""",
 b as (
   select row_idx, list_transform(s[1:48], lambda x: length(x)) as s,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pyspark.cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from clozemill.functions import formats, questions, text
 from clozemill.operators import answers, batches, corpus, metrics, runs, vectors
 from clozemill.operators import questions as question_ops
 from clozemill.plans.text_to_questions import text_to_questions
+from clozemill.sources import sinks
 
 # Python workers then need neither package on their path.
 for _package in (checks, clozemill):
@@ -26,8 +28,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 STRING = T.StringType()
+PATIENCES = (0, 1, 2, 3)
 CP1251_BREAK = (text.CP1251_NARROW, text.CP1251_WIDE)
 GROUPS = ["BUILDING", "NO SUCH GROUP", "MACHINERY", "BUILDING"]
+ALL_GROUPS = ["MACHINERY", "AUTOMOBILE", "BUILDING", "HOUSEHOLD", "FURNITURE"]
 
 
 def query(f: Query) -> Query:
@@ -81,6 +85,8 @@ def falsy_to_empty(spark, sf_dir):
         "l_orderkey",
         "l_linenumber",
         text.falsy_to_empty(F.col("l_discount"), T.DoubleType()).alias("number"),
+        text.falsy_to_empty(F.floor("l_extendedprice") * F.lit(2.0**12), T.DoubleType()).alias("large"),
+        text.falsy_to_empty(F.col("l_quantity") / F.lit(2.0**16), T.DoubleType()).alias("small"),
         text.falsy_to_empty(late, T.BooleanType()).alias("flag"),
         text.falsy_to_empty(F.when(late, F.col("l_linestatus")), STRING).alias("text"),
     )
@@ -362,14 +368,14 @@ def select_ids(spark, sf_dir):
 
 def _summary(spark, sf_dir) -> DataFrame:
     return runs.run_summary(
-        runs.select_groups(view(spark, sf_dir, "v_experiments"), GROUPS),
+        runs.select_groups(view(spark, sf_dir, "v_experiments"), ALL_GROUPS),
         *[view(spark, sf_dir, v) for v in ("v_configs", "v_run_metrics", "v_summaries")],
     )
 
 
 @query
 def run_summary(spark, sf_dir):
-    return _summary(spark, sf_dir).drop("rouge1", "rouge2", "rougeLsum", "bertscore_f1")
+    return _summary(spark, sf_dir)
 
 
 @query
@@ -377,6 +383,11 @@ def report_cells(spark, sf_dir):
     return runs.report_cells(_summary(spark, sf_dir))
 
 
+@query
+def markdown_lines(spark, sf_dir):
+    return sinks.markdown_lines(_summary(spark, sf_dir))
+
+
 @query
 def format_metric(spark, sf_dir):
     number = (F.col("l_extendedprice") * F.col("l_discount") - 100) / 64
@@ -403,7 +414,12 @@ def compare_runs(spark, sf_dir):
 
 @query
 def early_stopping(spark, sf_dir):
-    return runs.early_stopping(view(spark, sf_dir, "v_epochs"))
+    epochs = view(spark, sf_dir, "v_epochs")
+    parts = [
+        runs.early_stopping(epochs, patience).withColumn("patience", F.lit(patience))
+        for patience in PATIENCES
+    ]
+    return reduce(DataFrame.union, parts)
 
 
 @query
@@ -414,8 +430,10 @@ def epoch_mean_loss(spark, sf_dir):
 @query
 def explode_training_log(spark, sf_dir):
     record = F.struct("epoch", F.col("val_loss"), (F.col("epoch") * 10).alias("global_step"))
-    logs = view(spark, sf_dir, "v_epochs").select(
-        F.concat(F.lit("outputs/"), "run_id").alias("output_dir"), F.array(record).alias("training_log")
+    logs = (
+        view(spark, sf_dir, "v_epochs")
+        .groupBy(F.concat(F.lit("outputs/"), "run_id").alias("output_dir"))
+        .agg(F.sort_array(F.collect_list(record)).alias("training_log"))
     )
     return runs.explode_training_log(logs)
 

@@ -55,7 +55,8 @@ from embeddings
 """
 _RATINGS = """
 select doc_id as row_idx, case when doc_id % 2 = 0 then 'model_a' else 'model_b' end as model,
-  case when doc_id % 7 = 0 then '' else concat('', 1 + (doc_id + quality) % 5) end
+  case when doc_id % 7 = 0 then '' else concat('', 1 + (doc_id + quality) % 5,
+      case when doc_id % 3 = 0 then '.5' else '' end) end
     as fluency_score_1_5,
   case when doc_id % 5 = 0 then '' else concat('', 1 + (doc_id * 3 + toxic) % 5) end
     as overall_score_1_5

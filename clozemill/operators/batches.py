@@ -51,13 +51,15 @@ def assign_batches(
 ) -> DataFrame:
     """Adds batch_id and batch_pos: fixed-size batches in table order or shuffled.
 
-    With a seed the order is a seeded hash of the row number, which is the same
-    on every run and needs no sort into one task.
+    With a seed the order is that of the first 15 hex digits of md5("row:seed"),
+    which is the same on every run and needs no sort into one task.
     """
     if seed is None:
         placed = with_dense_index(df, order, "__place", width=DENSE_WIDTH)
     else:
-        hashed = df.withColumn("__hash", F.xxhash64(F.col(order), F.lit(seed)))
+        text = F.concat(F.col(order).cast("string"), F.lit(f":{seed}"))
+        digits = F.substring(F.md5(text.cast("binary")), F.lit(1), F.lit(15))
+        hashed = df.withColumn("__hash", F.conv(digits, 16, 10).cast("bigint"))
         placed = with_dense_index(
             hashed, "__hash", "__place", width=HASH_WIDTH, then_by=(order,)
         )
