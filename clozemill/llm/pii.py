@@ -22,9 +22,9 @@ is replaced.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +66,7 @@ TRAIN_ROWS = 20_000
 #: A threshold needs so many held-back examples at or above it, this part of them right.
 LEAST_EXAMPLES = 10
 PRECISION = 0.98
-TREES, DEPTH = 10, 3
+TREES, DEPTH, SHRINKAGE, PENALTY, LEAST_LEAF = 20, 3, 0.5, 1.0, 5
 
 _OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _OCTETS = rf"^(?:{_OCTET}|0+)(?: ?\. ?(?:{_OCTET}|0+)){{3}}$"
@@ -220,7 +220,7 @@ def examples(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Model:
-    """Trees as nested (feature, limit, left, right) or numbers, with weights; thresholds by kind."""
+    """Trees as nested (feature, limit, left, right) or numbers; thresholds by kind."""
 
     trees: list = field(default_factory=list)
     thresholds: dict[str, float] = field(default_factory=dict)
@@ -233,39 +233,58 @@ class Model:
             return F.when(features[at] <= limit, branch(left)).otherwise(branch(right))
 
         total = F.lit(0.0)
-        for weight, tree in self.trees:
-            total = total + F.lit(weight) * branch(tree)
-        return 1 / (1 + F.exp(-2 * total))
-
-
-def _tree(lines: list[tuple[int, str]]):
-    """A nested tree from the printed one: an indented "If … Else …" or a prediction."""
-    depth, line = lines[0]
-    if m := re.match(r"Predict: (\S+)", line):
-        return float(m[1])
-    m = re.match(r"If \(feature (\d+) <= (\S+)\)", line)
-    other = next(i for i, (d, x) in enumerate(lines) if i and d == depth and x.startswith("Else"))
-    return int(m[1]), float(m[2]), _tree(lines[1:other]), _tree(lines[other + 1 :])
-
-
-def _trees(model) -> list[tuple[float, object]]:
-    out = []
-    for tree, weight in zip(model.trees, model.treeWeights, strict=True):
-        lines = [
-            (len(x) - len(x.lstrip()), x.strip()) for x in tree.toDebugString.splitlines()[1:] if x.strip()
-        ]
-        out.append((float(weight), _tree(lines)))
+        for tree in self.trees:
+            total = total + branch(tree)
+        return 1 / (1 + F.exp(-total))
+
+
+def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> list:
+    """Trees whose sum is the log-odds of y: each follows the gradient that the others leave."""
+    rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    out: list = [float(np.log(rate / (1 - rate)))]
+    total = np.full(len(y), out[0])
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-total))
+        gradient, weight = y - p, p * (1 - p)
+        step = np.zeros(len(y))
+        out.append(_grow(x, gradient, weight, np.arange(len(y)), depth, step))
+        total += step
     return out
 
 
+def _grow(x, gradient, weight, rows, depth, step):
+    """A tree over ``rows``: (feature, limit, left, right) or a number, which ``step`` takes, too."""
+
+    def gain(g, w):
+        return g * g / (w + PENALTY)
+
+    g, w = gradient[rows], weight[rows]
+    best = (1e-6, None)
+    for at in range(x.shape[1]) if depth and len(rows) >= 2 * LEAST_LEAF else ():
+        order = np.argsort(x[rows, at], kind="stable")
+        value = x[rows, at][order]
+        left_g, left_w = np.cumsum(g[order])[:-1], np.cumsum(w[order])[:-1]
+        gains = gain(left_g, left_w) + gain(g.sum() - left_g, w.sum() - left_w) - gain(g.sum(), w.sum())
+        places = np.arange(1, len(rows))
+        gains[(value[1:] <= value[:-1]) | (places < LEAST_LEAF) | (len(rows) - places < LEAST_LEAF)] = -1
+        if len(gains) and gains.max() > best[0]:
+            k = int(gains.argmax())
+            best = (gains[k], (at, float((value[k] + value[k + 1]) / 2)))
+    if best[1] is None:
+        leaf = float(SHRINKAGE * g.sum() / (w.sum() + PENALTY))
+        step[rows] = leaf
+        return leaf
+    at, limit = best[1]
+    low = x[rows, at] <= limit
+    parts = [_grow(x, gradient, weight, rows[side], depth - 1, step) for side in (low, ~low)]
+    return at, limit, *parts
+
+
 def train(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
     """Boosted trees and thresholds from the matches of the fixed patterns.
 
     Trees are fitted on about ``train_rows`` examples, thresholds on all that are held back.
     """
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector
-
     rows = saved(examples(docs, text))
     held = F.pmod(F.col("pick"), F.lit(4)) == 0
     seen = {r["label"]: r["n"] for r in rows.where(~held).groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -273,10 +292,12 @@ def train(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) ->
         return Model()
     part = math.ceil(1e6 * min(1.0, train_rows / sum(seen.values())))
     sample = rows.where(~held & (F.pmod(F.shiftright("pick", 8), F.lit(1_000_000)) < part))
-    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, featuresCol="v", labelCol="label").fit(
-        sample.select(array_to_vector("features").alias("v"), "label")
-    )
-    model = Model(_trees(fitted))
+    # About ``train_rows`` rows of numbers; sorted, so that their order of arrival does not matter.
+    taken = sorted(([*r["features"], r["label"]] for r in sample.select("features", "label").collect()))
+    if len({r[-1] for r in taken}) < 2:
+        return Model()
+    numbers = np.array(taken)
+    model = Model(boost(numbers[:, :-1], numbers[:, -1]))
     steps = (
         rows.where(held)
         .groupBy("kind", F.round(model.score(F.col("features")), 3).alias("score"))
@@ -285,8 +306,12 @@ def train(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) ->
         .collect()  # at most 1001 rows per kind
     )
     for kind in KINDS:
+        own = [r for r in steps if r["kind"] == kind]
+        good = sum(r["right"] for r in own)
+        if min(good, sum(r["n"] for r in own) - good) < LEAST_EXAMPLES / 2:
+            continue  # nothing to tell right from wrong by
         n = right = 0
-        for r in (r for r in steps if r["kind"] == kind):
+        for r in own:
             n, right = n + r["n"], right + r["right"]
             if n >= LEAST_EXAMPLES and right >= PRECISION * n:
                 model.thresholds[kind] = r["score"]
