@@ -158,7 +158,6 @@ def op6_warc(spark, sf_dir):
 
 def _op6_oracle() -> str:
     """Plain alternations for the possessive ones; entities of the tables only, & last."""
-    unseen = warc._UNSEEN
     attributes = """(?:[^>"'']|"[^"]*"|''[^'']*'')*"""
     block = rf"(?i)</?(?:{warc._BLOCKS})(?:{attributes})>".replace("(?:(?:", "(?:(?:")
     named = {"&copy;": "\u00a9", "&middot;": "\u00b7", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&nbsp;": "\u00a0", "&amp;": "&"}
@@ -175,7 +174,7 @@ def _op6_oracle() -> str:
 
     crlf = "chr(13) || chr(10)"
     blanks = "[\\t\\n\\x0B\\f\\r \u00a0]+"
-    text = f"regexp_replace(regexp_replace(html, '{unseen}', ' ', 'g'), '{blanks}', ' ', 'g')"
+    text = f"regexp_replace(regexp_replace(visible, '{warc._ASIDE}', ' ', 'g'), '{blanks}', ' ', 'g')"
     # RE2 has no look-ahead: what follows the name of a tag is a blank, a slash or its end.
     block = rf"(?i)</?(?:{warc._BLOCKS})(?:[^a-z0-9>-]{attributes})?>"
     text = f"regexp_replace({text}, '{block}', chr(10), 'g')"
@@ -191,7 +190,7 @@ h AS (SELECT *, 'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset
   || CAST(octet_length(CAST(encode(html) AS BLOB)) AS VARCHAR) || {crlf} AS http, 'sha256:' || sha256(html) AS payload FROM p),
 b AS (SELECT *, 'sha256:' || sha256(http || {crlf} || html) AS blockd FROM h),
 i AS (SELECT *, {uuid("'response'", "coalesce(CAST(page_id AS VARCHAR), '')", "uri", f"'{warc.NO_DATE}'", "blockd")} AS id,
-  regexp_replace(html, '(?is)<!--.*?(?:-->|\\z)|<script\\b.*?(?:</script[^>]*>|\\z)', ' ', 'g') AS visible FROM b),
+  regexp_replace(html, '{warc._HIDDEN}', ' ', 'g') AS visible FROM b),
 k AS (SELECT *, {uuid("'metadata'", "id")} AS mid, {uuid("'conversion'", "id")} AS tid, {text} AS body FROM i),
 m AS (SELECT *, 'title: ' || {one(f"regexp_extract(visible, '{warc._TITLE}', 1)")} || {crlf} || 'conversion: ' || tid || {crlf}
   || 'source-payload-digest: ' || payload || {crlf} || 'source-block-digest: ' || blockd || {crlf}

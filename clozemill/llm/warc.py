@@ -26,11 +26,12 @@ NO_DATE = "1970-01-01T00:00:00Z"
 
 _END = r"\z"
 _ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-#: Whole elements whose content is no text of the page, and comments.
-_UNSEEN = (
-    rf"(?is)<!--.*?(?:-->|{_END})|<script\b.*?(?:</script[^>]*>|{_END})|<style\b.*?(?:</style[^>]*>|{_END})"
-    rf"|<title\b.*?(?:</title[^>]*>|{_END})|<noscript\b.*?(?:</noscript[^>]*>|{_END})"
-    rf"|<template\b.*?(?:</template[^>]*>|{_END})"
+#: What no reader sees, and whole elements that are no part of the text. The first
+#: character stands alone, so that other places are passed over at once.
+_HIDDEN = rf"(?is)<(?:!--.*?(?:-->|{_END})|script\b.*?(?:</script[^>]*>|{_END}))"
+_ASIDE = (
+    rf"(?is)<(?:style\b.*?(?:</style[^>]*>|{_END})|title\b.*?(?:</title[^>]*>|{_END})"
+    rf"|noscript\b.*?(?:</noscript[^>]*>|{_END})|template\b.*?(?:</template[^>]*>|{_END}))"
 )
 _BLOCKS = (
     "address|article|aside|blockquote|body|br|caption|center|dd|div|dl|dt|fieldset|figure|figcaption|footer|form|"
@@ -40,7 +41,8 @@ _BLOCK_TAG = rf"(?i)</?(?:{_BLOCKS})(?![a-z0-9-]){_ATTRIBUTES}>"
 _TAG = rf"(?i)</?[a-z!?]{_ATTRIBUTES}>"
 #: What is left of a tag that a cut page never closes.
 _CUT_TAG = rf"(?is)</?[a-z!?][^>]*(?:>|{_END})"
-_BLANKS = "[\\t\\n\\x0B\\f\\r \\u00a0]+"
+#: Runs of blanks other than one space, which already is what it should be.
+_BLANKS = "[\\t\\n\\x0B\\f\\r\\u00a0][\\t\\n\\x0B\\f\\r \\u00a0]*| [\\t\\n\\x0B\\f\\r \\u00a0]+"
 _ENTITY = r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
 _TITLE = rf"(?is)<title\b[^>]*>(.*?)(?:</title|{_END})"
 _LINK = r"""(?is)<a\b[^>]*?\shref\s*=\s*["']([^"']*)["']"""
@@ -77,14 +79,23 @@ def unescaped(text: Column) -> Column:
     return F.when(text.contains("&"), whole).otherwise(text)
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: blocks on lines of their own, blanks folded, no empty lines."""
-    seen = F.regexp_replace(F.regexp_replace(html, _UNSEEN, " "), _BLANKS, " ")
-    lines = F.regexp_replace(seen, _BLOCK_TAG, "\n")
+def with_plain_text(df: DataFrame, html: str, text: str = "text") -> DataFrame:
+    """Adds the text of a page: blocks on lines of their own, blanks folded, no empty lines.
+
+    Adds __visible, too, the page without comments and scripts. Each step is a
+    column, so that a step which names its input several times computes it once.
+    """
+    seen = df.withColumn("__visible", F.regexp_replace(F.col(html), _HIDDEN, " "))
+    body = F.regexp_replace(F.regexp_replace("__visible", _ASIDE, " "), _BLANKS, " ")
+    lines = F.regexp_replace(body, _BLOCK_TAG, "\n")
     bare = F.regexp_replace(F.regexp_replace(lines, _TAG, ""), _CUT_TAG, "")
-    text = unescaped(bare)
-    text = F.regexp_replace(text, "[  ]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, " ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+\z", "")
+    decoded = unescaped(F.col("__bare"))
+    folded = F.regexp_replace(F.regexp_replace(decoded, "[ \u00a0]{2,}|\u00a0", " "), " ?\n[ \n]*", "\n")
+    return (
+        seen.withColumn("__bare", bare)
+        .withColumn(text, F.btrim(folded, F.lit(" \n")))
+        .drop("__bare")
+    )
 
 
 def one_line(text: Column) -> Column:
@@ -97,9 +108,9 @@ def digest(text: Column) -> Column:
 
 def identifier(*parts: Column) -> Column:
     """A UUID from a hash of all parts."""
-    h = F.sha2(F.concat_ws("\u0001", *parts).cast("binary"), 256)
-    pieces = [F.substring(h, F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *pieces), F.lit(">"))
+    h = F.substring(F.sha2(F.concat_ws("\u0001", *parts).cast("binary"), 256), F.lit(1), F.lit(32))
+    dashed = F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return F.concat(F.lit("<urn:uuid:"), dashed, F.lit(">"))
 
 
 def _header(name: str, value: Column) -> Column:
@@ -142,24 +153,17 @@ def derivatives(found: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataF
     source_digest (of the response's payload), headers (the whole WARC header)
     and block.
     """
-    visible = F.regexp_replace(
-        F.col("payload"), rf"(?is)<!--.*?(?:-->|{_END})|<script\b.*?(?:</script[^>]*>|{_END})", " "
-    )
-    rows = found.select(
-        *keys,
-        "record_id",
-        "target_uri",
-        "date",
-        "http_headers",
-        "payload_digest",
-        "block_digest",
-        plain_text(F.col("payload")).alias("text"),
-        visible.alias("visible"),
+    sources = [*keys, "record_id", "target_uri", "date", "http_headers", "payload_digest", "block_digest"]
+    rows = with_plain_text(found.select(*sources, "payload"), "payload").select(
+        *sources,
+        "text",
+        F.regexp_extract("__visible", _TITLE, 1).alias("title"),
+        F.regexp_extract_all("__visible", F.lit(_LINK), F.lit(1)).alias("links"),
     )
     meta_id = identifier(F.lit("metadata"), F.col("record_id"))
     text_id = identifier(F.lit("conversion"), F.col("record_id"))
     links = F.transform(
-        F.regexp_extract_all("visible", F.lit(_LINK), F.lit(1)),
+        "links",
         lambda x: F.concat(F.lit("outlink: "), one_line(x), F.lit(_CRLF)),
     )
     source = F.transform(
@@ -167,7 +171,7 @@ def derivatives(found: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataF
         lambda x: F.concat(F.lit("source-header: "), x, F.lit(_CRLF)),
     )
     about = F.concat(
-        _header("title", one_line(F.regexp_extract("visible", _TITLE, 1))),
+        _header("title", one_line(F.col("title"))),
         _header("conversion", text_id),
         _header("source-payload-digest", F.col("payload_digest")),
         _header("source-block-digest", F.col("block_digest")),

@@ -535,7 +535,7 @@ def test_warc_text_against_a_parser(spark):
                 self.words += data.split()
 
     pages = spark.read.parquet(f"{SF}/pages.parquet")
-    got = {r["page_id"]: r["t"] for r in pages.select("page_id", warc.plain_text(F.col("html")).alias("t")).collect()}
+    got = {r["page_id"]: r["t"] for r in warc.with_plain_text(pages.select("page_id", "html"), "html", "t").collect()}
     for r in pages.where("html like '%</html>'").collect():
         parser = Words()
         parser.feed(r["html"])
