@@ -174,14 +174,13 @@ def _op6_oracle() -> str:
 
     crlf = "chr(13) || chr(10)"
     blanks = "[\\t\\n\\x0B\\f\\r \u00a0]+"
-    text = f"regexp_replace(regexp_replace(visible, '{warc._ASIDE}', ' ', 'g'), '{blanks}', ' ', 'g')"
+    text = f"regexp_replace(visible, '{warc._ASIDE}', ' ', 'g')"
     # RE2 has no look-ahead: what follows the name of a tag is a blank, a slash or its end.
     block = rf"(?i)</?(?:{warc._BLOCKS})(?:[^a-z0-9>-]{attributes})?>"
-    text = f"regexp_replace({text}, '{block}', chr(10), 'g')"
-    text = f"regexp_replace({text}, '(?i)</?[a-z!?]{attributes}>', '', 'g')"
-    text = f"regexp_replace({text}, '{warc._CUT_TAG}', '', 'g')"
-    text = f"regexp_replace({decoded(text)}, '[ \u00a0]+', ' ', 'g')"
-    text = f"regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+\\z', '', 'g')"
+    text = f"regexp_replace({text}, '{block}', chr(1), 'g')"
+    text = f"regexp_replace({text}, '(?is)</?[a-z!?](?:{attributes}>|[^>]*(?:>|\\z))', '', 'g')"
+    text = f"regexp_replace({decoded(text)}, '{blanks}', ' ', 'g')"
+    text = f"trim(regexp_replace({text}, ' ?\\x01[ \\x01]*', chr(10), 'g'), ' ' || chr(10))"
     link = warc._LINK.replace("'", "''")
     one = lambda x: f"trim(regexp_replace({decoded(x)}, '[\\x00-\\x20\u00a0]+', ' ', 'g'))"
     return f"""

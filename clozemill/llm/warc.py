@@ -38,11 +38,13 @@ _BLOCKS = (
     "h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|tr|ul"
 )
 _BLOCK_TAG = rf"(?i)</?(?:{_BLOCKS})(?![a-z0-9-]){_ATTRIBUTES}>"
-_TAG = rf"(?i)</?[a-z!?]{_ATTRIBUTES}>"
-#: What is left of a tag that a cut page never closes.
-_CUT_TAG = rf"(?is)</?[a-z!?][^>]*(?:>|{_END})"
+#: Any tag, or what is left of one that a cut page never closes.
+_TAG = rf"(?is)</?[a-z!?](?:{_ATTRIBUTES}>|[^>]*(?:>|{_END}))"
 #: Runs of blanks other than one space, which already is what it should be.
-_BLANKS = "[\\t\\n\\x0B\\f\\r\\u00a0][\\t\\n\\x0B\\f\\r \\u00a0]*| [\\t\\n\\x0B\\f\\r \\u00a0]+"
+_BLANK = "[\\t\\n\\x0B\\f\\r \\u00a0]"
+_BLANKS = f"{_BLANK}(?:(?<=[^ ]){_BLANK}*+|{_BLANK}++)"
+#: Stands for the break of a block until blanks are folded; a page has no such character.
+_BREAK = "\u0001"
 _ENTITY = r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
 _TITLE = rf"(?is)<title\b[^>]*>(.*?)(?:</title|{_END})"
 _LINK = r"""(?is)<a\b[^>]*?\shref\s*=\s*["']([^"']*)["']"""
@@ -86,14 +88,13 @@ def with_plain_text(df: DataFrame, html: str, text: str = "text") -> DataFrame:
     column, so that a step which names its input several times computes it once.
     """
     seen = df.withColumn("__visible", F.regexp_replace(F.col(html), _HIDDEN, " "))
-    body = F.regexp_replace(F.regexp_replace("__visible", _ASIDE, " "), _BLANKS, " ")
-    lines = F.regexp_replace(body, _BLOCK_TAG, "\n")
-    bare = F.regexp_replace(F.regexp_replace(lines, _TAG, ""), _CUT_TAG, "")
-    decoded = unescaped(F.col("__bare"))
-    folded = F.regexp_replace(F.regexp_replace(decoded, "[ \u00a0]{2,}|\u00a0", " "), " ?\n[ \n]*", "\n")
+    body = F.regexp_replace("__visible", _ASIDE, " ")
+    bare = F.regexp_replace(F.regexp_replace(body, _BLOCK_TAG, _BREAK), _TAG, "")
+    folded = F.regexp_replace(unescaped(F.col("__bare")), _BLANKS, " ")
+    lines = F.regexp_replace(folded, f" ?{_BREAK}[ {_BREAK}]*", "\n")
     return (
         seen.withColumn("__bare", bare)
-        .withColumn(text, F.btrim(folded, F.lit(" \n")))
+        .withColumn(text, F.btrim(lines, F.lit(" \n")))
         .drop("__bare")
     )
 
