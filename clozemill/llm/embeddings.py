@@ -1,18 +1,17 @@
-"""Embedding near-duplicates by NN-descent.
+"""Embedding near-duplicates by an exact join of hyperplane cells.
 
-Equal vectors of a label are one class, found by a grouping; the graph joins
-classes. It starts from the leaves of random-hyperplane trees, as many trees as
-a pair at the threshold needs to share a leaf with a given chance, and is then
-refined: the neighbours of every class, in both directions, are compared with
-each other, and better ones enter the neighbour lists, until a round finds no
-new link. A list whose entries all are links is saturated and may hide more, so
-lists are enlarged to all members of their threshold component, compared block
-by block; only link counts leave a block. An audit compares a bounded sample of
-classes with all vectors; while it misses links, more trees are grown.
+Equal vectors of a label are one class, found by a grouping; links join classes.
+Orthonormal planes through the medians of a label cut its classes into cells. To
+reach the other side of planes a vector moves at least the root of the summed
+squares of its distances to them; a class visits just the cells that a link can
+reach, so no pair at the threshold is left out, on any data. Cells of more than
+BLOCK classes are dealt to parts, all of which meet. Two blocks are compared
+whole; link counts and the smallest class of each local component leave them,
+never the single links. There are no neighbour lists, no chance and no audit.
 
-Lists hold only neighbours above FLOOR: what is linked to one and the same
-vector cannot be further apart than that, so the others lead nowhere. Leaves and
-neighbourhoods that are too large are split by a hash; blocks have a fixed size.
+Where planes tell little apart (few classes, or spread-out vectors of many
+dimensions), every class visits every cell: comparisons then grow with the
+square of a label's different vectors.
 
 Rows: a vector that is null, zero, or holds null or non-finite components, and
 one with a null label, links with nothing; vectors of different lengths never
@@ -22,31 +21,20 @@ where there is no other. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
-import warnings
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clozemill.llm.common import components, saved
 
 THRESHOLD = 0.93
-#: Two vectors linked to a third are at least this similar: cos(2 acos(0.93)).
-FLOOR = 0.72
-#: Entries of a neighbour list, before it is enlarged.
-NEIGHBOURS = 10
-#: Classes that a tree's leaf should hold.
-LEAF = 64
-#: Chance that a pair at the threshold meets in a leaf of one of the trees.
-CHANCE = 0.99
-ROUNDS = 4
-BLOCK = 256
-#: Classes compared with all vectors, and the part of their links that must be found.
-AUDIT, RECALL, PASSES = 500, 0.98, 4
+#: Classes that are compared at once with so many others.
+BLOCK = 1024
+#: Planes that cut a label, at most; parts of a cell that a block number has room for.
+PLANES, PARTS = 20, 1 << 20
 SEED = 29
+_KEYS = ["label", "width"]
 
 
 def unit(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -60,197 +48,148 @@ def unit(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def trees_for(bits: int, threshold: float) -> int:
-    """Trees after which a pair at the threshold has met with probability CHANCE."""
-    if not bits:
-        return 1
-    met = (1 - math.acos(threshold) / math.pi) ** bits
-    return math.ceil(math.log(1 - CHANCE) / math.log(1 - met))
-
-
-def classes_of(vectors: DataFrame) -> DataFrame:
+def classes_of(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     """(id, class, label, width, vec, n, bits): one row per different comparable vector of a label.
 
-    bits: how often a tree halves the classes of the label.
+    bits: how many planes cut the label, so that a cell holds about ``block`` classes.
     """
-    sizes = vectors.groupBy("label", "width").agg(F.count_distinct("vec").alias("size"))
-    grouped = vectors.groupBy("label", "width", "vec").agg(F.min("vec_id").alias("class"), F.count("*").alias("n"))
-    bits = F.when(F.col("size") > LEAF, F.ceil(F.log2(F.col("size") / LEAF))).otherwise(0).cast("int")
-    return grouped.join(sizes.withColumn("bits", bits), ["label", "width"]).select(
-        F.monotonically_increasing_id().alias("id"), "class", "label", "width", "vec", "n", "bits"
+    sizes = vectors.groupBy(*_KEYS).agg(F.count_distinct("vec").alias("size"))
+    grouped = vectors.groupBy(*_KEYS, "vec").agg(F.min("vec_id").alias("class"), F.count("*").alias("n"))
+    halvings = F.when(F.col("size") > block, F.ceil(F.log2(F.col("size") / block))).otherwise(0)
+    bits = F.least(halvings, F.col("width"), F.lit(PLANES)).cast("int")
+    return grouped.join(sizes.withColumn("bits", bits), _KEYS).select(
+        F.monotonically_increasing_id().alias("id"), "class", *_KEYS, "vec", "n", "bits"
     )
 
 
-def leaves(nodes: DataFrame, threshold: float, seed: int) -> DataFrame:
-    """(tree, label, width, code, part, id, vec): every class once in each of its trees."""
+def _by_bits(bits: pa.Array, *more: pa.Array):
+    """Places of the rows with the same number of planes (and the same further numbers)."""
+    rows = np.stack([c.to_numpy() for c in (bits, *more)], axis=1)
+    for key in np.unique(rows, axis=0):
+        yield key.tolist(), np.flatnonzero((rows == key).all(1))
+
 
-    def codes(batches):
-        planes: dict[tuple[int, int], np.ndarray] = {}
+def projected(nodes: DataFrame) -> DataFrame:
+    """(id, label, width, bits, along): where a class lies along the normal of each plane."""
+
+    def run(batches):
+        normals: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids, bits, vecs, label, wide = (batch.column(i) for i in range(5))
-            out = [[] for _ in range(len(ids))]
-            lengths = np.asarray(vecs.value_lengths().to_numpy(zero_copy_only=False))
-            many = np.asarray(bits.to_numpy())
-            for width, b in set(zip(lengths.tolist(), many.tolist(), strict=True)):
-                at = np.flatnonzero((lengths == width) & (many == b))
-                x = unit(vecs.take(pa.array(at)))
-                trees = trees_for(b, threshold)
-                if (width, b) not in planes:
-                    rng = np.random.default_rng([seed, width, b])
-                    planes[width, b] = rng.normal(size=(width, trees * max(b, 1)))
-                signs = (x @ planes[width, b] > 0).reshape(len(at), trees, -1)
-                values = signs @ (1 << np.arange(signs.shape[2])) if b else np.zeros((len(at), trees), int)
-                for i, row in zip(at, values.tolist(), strict=True):
-                    out[i] = row
+            ids, label, width, bits, vec = (batch.column(i) for i in range(5))
+            along = [[] for _ in range(len(ids))]
+            for (b, w), at in _by_bits(bits, width):
+                if not b:
+                    continue
+                if w not in normals:
+                    draw = np.random.default_rng([SEED, w]).normal(size=(w, min(w, PLANES)))
+                    normals[w] = np.linalg.qr(draw)[0]
+                values = unit(vec.take(pa.array(at))) @ normals[w][:, :b]
+                for i, row in zip(at.tolist(), values.tolist(), strict=True):
+                    along[i] = row
             yield pa.RecordBatch.from_arrays(
-                [ids, vecs, label, wide, pa.array(out, pa.list_(pa.int64()))],
-                names=["id", "vec", "label", "width", "codes"],
+                [ids, label, width, bits, pa.array(along, pa.list_(pa.float64()))],
+                names=["id", "label", "width", "bits", "along"],
             )
 
-    coded = nodes.select("id", "bits", "vec", "label", "width").mapInArrow(
-        codes, T.StructType([nodes.schema[c] for c in ("id", "vec", "label", "width")]).add("codes", T.ArrayType(T.LongType()))
+    label = nodes.schema["label"].dataType.simpleString()
+    return nodes.select("id", *_KEYS, "bits", "vec").mapInArrow(
+        run, f"id bigint, label {label}, width int, bits int, along array<double>"
     )
-    placed = coded.select("id", "label", "width", "vec", F.posexplode("codes").alias("tree", "code"))
-    keys = ["label", "width", "tree", "code"]
-    large = placed.groupBy(*keys).count().where(F.col("count") > 4 * LEAF)
-    parts = F.ceil(F.coalesce("count", F.lit(1)) / (4 * LEAF)).cast("int")
-    part = F.pmod(F.xxhash64("id", "tree"), parts)
-    return placed.join(large, keys, "left").select(*keys, part.alias("part"), "id", "vec")
-
 
-def _best(ids: np.ndarray, x: np.ndarray, keep: int) -> pa.Table:
-    """Directed edges from every row to its most similar others above FLOOR."""
-    s = x @ x.T
-    np.fill_diagonal(s, -2)
-    s[ids[:, None] == ids[None, :]] = -2
-    if len(ids) > keep:
-        cut = np.partition(s, -keep, axis=1)[:, -keep]
-        a, b = np.nonzero((s >= cut[:, None]) & (s >= FLOOR))
-    else:
-        a, b = np.nonzero(s >= FLOOR)
-    return pa.table({"a": ids[a], "b": ids[b], "sim": s[a, b]})
 
+def placed(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(id, label, width, cell, visits): a class's own cell, and all cells that a link of it can reach."""
+    where = saved(projected(nodes))
+    middle = (
+        where.select(*_KEYS, F.posexplode("along").alias("plane", "x"))
+        .groupBy(*_KEYS, "plane")
+        .agg(F.percentile_approx("x", 0.5).alias("x"))
+        .groupBy(*_KEYS)
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("plane", "x"))), lambda p: p["x"]).alias("middle"))
+    )
+    # Squared distance of two unit vectors at the threshold, and room for rounding.
+    reach = 2 - 2 * threshold + 1e-9
 
-_EDGES = "a bigint, b bigint, sim double"
-
-
-def _compare(group: pa.Table) -> pa.Table:
-    ids = group.column("id").to_numpy()
-    return _best(ids, unit(group.column("vec")), NEIGHBOURS)
-
+    def run(batches):
+        for batch in batches:
+            ids, label, width, bits, off = (batch.column(i) for i in range(5))
+            own, visits = np.zeros(len(ids), np.int64), [[0]] * len(ids)
+            for (b,), at in _by_bits(bits):
+                if not b:
+                    continue
+                cells = np.arange(1 << b)
+                beyond = (cells[:, None] >> np.arange(b) & 1).astype(float)
+                step = max(1, (1 << 22) >> b)
+                for some in (at[k : k + step] for k in range(0, len(at), step)):
+                    d = np.asarray(off.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False)).reshape(-1, b)
+                    side = d > 0
+                    way = (d * d * side) @ (1 - beyond).T + (d * d * ~side) @ beyond.T
+                    own[some] = side @ (1 << np.arange(b))
+                    for i, near in zip(some.tolist(), way <= reach, strict=True):
+                        visits[i] = cells[near].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [ids, label, width, pa.array(own), pa.array(visits, pa.list_(pa.int64()))],
+                names=["id", "label", "width", "cell", "visits"],
+            )
 
-def _lists(edges: DataFrame) -> DataFrame:
-    """The best NEIGHBOURS edges of each class."""
+    off = F.when(F.col("bits") > 0, F.zip_with("along", "middle", lambda a, m: a - m))
+    label = nodes.schema["label"].dataType.simpleString()
     return (
-        edges.groupBy("a", "b")
-        .agg(F.max("sim").alias("sim"))
-        .withColumn("place", F.expr("row_number() over (partition by a order by sim desc, b)"))
-        .where(F.col("place") <= NEIGHBOURS)
-        .drop("place")
+        where.join(middle, _KEYS, "left")
+        .select("id", *_KEYS, "bits", off.alias("off"))
+        .mapInArrow(run, f"id bigint, label {label}, width int, cell bigint, visits array<bigint>")
     )
 
 
-def refine(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One round: neighbours of a class, in both directions, are compared with each other."""
-    near = edges.select(F.col("a").alias("centre"), F.col("b").alias("id")).union(
-        edges.select(F.col("b").alias("centre"), F.col("a").alias("id"))
-    )
-    near = near.union(edges.select(F.col("a").alias("centre"), F.col("a").alias("id"))).distinct()
-    parts = near.groupBy("centre").agg(F.ceil(F.count("*") / (4 * LEAF)).cast("int").alias("parts"))
-    spread = near.join(parts, "centre").select(
-        "centre", F.pmod(F.xxhash64("id", "centre"), F.col("parts")).alias("part"), "id"
-    )
-    found = (
-        spread.join(nodes.select("id", "vec"), "id")
-        .groupBy("centre", "part")
-        .applyInArrow(_compare, _EDGES)
-    )
-    return _lists(edges.union(found))
+def roots_of(links: np.ndarray) -> np.ndarray:
+    """The first row of each row's component in a symmetric matrix of links."""
+    root = np.full(len(links), -1)
+    for first in range(len(links)):
+        front = np.array([first]) if root[first] < 0 else ()
+        while len(front):
+            root[front] = first
+            front = np.flatnonzero(links[front].any(0) & (root < 0))
+    return root
 
 
-def enlarged(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(id, linked): how many vectors of other classes each class of a component links with.
+def linked(nodes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(id, root, linked): for every two blocks, the classes with links between them.
 
-    ``members`` is (node, root). Components are compared whole, in blocks.
+    linked: how many vectors of other classes link there; root: a class of the same component.
     """
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = (
-        members.join(sizes, "root")
-        .withColumnRenamed("node", "id")
-        .join(nodes.select("id", "vec", "n"), "id")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    )
-    paired = rows.select(
-        "root", "block", "id", "vec", "n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select(
-        "root",
-        F.least("block", "other").alias("low"),
-        F.greatest("block", "other").alias("high"),
-        "block",
-        "id",
-        "vec",
-        "n",
+    cells = saved(placed(nodes, threshold))
+    sizes = saved(cells.groupBy(*_KEYS, "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
+    number = F.col("cell") * PARTS + F.pmod(F.xxhash64("id"), F.col("parts"))
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda part: F.col("other") * PARTS + part)
+    visits = (
+        cells.join(sizes, [*_KEYS, "cell"])
+        .select("id", *_KEYS, number.alias("block"), F.explode("visits").alias("other"))
+        .join(sizes.withColumnRenamed("cell", "other"), [*_KEYS, "other"])
+        .select("id", *_KEYS, "block", F.explode(others).alias("other"))
+        .select("id", *_KEYS, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     )
 
-    def count(group: pa.Table) -> pa.Table:
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
         ids, n = group.column("id").to_numpy(), group.column("n").to_numpy().astype(float)
         block = group.column("block").to_numpy()
-        x, linked = unit(group.column("vec")), np.zeros(len(ids))
-        low, high = block.min(), block.max()
-        same = group.column("low")[0] == group.column("high")[0]
-        if same:
-            links = x @ x.T >= threshold
-            np.fill_diagonal(links, False)
-            linked = links @ n
-        elif low != high:  # else the hash left one of the two blocks empty
-            i, j = np.flatnonzero(block == low), np.flatnonzero(block == high)
-            links = x[i] @ x[j].T >= threshold
-            linked[i], linked[j] = links @ n[j], links.T @ n[i]
-        return pa.table({"id": ids, "linked": linked.astype(np.int64)})
-
-    counted = paired.groupBy("root", "low", "high").applyInArrow(count, "id bigint, linked bigint")
-    return counted.groupBy("id").agg(F.sum("linked").alias("linked"))
-
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        i, j = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        x = unit(group.column("vec"))
+        links = np.zeros((len(ids), len(ids)), bool)
+        across = x[i] @ x[j].T >= threshold
+        links[np.ix_(i, j)] = across
+        links[np.ix_(j, i)] = across.T
+        np.fill_diagonal(links, False)
+        many = links @ n
+        some = many > 0
+        return pa.table({"id": ids[some], "root": ids[roots_of(links)[some]], "linked": many[some].astype(np.int64)})
 
-def audit(nodes: DataFrame, counts: DataFrame, threshold: float) -> tuple[int, int]:
-    """(links found, links there are) of at most AUDIT classes, against all vectors."""
-    sample = nodes.orderBy(F.xxhash64("id", F.lit(SEED))).select("id", "label", "width", "vec").limit(AUDIT).collect()
-    asked: dict[tuple, list] = {}
-    for r in sample:  # AUDIT rows
-        asked.setdefault((r["label"], r["width"]), []).append(r)
-    ready = {k: (np.array([r["id"] for r in v]), unit(pa.array([list(r["vec"]) for r in v]))) for k, v in asked.items()}
-    sent = nodes.sparkSession.sparkContext.broadcast(ready)
-
-    def compare(batches):
-        for batch in batches:
-            ids, label, width, vec, n = (batch.column(i) for i in range(5))
-            out: dict[int, float] = {}
-            labels, widths = label.to_pylist(), width.to_pylist()
-            places: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(labels, widths, strict=True)):
-                places.setdefault(key, []).append(i)
-            own, many = ids.to_numpy(), n.to_numpy().astype(float)
-            for key, at in places.items():
-                if key not in sent.value:
-                    continue
-                queries, q = sent.value[key]
-                links = q @ unit(vec.take(pa.array(at))).T >= threshold
-                links &= queries[:, None] != own[at][None, :]
-                for k, c in zip(queries.tolist(), (links @ many[at]).tolist(), strict=True):
-                    out[k] = out.get(k, 0) + c
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(out), pa.int64()), pa.array([int(c) for c in out.values()], pa.int64())],
-                names=["id", "there"],
-            )
-
-    there = (
-        nodes.select("id", "label", "width", "vec", "n")
-        .mapInArrow(compare, "id bigint, there bigint")
-        .groupBy("id")
-        .agg(F.sum("there").alias("there"))
+    return (
+        visits.join(nodes.select("id", "vec", "n"), "id")
+        .groupBy(*_KEYS, "low", "high")
+        .applyInArrow(compare, "id bigint, root bigint, linked bigint")
     )
-    sums = there.join(counts, "id", "left").agg(F.sum(F.coalesce("linked", F.lit(0))), F.sum("there")).first()
-    return int(sums[0] or 0), int(sums[1] or 0)
 
 
 def near_duplicates(
@@ -259,6 +198,7 @@ def near_duplicates(
     embedding: str = "embedding",
     label: str = "label",
     threshold: float = THRESHOLD,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row for each row of ``rows``."""
     vec = F.col(embedding)
@@ -271,29 +211,10 @@ def near_duplicates(
         F.size(vec).alias("width"),
     )
     known = named.where("vec is not null")
-    nodes = saved(classes_of(known))
-    edges = None
-    for attempt in range(PASSES):
-        grown = leaves(nodes, threshold, SEED + attempt).groupBy("label", "width", "tree", "code", "part")
-        new = grown.applyInArrow(_compare, _EDGES)
-        edges = saved(_lists(new if edges is None else edges.union(new)))
-        links = F.col("sim") >= threshold
-        before = edges.where(links).count()
-        for _ in range(ROUNDS):
-            if not before:
-                break
-            edges = saved(refine(edges, nodes))
-            now = edges.where(links).count()
-            if now == before:
-                break
-            before = now
-        members = saved(components(edges.where(links).select("a", "b")))
-        counts = saved(enlarged(members, nodes, threshold))
-        found, there = audit(nodes, counts, threshold)
-        if found >= RECALL * there:
-            break
-    else:
-        warnings.warn(f"the audit found {found} of {there} links", stacklevel=2)
+    nodes = saved(classes_of(known, block))
+    found = saved(linked(nodes, threshold, block))
+    members = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    counts = found.groupBy("id").agg(F.sum("linked").alias("linked"))
     rooted = nodes.join(members.withColumnRenamed("node", "id"), "id", "left").select(
         "id", "label", "vec", "class", "n", F.coalesce("root", "id").alias("root")
     )
@@ -303,8 +224,8 @@ def near_duplicates(
         .join(counts, "id", "left")
         .select("label", "vec", "component_id", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     )
-    linked = known.join(by_class, ["label", "vec"]).select("vec_id", "n_links", "component_id")
+    joined = known.join(by_class, ["label", "vec"]).select("vec_id", "n_links", "component_id")
     alone = named.where("vec is null").select(
         "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")
     )
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return joined.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

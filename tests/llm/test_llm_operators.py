@@ -602,6 +602,31 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(empty(df)).count() == 0
 
 
+def check_embeddings(spark, x, labels, **options):
+    """near_duplicates on vectors numbered in order, against all pairs; gives the number of components."""
+    rows = [(i, [float(a) for a in v], label) for i, (v, label) in enumerate(zip(x, labels, strict=True))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(4)
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df, **options).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    labels = np.array(labels)
+    links = (u @ u.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(links, False)
+    root = embeddings.roots_of(links)
+    assert [got[i]["n_links"] for i in range(len(x))] == links.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == root.tolist()
+    return len(set(root.tolist()))
+
+
+def test_embeddings_bridge(spark):
+    """Two groups of one label, tighter than the links between them."""
+    rng = np.random.default_rng(5)
+    ends = np.zeros((2, 32))
+    ends[0, 0], ends[1, :2] = 1, (0.95, (1 - 0.95**2) ** 0.5)
+    x = np.repeat(ends, 30, axis=0) + rng.normal(size=(60, 32)) * 0.004
+    assert check_embeddings(spark, x, [1] * 60) == 1
+    assert check_embeddings(spark, x, [1] * 60, block=16) == 1
+
+
 def test_embeddings_repeated_rows(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [0.0, 1.0], 1), (4, [1.0, 0.0], 2)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
