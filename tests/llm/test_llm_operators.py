@@ -627,6 +627,16 @@ def test_embeddings_bridge(spark):
     assert check_embeddings(spark, x, [1] * 60, block=16) == 1
 
 
+def test_embeddings_rare_pairs_beside_a_dense_group(spark):
+    """Links of a dense group do not stand in for lost pairs."""
+    rng = np.random.default_rng(6)
+    dense = np.eye(1, 48)[0] + rng.normal(size=(500, 48)) * 0.005
+    ends = rng.normal(size=(400, 48))
+    pairs = ends + rng.normal(size=ends.shape) * 0.37
+    x = np.concatenate([dense, ends, pairs])
+    assert check_embeddings(spark, x, [1] * len(x), block=128) > 401
+
+
 def test_embeddings_repeated_rows(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [0.0, 1.0], 1), (4, [1.0, 0.0], 2)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
