@@ -637,6 +637,14 @@ def test_embeddings_rare_pairs_beside_a_dense_group(spark):
     assert check_embeddings(spark, x, [1] * len(x), block=128) > 401
 
 
+def test_embeddings_shared_direction(spark):
+    """Pairs among vectors that share a direction, of which planes through the origin tell little."""
+    rng = np.random.default_rng(7)
+    ends = rng.normal(size=(1000, 48)) * 0.08 + 0.09
+    x = np.concatenate([ends, ends + rng.normal(size=ends.shape) * 0.043])
+    assert check_embeddings(spark, x, [1] * len(x), block=256) > 1000
+
+
 def test_embeddings_repeated_rows(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [0.0, 1.0], 1), (4, [1.0, 0.0], 2)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
