@@ -2,12 +2,15 @@
 
 Fixed patterns with their checks give the base spans. Wider generators propose
 further, overlapping candidates. What the fixed patterns match teaches boosted
-trees: a match that passes its check is a positive, one that fails is not;
-features are the format (lengths, digit groups, checks) and the context (nearby
+trees: a match that passes its check is a positive, one that fails is not.
+Candidates of the generators beside those matches get weak labels from format
+and context (_weak_label), so that e-mails and phones have negatives, too.
+Features are the format (lengths, digit groups, checks) and the context (nearby
 words and characters), never the pattern itself. A threshold per kind is the
-lowest score from which held-back matches are right often enough; candidates
-above it that touch no base span are added. Without enough examples of both
-sorts of a kind nothing of that kind is added.
+lowest score from which held-back examples are right often enough; candidates
+above it are added if they touch no base span, or go beyond those of their own
+kind that they touch. Without enough examples of both sorts of a kind nothing
+of that kind is added.
 
 All work on texts stays in the row: no shuffle, no Python. Patterns use
 possessive repeats and start only where a run starts (or the last match ended),
@@ -44,6 +47,11 @@ BASE = {
 #: Generators of further candidates: (kind, one of these a text must hold, else two digits, pattern).
 WIDE = (
     ("email", ("@",), r"(?:\G|(?<![^\s@]))[^\s@]++@[^\s@]++"),
+    (
+        "email",
+        ("@",),
+        rf"(?:\G|(?<![\p{{L}}\p{{N}}._%+-]))[\p{{L}}\p{{N}}._%+-]++@{_LABEL}(?:\.{_LABEL})++",
+    ),
     (
         "email",
         ("(at)", "[at]"),
@@ -59,6 +67,12 @@ _HINTS = {
     "card": "card|visa|credit|payment|karte|carte|tarjeta|debit",
     "phone": "phone|tel|call|mobile|fax|cell|anruf|appel|llama",
 }
+#: An address by its form: labels between single dots, and a last label of letters.
+_WORD = r"[\p{L}\p{N}_%+-]++"
+_DOT = r"(?:\.| ?[(\[]dot[)\]] ?)"
+_ADDRESS = rf"^{_WORD}(?:\.{_WORD})*+(?:@| ?[(\[]at[)\]] ?)(?:{_LABEL}{_DOT})+[A-Za-z]{{2,24}}$"
+#: What comes before numbers and names in code, decimals and versions.
+_CODE = r"[=/\\#$&?]$|[0-9][.,]$|\b(?:version|v|id|isbn|doi)[.: ]*$"
 #: Code points before a candidate that count as its context.
 CONTEXT = 32
 #: Examples that trees are fitted on: about so many, chosen by a hash.
@@ -166,9 +180,29 @@ def _with_base(docs: DataFrame, text: str) -> DataFrame:
 FEATURES = (
     *(f"is_{k}" for k in KINDS), "chars", "digits", "letters", "others", "groups", "longest_group",
     "dots", "blanks", "luhn", "octets", "digits_10_15", "at_start", "after_blank", "before_blank", "hint",
+    "last_letters", "pluses", "code",
 )
 
 
+def _before(start: Column) -> Column:
+    return F.lower(F.substring(F.col("__text"), F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
+
+
+def _weak_label(kind: str, span: Column) -> Column:
+    """Whether a candidate of a generator looks right; null where that is not known."""
+    before, value = _before(span["start"]), span["value"]
+    fits = _plausible(kind, value) & ~before.rlike(_CODE)
+    if kind == "email":
+        return fits
+    if kind == "phone":
+        return fits & before.rlike(_HINTS[kind])
+    return F.when(~(fits & (value.rlike(_OCTETS) if kind == "ip" else _luhn(_digits(value)))), F.lit(False))
+
+
+def _overlaps(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
 def _features(kind: str, span: Column) -> Column:
     """Format and context numbers of a candidate, in the order of FEATURES."""
     value, start, end = span["value"], span["start"], span["end"]
@@ -176,7 +210,7 @@ def _features(kind: str, span: Column) -> Column:
     n_digits = F.length(digits)
     n_letters = F.length(F.regexp_replace(value, "[^A-Za-z]", ""))
     groups = F.filter(F.split(value, "[^0-9]+", -1), lambda g: g != "")
-    before = F.lower(F.substring(F.col("__text"), F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
+    before = _before(start)
     after = F.substring(F.col("__text"), end + 1, F.lit(1))
     numbers = [
         *[F.lit(float(k == kind)) for k in KINDS],
@@ -195,27 +229,41 @@ def _features(kind: str, span: Column) -> Column:
         before.rlike(r"\s$"),
         (after == "") | after.rlike(r"[\s,;.]"),
         before.rlike(_HINTS[kind]),
+        F.least(F.length(F.regexp_extract(value, "[A-Za-z]*+$", 0)), F.lit(99)),
+        F.least(F.length(F.regexp_replace(value, "[^+]", "")), F.lit(99)),
+        before.rlike(_CODE),
     ]
     return F.array(*[n.cast("double") for n in numbers])
 
 
 def examples(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, features, label, pick): every match of a fixed pattern, and whether it passes its check."""
+    """(kind, features, label, pick): every match of a fixed pattern, and whether it passes its check;
+    every candidate of a generator that touches no match of its kind, with its weak label.
+    """
     found = _with_base(docs.select(F.col(text).alias(text)), text)
+    found = _located(found, "__text", {f"__wide_{i}": (_wide_guard(must), p) for i, (_, must, p) in enumerate(WIDE)})
 
-    def labelled(kind: str) -> Column:
+    def labelled(kind: str, spans: Column, label) -> Column:
         return F.transform(
-            F.col(f"__base_{kind}"),
+            spans,
             lambda s: F.struct(
                 F.lit(kind).alias("kind"),
                 _features(kind, s).alias("features"),
-                _passes(kind, s["value"]).cast("double").alias("label"),
+                label(s).cast("double").alias("label"),
                 F.xxhash64(s["value"], s["start"], F.length("__text")).alias("pick"),
             ),
         )
 
-    rows = F.concat(*map(labelled, KINDS))
-    return found.select(F.explode(rows).alias("e")).select("e.*")
+    def base(kind: str) -> Column:
+        return labelled(kind, F.col(f"__base_{kind}"), lambda s: _passes(kind, s["value"]))
+
+    def beside(kind: str) -> Column:
+        spans = F.array_distinct(F.concat(*[F.col(f"__wide_{i}") for i, w in enumerate(WIDE) if w[0] == kind]))
+        own = F.filter(spans, lambda a: ~F.exists(f"__base_{kind}", lambda b: _overlaps(a, b)))
+        return labelled(kind, own, lambda s: _weak_label(kind, s))
+
+    rows = F.concat(*map(base, KINDS), *map(beside, KINDS))
+    return found.select(F.explode(rows).alias("e")).select("e.*").where(F.col("label").isNotNull())
 
 
 @dataclass
@@ -281,7 +329,7 @@ def _grow(x, gradient, weight, rows, depth, step):
 
 
 def train(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
-    """Boosted trees and thresholds from the matches of the fixed patterns.
+    """Boosted trees and thresholds from the matches of the fixed patterns and the generators.
 
     Trees are fitted on about ``train_rows`` examples, thresholds on all that are held back.
     """
@@ -358,19 +406,21 @@ def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     added = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,score:double>>")
     for name in wide:
         added = F.concat(added, accepted(name))
-    ready = ready.withColumn("__added", F.array_sort(added))
+    ready = ready.withColumn("__added", F.array_sort(F.array_distinct(added)))
 
-    def overlaps(a, b):
-        return (a["start"] < b["end"]) & (b["start"] < a["end"])
+    def within(b, a):
+        """b is a smaller part of a, of the same kind."""
+        inside = (a["start"] <= b["start"]) & (b["end"] <= a["end"])
+        return (a["rank"] == b["rank"]) & inside & ((a["end"] - a["start"]) > (b["end"] - b["start"]))
 
-    free = F.filter("__added", lambda a: ~F.exists("__base", lambda b: overlaps(a, b)))
+    free = F.filter("__added", lambda a: ~F.exists("__base", lambda b: _overlaps(a, b) & ~within(b, a)))
     ready = ready.withColumn("__free", free)
     # Of added spans that overlap, the best stays, then the first.
     best = F.filter(
         "__free",
         lambda a: ~F.exists(
             "__free",
-            lambda b: overlaps(a, b)
+            lambda b: _overlaps(a, b)
             & ((b["score"] > a["score"]) | ((b["score"] == a["score"]) & (F.struct(b["start"], b["rank"], b["end"]) < F.struct(a["start"], a["rank"], a["end"])))),
         ),
     )
@@ -399,6 +449,8 @@ def _plausible(kind: str, value: Column) -> Column:
         return value.rlike(r"[ ()./-]") & F.length(_digits(value)).between(10, 15)
     if kind == "card":
         return F.length(_digits(value)).between(14, 19)
+    if kind == "email":
+        return value.rlike(_ADDRESS)
     return F.lit(True)
 
 

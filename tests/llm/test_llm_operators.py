@@ -325,6 +325,21 @@ def test_pii_trees_and_redaction(spark):
     assert got[3]["text"] == "é mail [EMAIL] [IP]" and got[3]["n_chars"] == len(got[3]["text"])
 
 
+def test_pii_generators_of_every_kind(spark):
+    """No match of the e-mail and phone patterns fails its check here; the generators still act."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        number = f"{rng.randint(200, 999)}-555-{rng.randint(1000, 9999)}"
+        rows.append((i, f"mail joe{i}@example.com or ann{i} (at) host (dot) org, not x{i}@y or code=b{i}@c.1 here; "
+                        f"phone {number} or +1 (555) 010-{i:04d}, order {rng.randint(10**11, 10**12 - 1)} sent"))
+    model = pii.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {"email", "phone"} <= set(model.thresholds)
+    texts = [(1, "mail bob (at) place (dot) net now"), (2, "mail rené.lé@place.net now"), (3, "phone 212-555-0188 now"), (4, "see x9@y now")]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(texts, "doc_id bigint, text string"), model).collect()}
+    assert got == {1: "mail [EMAIL] now", 2: "mail [EMAIL] now", 3: "phone [PHONE] now", 4: "see x9@y now"}
+
+
 # --- tokens and packing ------------------------------------------------------
 
 
