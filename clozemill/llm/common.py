@@ -16,16 +16,17 @@ Compute = Callable[..., list]
 
 
 def append_columns(
-    df: DataFrame, needs: list[str], outputs: str, start: Callable[[], Compute]
+    df: DataFrame, needs: list[str], outputs: str, start: Callable[[], Compute], drop: tuple[str, ...] = ()
 ) -> DataFrame:
     """Adds columns computed in Python, batch by batch, without a shuffle.
 
     ``outputs`` is a DDL schema. ``start`` runs once per task and returns the
     function that maps the ``needs`` columns of a batch to the new columns.
-    An input column named like an output is replaced, as withColumn does.
+    An input column named like an output is replaced, as withColumn does; one
+    named in ``drop`` is read, if it is needed, and not returned.
     """
     added = T.StructType.fromDDL(outputs)
-    taken = {f.name.lower() for f in added}
+    taken = {f.name.lower() for f in added} | {n.lower() for n in drop}
     kept = [f for f in df.schema if f.name.lower() not in taken]
     places = {f.name: i for i, f in enumerate(kept)}
     more = [n for n in needs if n not in places]

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clozemill.llm import decontaminate, embeddings, packing, pii, quality, simhash, tokens, toxicity, url_rules, warc
+from clozemill.llm import (
+    align,
+    byte_bpe,
+    decontaminate,
+    embeddings,
+    fim,
+    packing,
+    pii,
+    quality,
+    simhash,
+    tokens,
+    toxicity,
+    url_rules,
+    warc,
+)
 from clozemill.llm.common import crc_of_id
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,3 +252,54 @@ def op9_packing(spark, sf_dir):
 @query
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(texts(spark, sf_dir))
+
+
+@query
+def op11_byte_bpe(spark, sf_dir):
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = byte_bpe.encode(texts(spark, sf_dir), path, pattern).drop("text")
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return byte_bpe.decode(rows, path, pattern).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op12_token_alignment(spark, sf_dir):
+    a, b = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.align(texts(spark, sf_dir), a, b)
+
+
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    rows = fim.restored(fim.transform(fim.framed(texts(spark, sf_dir))))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"
+    )
+
+
+ORACLES["op13_fill_in_middle"] = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+    list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substring(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), i, 8) AS BIGINT)) AS h
+  FROM documents
+),
+c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS lo, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS hi,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+),
+p AS (
+  SELECT *, substring(text, 1, lo) AS pre, substring(text, lo + 1, hi - lo) AS mid, substring(text, hi + 1, n - hi) AS suf FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
