@@ -22,7 +22,9 @@ case, is replaced.
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from clozemill.llm.common import append_columns, per_worker
 from clozemill.llm.pieces import Splitter
 
 #: Entries of the tables of known pieces and pairs; a full table starts anew.
-KNOWN = 400_000
+KNOWN = 300_000
 #: Longest piece that is kept, in code points.
 SHORT = 64
 
@@ -56,18 +58,28 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-class Codec:
-    """Ids and bytes by one rank file; ``pattern`` cuts texts into pieces."""
+class Vocabulary:
+    """The bytes of each id of a rank file."""
+
+    def __init__(self, path: str):
+        self.ranks = read_ranks(path)
+        self.token: list[bytes] = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.ranks.items():
+            self.token[rank] = token
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.token.__getitem__, ids))
+
+
+class Codec(Vocabulary):
+    """Ids of texts, too; ``pattern`` cuts them into pieces."""
 
     def __init__(self, path: str, pattern: str):
         import ahocorasick
 
-        self.ranks = read_ranks(path)
-        size = max(self.ranks.values(), default=-1) + 1
-        self.token: list[bytes] = [b""] * size
+        super().__init__(path)
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
-            self.token[rank] = token
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.pieces = per_worker(("splitter", pattern), lambda: Splitter(pattern)).pieces
@@ -183,9 +195,6 @@ class Codec:
         get, learn = self.known.get, self._learn
         return b"".join([get(x) or learn(x) for x in self.pieces(text or "")])
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
-
 
 class _Without:
     """Ranks as they were before some tokens were made."""
@@ -202,34 +211,61 @@ def codec(path: str, pattern: str) -> Codec:
     return per_worker(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
+def vocabulary(path: str) -> Vocabulary:
+    return per_worker(("vocabulary", path), lambda: Vocabulary(path))
+
+
 def lists(rows: list[bytes]) -> pa.ListArray:
     """Rows of 32-bit numbers as an Arrow column."""
     ends = np.cumsum([0, *(len(x) // 4 for x in rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", keep_text: bool = True
+) -> DataFrame:
     """``docs`` with the token ids of ``text``; workers read the rank file at ``path``."""
 
     def start():
         one = codec(path, pattern).encode
         return lambda texts: [lists([one(x) for x in texts.to_pylist()])]
 
-    return append_columns(docs, [text], f"`{ids}` array<int>", start)
+    return append_columns(docs, [text], f"`{ids}` array<int>", start, drop=() if keep_text else (text,))
 
 
-def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
+def _each(column: pa.Array) -> Iterator[list[int]]:
+    """The lists of an Arrow column; a null is an empty one."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.asarray(pa.compute.list_value_length(column).fill_null(0))
+    ends = np.cumsum(sizes)
+    for end, size in zip(ends.tolist(), sizes.tolist(), strict=True):
+        yield flat[end - size : end].tolist()
+
+
+def decode(rows: DataFrame, path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """``rows`` with the bytes that their token ids stand for; null ids stand for none."""
 
     def start():
-        one = codec(path, pattern).decode
+        one = vocabulary(path).decode
+        return lambda column: [[one(x) for x in _each(column)]]
+
+    return append_columns(rows, [ids], f"`{data}` binary", start)
+
+
+def digests(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """``rows`` without their ids, with n_tokens and SHA-256 digests of the ids (decimal, comma-joined) and of the bytes that they decode to."""
+
+    def start():
+        one = vocabulary(path)
+        name = [str(i) for i in range(len(one.token))]
 
         def compute(column):
-            flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
-            sizes = np.asarray(pa.compute.list_value_length(column).fill_null(0))
-            ends = np.cumsum(sizes)
-            return [[one(flat[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]]
+            new = []
+            for x in _each(column):
+                listed = ",".join(map(name.__getitem__, x)).encode()
+                new.append((len(x), hashlib.sha256(listed).hexdigest(), hashlib.sha256(one.decode(x)).hexdigest()))
+            return list(zip(*new, strict=True)) if new else [[]] * 3
 
         return compute
 
-    return append_columns(rows, [ids], f"`{data}` binary", start)
+    return append_columns(rows, [ids], "n_tokens bigint, ids_sha256 string, decoded_sha256 string", start, drop=(ids,))

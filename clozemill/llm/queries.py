@@ -257,14 +257,8 @@ def op10_simhash(spark, sf_dir):
 @query
 def op11_byte_bpe(spark, sf_dir):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = byte_bpe.encode(texts(spark, sf_dir), path, pattern).drop("text")
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return byte_bpe.decode(rows, path, pattern).select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    rows = byte_bpe.encode(texts(spark, sf_dir), path, pattern, keep_text=False)
+    return byte_bpe.digests(rows, path)
 
 
 @query

@@ -65,7 +65,7 @@ def tiktoken_multi(codec):
 
 def test_ids_and_bytes_equal_the_library(docs, tiktoken_multi):
     path, pattern = RANKS, public_tokenizers.PATTERN
-    rows = byte_bpe.decode(byte_bpe.encode(docs.withColumn("IDS", F.lit("mine")), path, pattern), path, pattern).collect()
+    rows = byte_bpe.decode(byte_bpe.encode(docs.withColumn("IDS", F.lit("mine")), path, pattern), path).collect()
     assert len(rows) == docs.count()
     for r in rows:
         assert r["ids"] == tiktoken_multi.encode_ordinary(r["text"] or ""), r["text"]
@@ -134,11 +134,21 @@ def test_a_full_table_starts_anew(codec, tiktoken_multi, monkeypatch):
 
 def test_bpe_odd_tables(docs, repeated):
     path, pattern = RANKS, public_tokenizers.PATTERN
-    assert byte_bpe.decode(byte_bpe.encode(empty(docs), path, pattern), path, pattern).count() == 0
-    rows = byte_bpe.decode(byte_bpe.encode(repeated, path, pattern), path, pattern).collect()
+    assert byte_bpe.decode(byte_bpe.encode(empty(docs), path, pattern), path).count() == 0
+    assert byte_bpe.digests(byte_bpe.encode(empty(docs), path, pattern), path).count() == 0
+    rows = byte_bpe.decode(byte_bpe.encode(repeated, path, pattern), path).collect()
     assert sorted(bytes(r["decoded"]).decode() for r in rows) == sorted(r["text"] or "" for r in repeated.collect())
     nothing = repeated.withColumn("ids", F.lit(None).cast("array<int>"))
-    assert all(r["decoded"] == b"" for r in byte_bpe.decode(nothing, path, pattern).collect())
+    assert all(r["decoded"] == b"" for r in byte_bpe.decode(nothing, path).collect())
+
+
+def test_bpe_digests(docs, tiktoken_multi):
+    rows = byte_bpe.digests(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()
+    assert len(rows) == docs.count() and "ids" not in rows[0]
+    for r in rows:
+        ids = tiktoken_multi.encode_ordinary(r["text"] or "")
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == sha(",".join(map(str, ids)))
+        assert r["decoded_sha256"] == sha(r["text"] or "")
 
 
 def test_splitter_paths_agree():
@@ -205,7 +215,7 @@ def check_alignment(rows, texts, libraries):
     return expected
 
 
-@pytest.mark.parametrize("size", [align.BLOCK, 500])
+@pytest.mark.parametrize("size", [align.BLOCK, 2000])
 def test_alignment_equals_plain_python(docs, libraries, size):
     given = {r["doc_id"]: r["text"] for r in docs.collect()}
     rows = align.align(docs.withColumn("block", F.lit("mine")), BPE, MODEL, keep=("doc_id", "block"), size=size).collect()
@@ -228,9 +238,9 @@ def test_windows_table_starts_anew(spark, libraries, monkeypatch):
     known = align.Windows(align.ByteLevel(BPE), align.PieceModel(MODEL))
     texts = [t for t in hostile(80) if t]
     for text, (a, b, groups, _) in zip(texts, plain_alignment(texts, libraries)[0], strict=True):
-        ids_a, ids_b, windows = known.of(text)
-        assert (list(ids_a), list(ids_b)) == (a, b)
-        assert ";".join(known.text[w] for w in windows) == ";".join(groups)
+        ids = known.encode([text])
+        assert [list(x[0]) for x in ids] == [a, b]
+        assert ";".join(known.text[w] for w in known.of(*ids)[0]) == ";".join(groups)
         if known.full():
             known.clear()
 
@@ -238,9 +248,9 @@ def test_windows_table_starts_anew(spark, libraries, monkeypatch):
 def test_anchors_cut_most_words_apart(libraries):
     known = align.Windows(align.ByteLevel(BPE), align.PieceModel(MODEL))
     text = "The quick brown fox jumps over the lazy dog near the river bank"
-    assert len(known.of(text)[2]) == len(text.split())
-    repeat = known.of(text)[2]
-    assert repeat == known.of(text)[2] and len(known.text) <= len(text.split())
+    first, ends = known.of(*known.encode([text, None, text]))
+    assert ends.tolist() == [0, 13, 13, 26] and len(known.text) == 12
+    assert first[:13].tolist() == first[13:].tolist()
 
 
 def test_alignment_moves_blocks_and_not_links(docs):
