@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +33,13 @@ from pyspark.sql import types as T
 from clozemill.llm.common import pa_type, per_worker, saved
 from clozemill.llm.tokens import PIECES, byte_letters
 
-#: Tokens of a block, both sides together, from which the next document starts a new one.
-BLOCK = 1 << 20
+#: Bytes of text that a block holds, about; documents are not cut.
+BLOCK = 1 << 21
 #: Windows that a worker keeps, and token ids in them; a full table starts anew.
-KNOWN, KNOWN_IDS = 400_000, 4_000_000
+KNOWN, KNOWN_IDS = 300_000, 4_000_000
 
 COUNTS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint"
 OUTPUTS = f"{COUNTS}, n_best bigint, count_sum bigint, groups_sha256 string"
-Ids = tuple[int, ...]
 
 
 class Side:
@@ -50,8 +49,9 @@ class Side:
         self.token = token
         self.size = np.array([len(t) for t in token], np.int64)
         self.spaced = np.array([t[:1] == b" " for t in token])
+        self.sizes, self.name = self.size.tolist(), [str(i) for i in range(len(token))]
 
-    def spells(self, ids: Ids, data: bytes) -> bool:
+    def spell(self, ids: list[int], data: bytes) -> bool:
         return b"".join(map(self.token.__getitem__, ids)) == data
 
 
@@ -99,75 +99,91 @@ class PieceModel(Side):
         return self.model.encode(text)
 
 
-def groups(a: Ids, b: Ids, size_a: list[int], size_b: list[int]) -> list[tuple[Ids, Ids]]:
-    """The ids between one shared end and the next; both sides spell the same bytes."""
-    out, i, j, from_i, from_j = [], 0, 0, 0, 0
-    end_a = end_b = 0
-    while i < len(a) or j < len(b):
-        if end_a <= end_b and i < len(a):
-            end_a += size_a[a[i]]
-            i += 1
-        else:
-            end_b += size_b[b[j]]
-            j += 1
-        if end_a == end_b:
-            out.append((a[from_i:i], b[from_j:j]))
-            from_i, from_j = i, j
-    return out
-
-
-def spelled(parts: list[tuple[Ids, Ids]]) -> str:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in parts)
+#: Marks ids of the second side in the ids of a window.
+SECOND = 1 << 31
 
 
 class Windows:
-    """Windows seen so far: number by ids, and by number the text of the groups and the linked pairs."""
+    """Windows seen so far: number by ids; by number the text of the groups and the linked pairs."""
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
-        self.sizes = a.size.tolist(), b.size.tolist()
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[tuple[Ids, Ids], int] = {}
+        #: Keys are a window's ids as 32-bit numbers, those of the second side marked.
+        self.number: dict[bytes, int] = {}
         self.text: list[str] = []
-        self.links: list[list[int]] = []
-        self.ids = 0
+        self.links, self.ends, self.ids = array("q"), array("q"), 0
 
     def full(self) -> bool:
         return len(self.text) >= KNOWN or self.ids >= KNOWN_IDS
 
-    def learn(self, key: tuple[Ids, Ids]) -> int:
-        parts = groups(*key, *self.sizes)
+    def learn(self, key: bytes) -> int:
+        """Aligns a window: its groups lie between the ends that both sides share."""
+        ids = memoryview(key).cast("I").tolist()
         self.number[key] = new = len(self.text)
-        self.text.append(spelled(parts))
-        self.links.append([x[-1] << 32 | y[-1] for x, y in parts])
-        self.ids += len(key[0]) + len(key[1])
+        self.ids += len(ids)
+        cut = next(i for i, x in enumerate(ids) if x >= SECOND)
+        a, b = ids[:cut], [x - SECOND for x in ids[cut:]]
+        name_a, name_b = self.a.name, self.b.name
+        size_a, size_b = self.a.sizes, self.b.sizes
+        groups, from_j, j, end_b, end_a, own = [], 0, 0, 0, 0, []
+        for x in a:
+            end_a += size_a[x]
+            own.append(name_a[x])
+            while end_b < end_a:
+                end_b += size_b[b[j]]
+                j += 1
+            if end_a == end_b:
+                groups.append(f"{','.join(own)}|{','.join([name_b[y] for y in b[from_j:j]])}")
+                self.links.append(x << 32 | b[j - 1])
+                from_j, own = j, []
+        self.text.append(";".join(groups))
+        self.ends.append(len(self.links))
         return new
 
-    def cuts(self, a: Ids, b: Ids) -> tuple[list[int], list[int]]:
-        """Where windows begin on either side, and both ends."""
-        x, y = np.array(a), np.array(b)
-        begin_x, begin_y = np.cumsum(self.a.size[x]) - self.a.size[x], np.cumsum(self.b.size[y]) - self.b.size[y]
-        mark_x, mark_y = np.flatnonzero(self.a.spaced[x]), np.flatnonzero(self.b.spaced[y])
-        _, i, j = np.intersect1d(begin_x[mark_x], begin_y[mark_y], assume_unique=True, return_indices=True)
-        i, j = mark_x[i], mark_y[j]
-        if not len(i) or i[0] or j[0]:
-            i, j = np.append(0, i), np.append(0, j)
-        return [*i.tolist(), len(a)], [*j.tolist(), len(b)]
-
-    def of(self, text: str | None) -> tuple[Ids, Ids, list[int]]:
-        """(ids of either side, numbers of the windows); nothing where the sides spell other bytes."""
-        if not text:
-            return (), (), []
-        a, b = tuple(self.a.encode(text)), tuple(self.b.encode(text))
-        data = (" " + text).encode()
-        if not (self.a.spells(a, data) and self.b.spells(b, data)):
-            return (), (), []
-        i, j = self.cuts(a, b)
+    def encode(self, texts: list[str | None]) -> tuple[list[array], list[array]]:
+        """Ids of either side per text; none where they do not spell the text after a space."""
+        a, b = [], []
+        for text in texts:
+            x, y = (self.a.encode(text), self.b.encode(text)) if text else ((), ())
+            data = (" " + text).encode() if text else b""
+            if not (self.a.spell(x, data) and self.b.spell(y, data)):
+                x = y = ()
+            a.append(array("I", x))
+            b.append(array("I", y))
+        return a, b
+
+    def of(self, a: list[array], b: list[array]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the windows of all texts, and where each text's begin and end."""
+        ids_a, ids_b = (np.frombuffer(b"".join(map(memoryview, x)), np.uint32) for x in (a, b))
+        if not len(ids_a):
+            return np.zeros(0, np.int64), np.zeros(len(a) + 1, np.int64)
+        size_a, size_b = self.a.size[ids_a], self.b.size[ids_b]
+        begin_a, begin_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        # Anchors: tokens of both sides that begin with a space at the same byte. A text's first ones do.
+        mark_a, mark_b = np.flatnonzero(self.a.spaced[ids_a]), np.flatnonzero(self.b.spaced[ids_b])
+        there = np.zeros(size_a.sum(), bool)
+        there[begin_a[mark_a]] = True
+        cut_b = mark_b[there[begin_b[mark_b]]]
+        there[:] = False
+        there[begin_b[cut_b]] = True
+        cut_a = mark_a[there[begin_a[mark_a]]]
+        # A window's ids of both sides lie together, so that one slice is its key.
+        n, m = len(ids_a), len(ids_b)
+        until_a, until_b = np.append(cut_a, n), np.append(cut_b, m)
+        both = np.empty(n + m, np.uint32)
+        both[np.arange(n) + np.repeat(cut_b, np.diff(until_a))] = ids_a
+        both[np.arange(m) + np.repeat(until_a[1:], np.diff(until_b))] = ids_b | np.uint32(SECOND)
+        data, bounds = both.tobytes(), (4 * (until_a + until_b)).tolist()
         get, learn = self.number.get, self.learn
-        keys = [(a[p:q], b[r:s]) for p, q, r, s in zip(i, i[1:], j, j[1:], strict=False)]
-        return a, b, [learn(k) if (n := get(k)) is None else n for k in keys]
+        numbers = [
+            learn(key) if (known := get(key := data[p:q])) is None else known
+            for p, q in zip(bounds, bounds[1:], strict=False)
+        ]
+        ends = np.searchsorted(cut_a, np.cumsum([0, *map(len, a)]))
+        return np.array(numbers, np.int64), ends
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -182,36 +198,29 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4").astype(np.int64)
 
 
-class Block:
-    """Documents with their windows by number, until they are written as one row."""
-
-    def __init__(self):
-        self.kept: list[pa.RecordBatch] = []
-        self.docs: list[tuple[int, int, str]] = []
-        self.windows: list[list[int]] = []
-        self.tokens = 0
-
-    def row(self, block: int, known: Windows) -> list:
-        """Columns of the block's row; windows and pairs are numbered anew, frequent windows first."""
-        seen = Counter()
-        for one in self.windows:
-            seen.update(one)
-        order = [w for w, _ in seen.most_common()]
-        place = {w: i for i, w in enumerate(order)}
-        times = np.array([seen[w] for w in order], np.int64)
-        sizes = np.array([len(known.links[w]) for w in order], np.int64)
-        links = np.array([x for w in order for x in known.links[w]], np.int64)
-        pairs, at = np.unique(links, return_inverse=True)
-        counts = np.bincount(at, np.repeat(times, sizes), len(pairs)).astype(np.int64)
-        numbers = np.array([place[w] for one in self.windows for w in one], np.int64)
-        ends = np.cumsum([0, *map(len, self.windows)])
-        total = np.append(0, np.cumsum(sizes[numbers]))
-        n_links = (total[ends[1:]] - total[ends[:-1]]).tolist()
-        n_a, n_b, digest = zip(*self.docs, strict=True)
-        return [
-            block, list(n_a), list(n_b), n_links, list(map(len, self.windows)), list(digest),
-            packed(numbers), packed(sizes), packed(at), pairs.tolist(), counts.tolist(),
-        ]
+def block_row(block: int, known: Windows, texts: list[str | None]) -> list:
+    """Columns of a block's row; windows and pairs are numbered anew, frequent windows first."""
+    a, b = known.encode(texts)
+    numbers, ends = known.of(a, b)
+    named = numbers.tolist()
+    digest = [
+        hashlib.sha256(";".join([known.text[w] for w in named[i:j]]).encode()).hexdigest() if j > i else ""
+        for i, j in zip(ends.tolist(), ends[1:].tolist(), strict=False)
+    ]
+    times = np.bincount(numbers)
+    order = np.argsort(-times, kind="stable")[: np.count_nonzero(times)]
+    place = np.zeros(len(times), np.int64)
+    place[order] = np.arange(len(order))
+    until = np.append(0, np.frombuffer(known.ends, np.int64))
+    first, sizes = until[order], np.diff(until)[order]
+    shift = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+    pairs, at = np.unique(np.frombuffer(known.links, np.int64)[shift + np.arange(len(shift))], return_inverse=True)
+    counts = np.bincount(at, np.repeat(times[order], sizes), len(pairs)).astype(np.int64)
+    total = np.append(0, np.cumsum(sizes[place[numbers]]))
+    return [
+        block, list(map(len, a)), list(map(len, b)), np.diff(total[ends]).tolist(), np.diff(ends).tolist(), digest,
+        packed(place[numbers]), packed(sizes), packed(at), pairs.tolist(), counts.tolist(),
+    ]
 
 
 _BLOCK = (
@@ -232,40 +241,23 @@ def blocks(docs: DataFrame, a: str, b: str, text: str, keep: tuple[str, ...], si
         from pyspark import TaskContext
 
         known = per_worker(("windows", a, b), lambda: Windows(ByteLevel(a), PieceModel(b)))
-        first = TaskContext.get().partitionId() << 32
-        written = 0
-        block = Block()
-
-        def flush():
-            values = block.row(first + written, known)
-            columns = pa.Table.from_batches(block.kept).combine_chunks().columns
-            lists = [
-                pa.ListArray.from_arrays(pa.array([0, len(block.docs)], pa.int32()), c.combine_chunks())
-                for c in columns
-            ]
-            arrays = [pa.array([v], t) for v, t in zip(values, types, strict=False)]
-            arrays += [x.cast(t) for x, t in zip(lists, types[len(values) :], strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, names=names)
-
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            since = 0
-            for i, one in enumerate(batch.column(width).to_pylist()):
-                ids_a, ids_b, windows = known.of(one)
-                digest = hashlib.sha256(";".join([known.text[w] for w in windows]).encode()).hexdigest() if windows else ""
-                block.docs.append((len(ids_a), len(ids_b), digest))
-                block.windows.append(windows)
-                block.tokens += len(ids_a) + len(ids_b)
-                full = known.full()
-                if full or block.tokens >= size or i + 1 == len(batch):
-                    block.kept.append(batch.slice(since, i + 1 - since).select(list(range(width))))
-                    since = i + 1
-                if full or block.tokens >= size:
-                    yield flush()
-                    block, written = Block(), written + 1
-                    if full:
-                        known.clear()
-        if block.docs:
-            yield flush()
+            lengths = np.asarray(pa.compute.binary_length(batch.column(width)).fill_null(0))
+            # Blocks end where a multiple of the size is passed; a long text may fill one alone.
+            ends = np.flatnonzero(np.diff(np.cumsum(lengths) // size, append=-1)) + 1
+            for begin, end in zip([0, *ends], ends, strict=False):
+                part = batch.slice(begin, end - begin)
+                if known.full():
+                    known.clear()
+                row = block_row(block, known, part.column(width).to_pylist())
+                arrays = [pa.array([v], t) for v, t in zip(row, types, strict=False)]
+                arrays += [
+                    pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), c).cast(t)
+                    for c, t in zip(part.columns[:width], types[len(row) :], strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                block += 1
 
     columns = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
     return docs.select(*columns, F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
