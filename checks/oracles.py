@@ -285,6 +285,101 @@ group by 1"""
     )
 
 
+# From which 16-bit number on a Poisson weight of mean one is at least 1, 2, 3, …
+_POISSON = "[24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535]"
+
+
+def _replicates(view: str) -> str:
+    """w: the weight of every pair in 1000 replicates, eight to an MD5."""
+    return f"""
+drawn as (
+  select pair_id, lang, c, md5(pair_id || ':' || c || ':0') as h
+  from {view} cross join (select unnest(range(0, 125)) as c)),
+w as (
+  select pair_id, lang, 8 * c + k as replicate,
+    len(list_filter({_POISSON}, lambda s: s <= cast('0x' || substring(h, 1 + 4 * k, 4) as int))) as w
+  from drawn cross join (select unnest(range(0, 8)) as k))"""
+
+
+def _interval(name: str) -> str:
+    return ", ".join(
+        f'round(quantile_cont({name}, {q}), 6) as "{name}_{side}"'
+        for side, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))
+    )
+
+
+# Predictions of v_pairs leave out words only, so their longest common subsequence is all of them.
+_BOOTSTRAP_ROUGE = (
+    duck_with("v_pairs") + ","
+    + _overlaps("v_pairs", "pair_id", "lang", lambda c: _rouge_tokens(c, "a-z0-9"), 2)
+    + f""",
+f as (
+  select v.pair_id, v.lang,
+    coalesce(max(case when n = 1 and hit > 0 then 2.0 * hit / (np + nr) end), 0.0) as rouge1,
+    coalesce(max(case when n = 2 and hit > 0 then 2.0 * hit / (np + nr) end), 0.0) as rouge2,
+    coalesce(max(case when n = 1 and np > 0 then 2.0 * np / (np + nr) end), 0.0) as rougel
+  from v_pairs v left join hits using (pair_id, lang) group by all),
+{_replicates("v_pairs")},
+sums as (
+  select lang, replicate, count(*) as num_examples, sum(w * rouge1) / sum(w) as rouge1,
+    sum(w * rouge2) / sum(w) as rouge2, sum(w * rougel) / sum(w) as "rougeL"
+  from w join f using (pair_id, lang) group by all having sum(w) > 0)
+select lang, max(num_examples) as num_examples, {_interval("rouge1")}, {_interval("rouge2")}, {_interval("rougeL")}
+from sums group by lang"""
+)
+
+_BOOTSTRAP_BLEU = (
+    duck_with("v_pairs") + ","
+    + _overlaps("v_pairs", "pair_id", "lang", _tokens_13a, 4)
+    + f""",
+counts as (
+  select pair_id, lang, {', '.join(f"coalesce(max(case when n = {n} then {c} end), 0) as {c}{n}" for n in (1, 2, 3, 4) for c in ("hit", "np", "nr"))}
+  from v_pairs left join hits using (pair_id, lang) group by all),
+{_replicates("v_pairs")},
+sums as (
+  select lang, replicate, count(*) as num_examples, {', '.join(f"sum(w * {c}{n}) as {c}{n}" for n in (1, 2, 3, 4) for c in ("hit", "np", "nr"))}
+  from w join counts using (pair_id, lang) group by all having sum(w) > 0),
+zeros as (
+  select *, {', '.join(f"(hit{n} = 0)::int" + "".join(f" + (hit{k} = 0)::int" for k in range(1, n)) + f" as z{n}" for n in (1, 2, 3, 4))} from sums),
+scores as (
+  select lang, num_examples, case when hit1 > 0 and np4 > 0 then
+    (case when np1 >= nr1 then 1.0 else exp(1 - nr1 / np1) end)
+    * exp(({' + '.join(f"ln(case when hit{n} = 0 then 100.0 / (pow(2.0, z{n}) * np{n}) else 100.0 * hit{n} / np{n} end)" for n in (1, 2, 3, 4))}) / 4)
+    else 0.0 end as sacrebleu
+  from zeros)
+select lang, max(num_examples) as num_examples, {_interval("sacrebleu")} from scores group by lang"""
+)
+
+
+def _feistel(source: str, name: str, sizes: str, back: bool) -> str:
+    """One pass of the keyed rounds over a column x of ``source``, with a and b its grid and k its keys."""
+    steps, last = [], source
+    for j, i in enumerate(reversed(range(8)) if back else range(8)):
+        other = "y" if i % 2 else "l"
+        mixed = f"((({other} + k[{2 * i + 1}]) % 2147483647) * (({other} + k[{2 * i + 1}]) % 2147483647) % 2147483647 * k[{2 * i + 2}] % 2147483647)"
+        sign = "-" if back else "+"
+        half = f"(l {sign} {mixed} % a + a) % a as l, y" if i % 2 else f"l, (y {sign} {mixed} % b + b) % b as y"
+        split = "x // b as l, x % b as y" if j == 0 else "l, y"
+        steps.append(f"select * exclude (l, y), {half} from (select * exclude ({'x' if j == 0 else 'l, y'}), {split} from ({last}))")
+        last = steps[-1]
+    return f"select * exclude (l, y), l * b + y as x from ({last})"
+
+
+_KEYS = "list_transform(range(0, 16), lambda i: case when i % 2 = 0 then cast('0x' || substring(md5(seed || ':' || (i // 2)), 1, 8) as bigint) % 2147483647 else 1 + cast('0x' || substring(md5(seed || ':' || (i // 2)), 9, 8) as bigint) % 2147483646 end)"
+
+_SHUFFLED_PLACES = f"""
+with recursive rows as (
+  select doc_id, row_number() over (order by doc_id) - 1 as i, count(*) over () as n from documents),
+seeded as (
+  select *, {_KEYS} as k, cast(floor(sqrt(n - 1)) as bigint) + 1 as a
+  from rows cross join (values (7), (42)) s(seed)),
+sized as (select *, (n + a - 1) // a as b, i as x from seeded),
+walk as (
+  {_feistel("select * from sized", "x", "", False)}
+  union all
+  {_feistel("select * from walk where x >= n", "x", "", False)})
+select seed, doc_id, x // 32 as batch_id, cast(x % 32 as int) as batch_pos, i as row_at_slot from walk where x < n"""
+
 _TURN_PAIRS = duck_with("v_turn_pairs") + f""",
 turns as (
   select row_idx, 1 as everything, {_collapse('prediction')} as prediction,
@@ -477,6 +572,9 @@ select row_idx, prediction, reference from v_turn_pairs""",
 select lang, num_examples, sacrebleu from sizes join bleu using (lang)""",
     "rouge_n": _rouge("v_pairs", "pair_id", "lang", "a-z0-9"),
     "rouge_n_unicode": _rouge("v_pairs", "pair_id", "lang", r"\p{L}\p{N}"),
+    "bootstrap_rouge": _BOOTSTRAP_ROUGE,
+    "bootstrap_bleu": _BOOTSTRAP_BLEU,
+    "shuffled_places": _SHUFFLED_PLACES,
     "rouge_l": _TURN_PAIRS + "," + _LCS + """
 select count(*) as num_examples, round(avg(f), 6) as "rougeL" from lcs""",
     # The prediction leaves words of its reference out, so it is their longest common part.

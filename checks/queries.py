@@ -15,7 +15,17 @@ import clozemill
 from checks.views import view
 from clozemill import fixed_values as fv
 from clozemill.functions import formats, questions, text
-from clozemill.operators import answers, batches, corpus, metrics, runs, vectors
+from clozemill.operators import (
+    answers,
+    batches,
+    bootstrap,
+    corpus,
+    metrics,
+    ordering,
+    runs,
+    shuffling,
+    vectors,
+)
 from clozemill.operators import questions as question_ops
 from clozemill.plans.text_to_questions import text_to_questions
 from clozemill.sources import sinks
@@ -311,6 +321,19 @@ def rouge_n_unicode(spark, sf_dir):
     return _rounded(scores, "rouge1", "rouge2")
 
 
+@query
+def bootstrap_rouge(spark, sf_dir):
+    names = ("rouge1", "rouge2", "rougeL")
+    found = bootstrap.bootstrap_text_metrics(_pairs(spark, sf_dir), "pair_id", ("lang",), names)
+    return _rounded(found, *[c for c in found.columns if c.startswith("rouge")])
+
+
+@query
+def bootstrap_bleu(spark, sf_dir):
+    found = bootstrap.bootstrap_text_metrics(_pairs(spark, sf_dir), "pair_id", ("lang",), ("sacrebleu",))
+    return _rounded(found, *[c for c in found.columns if c.startswith("sacrebleu")])
+
+
 @query
 def rouge_l(spark, sf_dir):
     return _rounded(metrics.rouge_l(_turns(spark, sf_dir)))
@@ -414,12 +437,7 @@ def compare_runs(spark, sf_dir):
 
 @query
 def early_stopping(spark, sf_dir):
-    epochs = view(spark, sf_dir, "v_epochs")
-    parts = [
-        runs.early_stopping(epochs, patience).withColumn("patience", F.lit(patience))
-        for patience in PATIENCES
-    ]
-    return reduce(DataFrame.union, parts)
+    return runs.early_stopping(view(spark, sf_dir, "v_epochs"), PATIENCES)
 
 
 @query
@@ -479,6 +497,20 @@ def shuffle_batches(spark, sf_dir):
     return batches.assign_batches(_canonical(spark, sf_dir).select("row_idx"), 4, seed=42)
 
 
+@query
+def shuffled_places(spark, sf_dir):
+    """Every document's slot, and the document that the inverse finds there."""
+    docs = view(spark, sf_dir, "documents")
+    n = docs.agg(F.count(F.lit(1))).scalar()
+    dense = ordering.with_dense_index(docs.select("doc_id"), "doc_id", "row_idx")
+    placed = [
+        shuffling.shuffled_batches(dense, 32, seed).withColumn("seed", F.lit(seed)) for seed in (7, 42)
+    ]
+    both = reduce(DataFrame.union, placed).withColumn("n", n)
+    back = [F.when(F.col("seed") == s, shuffling.batch_rows(F.col("batch_id"), F.col("batch_pos"), 32, F.col("n"), s)) for s in (7, 42)]
+    return both.select("seed", "doc_id", "batch_id", "batch_pos", F.coalesce(*back).alias("row_at_slot"))
+
+
 @query
 def pad_batches(spark, sf_dir):
     rows = _canonical(spark, sf_dir).select("row_idx", "source", "target")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from clozemill.fixed_values import WHITESPACE
 from clozemill.functions.questions import build_source
 from clozemill.functions.text import falsy_to_empty, normalize_text
-from clozemill.operators.ordering import with_dense_index, with_running
+from clozemill.operators.ordering import DENSE_WIDTH, with_dense_index, with_running
 
 ROW = "row_idx"
 QA_COLUMNS = (
@@ -198,14 +198,23 @@ def flatten_qas(
 
 
 def limit_first_n(df: DataFrame, max_samples: int | str | None, order: str = ROW) -> DataFrame:
-    """The first rows in table order; None keeps all.
+    """The first rows in table order; None keeps all. A null in the order is an error.
 
-    Rows are numbered, not sorted into one task. A null in the order is an error.
+    Rows per chunk of the order column are counted first, without moving a row.
+    The chunk that holds the n-th row is a scalar of that count, and the filter
+    by it runs where rows are read: only rows up to the end of that chunk are
+    shuffled, to be numbered, whatever the size of the corpus.
     """
     if max_samples is None:
         return df
     n = max(int(max_samples), 0)
-    return with_dense_index(df, order, "__position").where(F.col("__position") < n).drop("__position")
+    missing = F.raise_error(F.lit(f"Rows without {order} have no place")).cast("bigint")
+    chunk = F.shiftright(F.coalesce(F.col(order).cast("bigint"), missing), DENSE_WIDTH)
+    counts = df.groupBy(chunk.alias("chunk")).agg(F.count(F.lit(1)).alias("rows"))
+    counts = with_running(counts, "chunk", {"before": ("sum", F.col("rows"))}, inclusive=False)
+    last = counts.where(F.col("before") < n).agg(F.max("chunk"))
+    near = df.where(chunk <= last.scalar())
+    return with_dense_index(near, order, "__position").where(F.col("__position") < n).drop("__position")
 
 
 def union_corpora(corpora: list[DataFrame]) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clozemill import fixed_values as fv
 from clozemill.functions.formats import format_metric
 from clozemill.operators.metrics import safe_mean
-from clozemill.operators.ordering import with_running
+from clozemill.operators.ordering import DENSE_WIDTH, with_running
 
 
 def select_groups(manifest: DataFrame, groups: list[str]) -> DataFrame:
@@ -209,30 +209,131 @@ def with_early_stopping(epochs: DataFrame, patience: int = fv.DEFAULT_PATIENCE)
     )
 
 
-def early_stopping(epochs: DataFrame, patience: int = fv.DEFAULT_PATIENCE) -> DataFrame:
+def _same(*columns: str) -> Column:
+    """Equal with nulls together, between the aliases ``left`` and ``right``."""
+    return reduce(lambda a, b: a & b, [F.col(f"left.{c}").eqNullSafe(F.col(f"right.{c}")) for c in columns])
+
+
+def early_stopping(epochs: DataFrame, patience: int | tuple[int, ...] = fv.DEFAULT_PATIENCE) -> DataFrame:
     """Per run: epochs_run, stop_epoch, best_epoch, best_val_loss, stopped_early.
 
-    Decided by one pre-aggregated pass over the trace: the first stop if there
-    is one, the last epoch otherwise.
+    Several patiences are answered from one trace, with a column ``patience``.
+    Only record lows matter: the run stops at the first of them that no other
+    follows within the patience. A chunk of epochs is summed up by its number of
+    rows and its own record lows; what earlier chunks carry into it, their rows
+    and their lowest loss, leaves a part of these, and the stop of any patience
+    is the first gap between neighbours. Only one small row per chunk goes
+    through the window of a run, and a long run is spread over its chunks.
     """
-    trace = with_early_stopping(epochs, patience)
-    state = F.struct("epoch_number", "epoch", "best_epoch", "best_val_loss")
-    number = F.col("epoch_number")
-    stop = F.min_by(state, F.when(F.col("stops"), number))
-    ends = trace.groupBy("run_id").agg(
-        F.coalesce(stop, F.max_by(state, number)).alias("end"),
-        F.max(F.col("stops")).alias("stopped_early"),
-    )
-    return ends.select(
+    patiences = (patience,) if isinstance(patience, int) else tuple(patience)
+    infinite = F.lit(float("inf"))
+    missing = F.raise_error(F.lit("Rows without epoch have no place")).cast("bigint")
+    loss = F.col("val_loss").cast("double")
+    rows = epochs.select(
         "run_id",
-        F.col("end.epoch_number").alias("epochs_run"),
-        F.col("end.epoch").alias("stop_epoch"),
-        F.col("end.best_epoch").alias("best_epoch"),
-        F.col("end.best_val_loss").alias("best_val_loss"),
+        "epoch",
+        F.when(F.isnan(loss) | loss.isNull(), infinite).otherwise(loss).alias("loss"),
+        F.shiftright(F.coalesce(F.col("epoch").cast("bigint"), missing), DENSE_WIDTH).alias("chunk"),
+    )
+    inside = Window.partitionBy("run_id", "chunk").orderBy("epoch", "loss")
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.select(
+        "*", F.row_number().over(inside).cast("bigint").alias("place"), F.min("loss").over(earlier).alias("before")
+    )
+    low = F.when(F.col("loss") < F.coalesce("before", infinite), F.struct("place", "epoch", "loss"))
+    chunks = placed.groupBy("run_id", "chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(low)).alias("lows")
+    )
+    carried = _carried(chunks, infinite)
+
+    # A chunk's record lows among all: those below what earlier chunks had, after the last of these.
+    own = F.transform(
+        F.filter("lows", lambda x: x["loss"] < F.col("before_low")),
+        lambda x: F.struct(
+            (F.col("before_n") + x["place"]).alias("number"), x["epoch"].alias("epoch"), x["loss"].alias("loss")
+        ),
+    )
+    beyond = F.when(F.col("ends"), F.array(F.col("total") + 1)).otherwise(F.array().cast("array<bigint>"))
+    gaps = F.arrays_zip(
+        F.concat(F.array("last"), "own").alias("low"),
+        F.concat(F.transform("own", lambda x: x["number"]), beyond).alias("next"),
+    )
+
+    def first_gap(wait: Column) -> Column:
+        return F.get(F.filter("gaps", lambda x: x["next"] - x["low"]["number"] > wait), 0)["low"]
+
+    waits = [F.lit(max(int(p), 1)).cast("bigint") for p in patiences]
+    found = (
+        chunks.alias("left")
+        .join(carried.alias("right"), _same("run_id", "chunk"))
+        .select("left.run_id", "left.chunk", "left.n", "before_n", "total", "ends", "last", own.alias("own"))
+        .select("run_id", "chunk", "n", "before_n", "total", gaps.alias("gaps"))
+        .select(
+            "run_id", "chunk", "n", "before_n", "total",
+            F.element_at("gaps", -1)["low"].alias("last"),
+            *[first_gap(w).alias(f"first_{i}") for i, w in enumerate(waits)],
+        )
+    )
+    run = Window.partitionBy("run_id")
+    options = [
+        F.struct(F.lit(p).alias("patience"), w.alias("wait"), F.min(f"first_{i}").over(run).alias("first"))
+        for i, (p, w) in enumerate(zip(patiences, waits, strict=True))
+    ]
+    stops = (
+        found.select("run_id", "chunk", "n", "before_n", "total", F.max("last").over(run).alias("last"), F.array(*options).alias("x"))
+        .select("*", F.explode("x").alias("option"))
+        .select(
+            "run_id", "chunk", "n", "before_n",
+            "option.patience",
+            F.col("option.first").isNotNull().alias("stopped_early"),
+            F.coalesce("option.first", "last").alias("best"),
+            F.coalesce(F.col("option.first.number") + F.col("option.wait"), "total").alias("epochs_run"),
+        )
+    )
+    # The epoch of a number stands in one chunk of the run, at one place.
+    place = F.col("epochs_run") - F.col("before_n")
+    stops = stops.where((place > 0) & (place <= F.col("n"))).withColumn("place", place)
+    last = stops.alias("left").join(placed.alias("right"), _same("run_id", "chunk", "place"))
+    return last.select(
+        "left.run_id",
+        *([] if isinstance(patience, int) else ["patience"]),
+        "epochs_run",
+        F.col("right.epoch").alias("stop_epoch"),
+        F.col("best.epoch").alias("best_epoch"),
+        F.col("best.loss").alias("best_val_loss"),
         "stopped_early",
     )
 
 
+def _carried(chunks: DataFrame, infinite: Column) -> DataFrame:
+    """Per chunk of a run: rows, lowest loss and last record low before it; the run's rows; whether it ends the run."""
+    lowest = F.get("lows", F.size("lows") - 1)
+    run = Window.partitionBy("run_id")
+    earlier = run.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = chunks.select("run_id", "chunk", "n", lowest.alias("lowest")).select(
+        "*",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before_n"),
+        F.coalesce(F.min("lowest.loss").over(earlier), infinite).alias("before_low"),
+        F.sum("n").over(run).alias("total"),
+    )
+    here = F.struct(
+        (F.col("before_n") + F.col("lowest.place")).alias("number"),
+        F.col("lowest.epoch").alias("epoch"),
+        F.col("lowest.loss").alias("loss"),
+    )
+    lowered = F.when(F.col("lowest.loss") < F.col("before_low"), here)
+    none = F.struct(
+        F.lit(0).cast("bigint").alias("number"),
+        F.lit(None).cast(chunks.schema["lows"].dataType.elementType["epoch"].dataType).alias("epoch"),
+        infinite.alias("loss"),
+    )
+    return sums.select(
+        "run_id", "chunk", "n", "before_n", "before_low", "total",
+        F.coalesce(F.max(lowered).over(earlier), none).alias("last"),
+        (F.col("before_n") + F.col("n") == F.col("total")).alias("ends"),
+    )
+
+
 # --- ratings -----------------------------------------------------------------
 
 

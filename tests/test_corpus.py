@@ -89,3 +89,39 @@ def test_running_values_across_chunks(spark):
             assert got[k, o] == (sum(seen), min(seen))
     dense = ordering.with_dense_index(df.where("k = 'a'"), "o", "n", width=2).orderBy("o").collect()
     assert [r.n for r in dense] == list(range(60))
+
+
+@pytest.mark.parametrize("width", [2, 16])
+def test_first_rows_of_any_order(spark, monkeypatch, width):
+    monkeypatch.setattr(corpus, "DENSE_WIDTH", width)
+    numbers = [*range(40), *range(100, 900, 50), -7, 10**12]
+    df = spark.createDataFrame([(i, f"t{i}") for i in numbers], "row_idx long, text string").repartition(5)
+    for n in (0, 1, 3, 40, 41, 57, 58, 59, 1000):
+        got = {r["row_idx"] for r in corpus.limit_first_n(df, n).collect()}
+        assert got == set(sorted(numbers)[:n])
+    assert corpus.limit_first_n(df, None) is df
+    assert corpus.limit_first_n(df.where("false"), 5).count() == 0
+    equal = spark.createDataFrame([(1,)] * 9 + [(0,)], "row_idx long")
+    assert corpus.limit_first_n(equal, 4).count() == 4
+    with pytest.raises(Exception, match="have no place"):
+        corpus.limit_first_n(spark.createDataFrame([(None,), (1,)], "row_idx long"), 1).collect()
+
+
+def test_rows_beyond_the_limit_are_dropped_before_the_shuffle(spark):
+    """Whole rows are exchanged only above the filter by the chunk of the n-th row; the plan is one for every n."""
+    df = spark.range(500_000).selectExpr("id as row_idx", "uuid() as text")
+    shapes = set()
+    for n in (10, 400_000):
+        limited = corpus.limit_first_n(df, n)
+        plan = limited._jdf.queryExecution().optimizedPlan().toString()
+        shapes.add(plan.count("Join"))
+        whole = [line for line in plan.splitlines() if "text" in line and "Filter" in line]
+        assert any("scalar-subquery" in line for line in whole)
+    assert len(shapes) == 1
+    limited = corpus.limit_first_n(df, 10)
+    rows = limited.collect()
+    assert {r["row_idx"] for r in rows} == set(range(10))
+    pruned = df.where("row_idx < 65536").count()
+    assert pruned == 65536  # one chunk is all that can pass beside the ten rows
+
+

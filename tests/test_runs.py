@@ -104,6 +104,39 @@ def test_early_stopping(spark, patience):
         assert (r.stop_epoch, r.best_epoch, r.best_val_loss, r.stopped_early) == walk(vs, patience)
 
 
+def test_one_trace_answers_all_patiences(spark, monkeypatch):
+    """Also over many small chunks, in one long run beside short ones, and with gaps between epochs."""
+    monkeypatch.setattr(runs, "DENSE_WIDTH", 2)
+    rng = random.Random(5)
+    losses = {i: [rng.choice([math.nan, None, math.inf, *range(9)]) for _ in range(rng.randint(1, 40))] for i in range(60)}
+    losses[None] = [float(500 - i) for i in range(300)] + [1000.0] * 9
+    losses[-1] = [float(i % 17 - i // 40) for i in range(400)]
+    epochs = {i: sorted(rng.sample(range(10 * len(vs)), len(vs))) for i, vs in losses.items()}
+    rows = [(i, e, None if v is None else float(v)) for i, vs in losses.items() for e, v in zip(epochs[i], vs, strict=True)]
+    df = spark.createDataFrame(rows, "run_id int, epoch int, val_loss double").repartition(7)
+    patiences = (0, 1, 2, 3, 7, 1000)
+    got = {(r.run_id, r.patience): r for r in runs.early_stopping(df, patiences).collect()}
+    assert len(got) == len(losses) * len(patiences)
+    for (i, patience), r in got.items():
+        plain = [math.inf if v is None else v for v in losses[i]]
+        n, best, low, stopped = walk(plain, patience)
+        at = epochs[i]
+        want = (n, at[n - 1], None if best is None else at[best - 1], low, stopped)
+        assert (r.epochs_run, r.stop_epoch, r.best_epoch, r.best_val_loss, r.stopped_early) == want
+    assert runs.early_stopping(df.where("false"), patiences).count() == 0
+
+
+def test_early_stopping_exchanges(spark):
+    df = spark.range(1000).selectExpr("id % 7 run_id", "cast(id as int) epoch", "rand(3) val_loss")
+    shapes = []
+    for patiences in ((2,), (0, 1, 2, 3)):
+        result = runs.early_stopping(df, patiences)
+        result.collect()
+        plan = result._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        shapes.append(plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange"))
+    assert shapes[0] == shapes[1] <= 5
+
+
 def test_training_log_and_means(spark):
     logs = spark.createDataFrame(
         [("o", [(1, 2.0), (2, 1.0)])], "output_dir string, training_log array<struct<epoch:int,val_loss:double>>"
