@@ -197,24 +197,31 @@ def flatten_qas(
     )
 
 
-def limit_first_n(df: DataFrame, max_samples: int | str | None, order: str = ROW) -> DataFrame:
-    """The first rows in table order; None keeps all. A null in the order is an error.
+def rows_near_first(df: DataFrame, n: int, order: str = ROW) -> DataFrame:
+    """The rows up to the end of the chunk of the order column that holds the n-th; no row is moved.
 
-    Rows per chunk of the order column are counted first, without moving a row.
-    The chunk that holds the n-th row is a scalar of that count, and the filter
-    by it runs where rows are read: only rows up to the end of that chunk are
-    shuffled, to be numbered, whatever the size of the corpus.
+    Rows per chunk are counted, and the last chunk needed is a scalar of the
+    counts, so this is a filter where rows are read.
     """
-    if max_samples is None:
-        return df
-    n = max(int(max_samples), 0)
     missing = F.raise_error(F.lit(f"Rows without {order} have no place")).cast("bigint")
     chunk = F.shiftright(F.coalesce(F.col(order).cast("bigint"), missing), DENSE_WIDTH)
     counts = df.groupBy(chunk.alias("chunk")).agg(F.count(F.lit(1)).alias("rows"))
     counts = with_running(counts, "chunk", {"before": ("sum", F.col("rows"))}, inclusive=False)
     last = counts.where(F.col("before") < n).agg(F.max("chunk"))
-    near = df.where(chunk <= last.scalar())
-    return with_dense_index(near, order, "__position").where(F.col("__position") < n).drop("__position")
+    return df.where(chunk <= last.scalar())
+
+
+def limit_first_n(df: DataFrame, max_samples: int | str | None, order: str = ROW) -> DataFrame:
+    """The first rows in table order; None keeps all. A null in the order is an error.
+
+    Only rows up to the end of the n-th row's chunk are shuffled, to be
+    numbered, whatever the size of the corpus.
+    """
+    if max_samples is None:
+        return df
+    n = max(int(max_samples), 0)
+    near = with_dense_index(rows_near_first(df, n, order), order, "__position")
+    return near.where(F.col("__position") < n).drop("__position")
 
 
 def union_corpora(corpora: list[DataFrame]) -> DataFrame:
