@@ -1,17 +1,21 @@
-"""Embedding near-duplicates by an exact join of hyperplane cells.
+"""Embedding near-duplicates by NN-descent over balls of mutually linked vectors.
 
-Equal vectors of a label are one class, found by a grouping; links join classes.
-Orthonormal planes through the medians of a label cut its classes into cells. To
-reach the other side of planes a vector moves at least the root of the summed
-squares of its distances to them; a class visits just the cells that a link can
-reach, so no pair at the threshold is left out, on any data. Cells of more than
-BLOCK classes are dealt to parts, all of which meet. Two blocks are compared
-whole; link counts and the smallest class of each local component leave them,
-never the single links. There are no neighbour lists, no chance and no audit.
+Equal vectors of a label are one class, found by a grouping. Classes within half
+the threshold's angle of a leader all link with each other, whatever the rest
+of the data; so a dense group is a few balls, its links are counted and never
+listed, and the search runs on leaders.
 
-Where planes tell little apart (few classes, or spread-out vectors of many
-dimensions), every class visits every cell: comparisons then grow with the
-square of a label's different vectors.
+Neighbour lists start from cells of random planes. A round joins the neighbours
+and reverse neighbours of every leader, where one of two is new, and keeps the
+best. A list whose entries all reach the threshold is saturated and doubled,
+until none is. Rounds end when none finds a further threshold edge. The audit
+then compares samples of leaders, drawn apart by how many edges they have, with
+all leaders of their labels; edges that it misses are fed back and refined, and
+a new sample is drawn, until the share of leaders with all edges found holds in
+every sample. A sample that holds a whole label makes its result exact.
+
+Threshold edges join balls. Where the angles of leaders and radii leave no
+doubt, all their vectors link; else the two balls are compared, in blocks.
 
 Rows: a vector that is null, zero, or holds null or non-finite components, and
 one with a null label, links with nothing; vectors of different lengths never
@@ -21,18 +25,26 @@ where there is no other. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clozemill.llm.common import components, saved
 
 THRESHOLD = 0.93
-#: Classes that are compared at once with so many others.
-BLOCK = 1024
-#: Planes that cut a label, at most; parts of a cell that a block number has room for.
-PLANES, PARTS = 20, 1 << 20
+#: Classes that are compared at once.
+BLOCK = 512
+#: Entries of a neighbour list at first; start tables of cells.
+NEIGHBOURS, TABLES = 10, 4
+#: Reverse neighbours that meet at once; leaders whose neighbours one group of a round joins.
+REVERSE, TOGETHER = 32, 256
+#: Leaders of each audit sample, and the share of them that must have every edge.
+SAMPLE, AUDIT = 500, 0.99
+#: Room for rounding, in radians.
+SLACK = 1e-7
 SEED = 29
 _KEYS = ["label", "width"]
 
@@ -48,148 +60,350 @@ def unit(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def classes_of(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id, class, label, width, vec, n, bits): one row per different comparable vector of a label.
+def angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1.0, 1.0))
 
-    bits: how many planes cut the label, so that a cell holds about ``block`` classes.
-    """
-    sizes = vectors.groupBy(*_KEYS).agg(F.count_distinct("vec").alias("size"))
+
+def classes_of(vectors: DataFrame) -> DataFrame:
+    """(id, class, label, width, vec, n): one row per different comparable vector of a label."""
     grouped = vectors.groupBy(*_KEYS, "vec").agg(F.min("vec_id").alias("class"), F.count("*").alias("n"))
-    halvings = F.when(F.col("size") > block, F.ceil(F.log2(F.col("size") / block))).otherwise(0)
-    bits = F.least(halvings, F.col("width"), F.lit(PLANES)).cast("int")
-    return grouped.join(sizes.withColumn("bits", bits), _KEYS).select(
-        F.monotonically_increasing_id().alias("id"), "class", *_KEYS, "vec", "n", "bits"
-    )
+    return grouped.select(F.monotonically_increasing_id().alias("id"), "class", *_KEYS, "vec", "n")
 
 
-def _by_bits(bits: pa.Array, *more: pa.Array):
-    """Places of the rows with the same number of planes (and the same further numbers)."""
-    rows = np.stack([c.to_numpy() for c in (bits, *more)], axis=1)
-    for key in np.unique(rows, axis=0):
-        yield key.tolist(), np.flatnonzero((rows == key).all(1))
+# --- cells -------------------------------------------------------------------
 
 
-def projected(nodes: DataFrame) -> DataFrame:
-    """(id, label, width, bits, along): where a class lies along the normal of each plane."""
+def cells(nodes: DataFrame, table: int, block: int) -> DataFrame:
+    """``nodes`` with cell and part: about ``block`` of a label that lie on the same sides of random planes.
+
+    Planes go through the medians of the label, so that a direction that all
+    vectors share tells them apart no less; a cell that is still too large is dealt to parts.
+    """
+    sizes = nodes.groupBy(*_KEYS).agg(F.count("*").alias("size"))
+    bits = F.when(F.col("size") > block, F.ceil(F.log2(F.col("size") / block))).otherwise(0).cast("int")
+    wide = nodes.select("id", *_KEYS, "vec").join(sizes.select(*_KEYS, F.least(bits, F.lit(30)).alias("bits")), _KEYS)
 
     def run(batches):
         normals: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids, label, width, bits, vec = (batch.column(i) for i in range(5))
-            along = [[] for _ in range(len(ids))]
-            for (b, w), at in _by_bits(bits, width):
-                if not b:
-                    continue
+            width, bits = (batch.column(i).to_numpy() for i in (2, 3))
+            along: list[list[float]] = [[]] * len(batch)
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
                 if w not in normals:
-                    draw = np.random.default_rng([SEED, w]).normal(size=(w, min(w, PLANES)))
-                    normals[w] = np.linalg.qr(draw)[0]
-                values = unit(vec.take(pa.array(at))) @ normals[w][:, :b]
-                for i, row in zip(at.tolist(), values.tolist(), strict=True):
-                    along[i] = row
+                    normals[w] = np.random.default_rng([SEED, table, w]).normal(size=(w, 30))
+                values = unit(batch.column(4).take(pa.array(at))) @ normals[w]
+                for i, row in zip(at.tolist(), values, strict=True):
+                    along[i] = row[: bits[i]].tolist()
             yield pa.RecordBatch.from_arrays(
-                [ids, label, width, bits, pa.array(along, pa.list_(pa.float64()))],
-                names=["id", "label", "width", "bits", "along"],
+                [*batch.columns[:3], pa.array(along, pa.list_(pa.float64()))], names=["id", *_KEYS, "along"]
             )
 
     label = nodes.schema["label"].dataType.simpleString()
-    return nodes.select("id", *_KEYS, "bits", "vec").mapInArrow(
-        run, f"id bigint, label {label}, width int, bits int, along array<double>"
+    placed = saved(
+        wide.select("id", *_KEYS, "bits", "vec").mapInArrow(run, f"id bigint, label {label}, width int, along array<double>")
     )
-
-
-def placed(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(id, label, width, cell, visits): a class's own cell, and all cells that a link of it can reach."""
-    where = saved(projected(nodes))
     middle = (
-        where.select(*_KEYS, F.posexplode("along").alias("plane", "x"))
+        placed.select(*_KEYS, F.posexplode("along").alias("plane", "x"))
         .groupBy(*_KEYS, "plane")
         .agg(F.percentile_approx("x", 0.5).alias("x"))
         .groupBy(*_KEYS)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("plane", "x"))), lambda p: p["x"]).alias("middle"))
     )
-    # Squared distance of two unit vectors at the threshold, and room for rounding.
-    reach = 2 - 2 * threshold + 1e-9
+    sides = F.zip_with("along", F.coalesce("middle", F.array().cast("array<double>")), lambda a, m: F.when(a > m, "1").otherwise("0"))
+    sided = placed.join(middle, _KEYS, "left").select("id", *_KEYS, F.array_join(sides, "").alias("cell"))
+    full = sided.groupBy(*_KEYS, "cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    part = F.pmod(F.xxhash64("id", F.lit(table)), F.col("parts")).alias("part")
+    return nodes.join(sided.join(full, [*_KEYS, "cell"]).select("id", "cell", part), "id")
 
-    def run(batches):
+
+# --- balls -------------------------------------------------------------------
+
+
+def balls(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(id, leader, off): every class within half the threshold's angle of a leader, ``off`` radians away.
+
+    Leaders are taken within blocks, then leaders among leaders, as long as that
+    makes clearly fewer balls; a member follows only if it is as near to the new one.
+    """
+    near = math.acos(threshold) / 2 - SLACK
+
+    def lead(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        ids = group.column("id").to_numpy()
+        x = unit(group.column("vec"))
+        leader, off = np.full(len(ids), -1), np.zeros(len(ids))
+        for i in range(len(ids)):
+            if leader[i] < 0:
+                away = angle(x @ x[i])
+                away[i] = 0.0
+                own = (leader < 0) & (away <= near)
+                leader[own], off[own] = ids[i], away[own]
+        return pa.table({"id": ids, "leader": leader, "off": off})
+
+    def grouped(some: DataFrame, table: int) -> DataFrame:
+        return cells(some, table, block).groupBy(*_KEYS, "cell", "part").applyInArrow(lead, "id bigint, leader bigint, off double")
+
+    def moved(batches):
         for batch in batches:
-            ids, label, width, bits, off = (batch.column(i) for i in range(5))
-            own, visits = np.zeros(len(ids), np.int64), [[0]] * len(ids)
-            for (b,), at in _by_bits(bits):
-                if not b:
-                    continue
-                cells = np.arange(1 << b)
-                beyond = (cells[:, None] >> np.arange(b) & 1).astype(float)
-                step = max(1, (1 << 22) >> b)
-                for some in (at[k : k + step] for k in range(0, len(at), step)):
-                    d = np.asarray(off.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False)).reshape(-1, b)
-                    side = d > 0
-                    way = (d * d * side) @ (1 - beyond).T + (d * d * ~side) @ beyond.T
-                    own[some] = side @ (1 << np.arange(b))
-                    for i, near in zip(some.tolist(), way <= reach, strict=True):
-                        visits[i] = cells[near].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [ids, label, width, pa.array(own), pa.array(visits, pa.list_(pa.int64()))],
-                names=["id", "label", "width", "cell", "visits"],
-            )
+            width = batch.column(5).to_numpy()
+            away = np.zeros(len(batch))
+            for w in np.unique(width):
+                at = pa.array(np.flatnonzero(width == w))
+                pairs = unit(batch.column(3).take(at)) * unit(batch.column(4).take(at))
+                away[at] = angle(pairs.sum(1))
+            away[batch.column(0).to_numpy() == batch.column(6).to_numpy()] = 0.0
+            goes = away <= near
+            leader = np.where(goes, batch.column(6).to_numpy(), batch.column(1).to_numpy())
+            off = np.where(goes, away, batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leader), pa.array(off)], names=["id", "leader", "off"])
+
+    found = saved(grouped(nodes, 100))
+    before, table = nodes.count(), 101
+    while True:
+        leaders = found.select(F.col("leader").alias("id")).distinct()
+        now = leaders.count()
+        if now > 0.8 * before or now <= 1:
+            return found
+        before = now
+        heads = saved(nodes.join(leaders, "id"))
+        over = grouped(heads, table).select(F.col("id").alias("leader"), F.col("leader").alias("over"))
+        wide = (
+            found.join(over, "leader")
+            .join(nodes.select("id", "vec", "width"), "id")
+            .join(heads.select(F.col("id").alias("over"), F.col("vec").alias("over_vec")), "over")
+            .select("id", "leader", "off", "vec", "over_vec", "width", "over")
+        )
+        found = saved(wide.mapInArrow(moved, "id bigint, leader bigint, off double"))
+        table += 1
 
-    off = F.when(F.col("bits") > 0, F.zip_with("along", "middle", lambda a, m: a - m))
-    label = nodes.schema["label"].dataType.simpleString()
-    return (
-        where.join(middle, _KEYS, "left")
-        .select("id", *_KEYS, "bits", off.alias("off"))
-        .mapInArrow(run, f"id bigint, label {label}, width int, cell bigint, visits array<bigint>")
-    )
 
+# --- neighbour lists ---------------------------------------------------------
 
-def roots_of(links: np.ndarray) -> np.ndarray:
-    """The first row of each row's component in a symmetric matrix of links."""
-    root = np.full(len(links), -1)
-    for first in range(len(links)):
-        front = np.array([first]) if root[first] < 0 else ()
-        while len(front):
-            root[front] = first
-            front = np.flatnonzero(links[front].any(0) & (root < 0))
-    return root
 
+def may_link(cosine: np.ndarray, radius: np.ndarray, other: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether two balls can hold a link."""
+    return angle(cosine) <= math.acos(threshold) + radius + other + SLACK
 
-def linked(nodes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(id, root, linked): for every two blocks, the classes with links between them.
 
-    linked: how many vectors of other classes link there; root: a class of the same component.
+_FOUND = "id bigint, other bigint, cosine double, edge boolean"
+
+
+def _pairs(x: np.ndarray, ids: np.ndarray, radius: np.ndarray, worst: np.ndarray, fresh: np.ndarray | None, threshold: float, k: int):
+    """Both directions of the pairs worth keeping: threshold edges, and the k best that beat a list's worst."""
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, -2.0)
+    edge = may_link(cosine, radius[:, None], radius[None, :], threshold)
+    np.fill_diagonal(edge, False)
+    if fresh is not None:
+        known = ~(fresh[:, None] | fresh[None, :])
+        cosine[known], edge[known] = -2.0, False
+    if len(ids) > k:
+        cut = np.partition(cosine, -k, axis=1)[:, -k][:, None]
+        keep = edge | ((cosine >= cut) & (cosine > np.maximum(worst[:, None], -1.5)))
+    else:
+        keep = edge | (cosine > np.maximum(worst[:, None], -1.5))
+    i, j = np.nonzero(keep)
+    return ids[i], ids[j], cosine[i, j], edge[i, j]
+
+
+def _table(parts: list) -> pa.Table:
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0), np.zeros(0, bool)]
+    return pa.table(dict(zip(("id", "other", "cosine", "edge"), columns, strict=True)))
+
+
+def started(heads: DataFrame, threshold: float, block: int, k: int) -> DataFrame:
+    """First lists: every leader's best in the cells of each table."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        ids, radius = group.column("id").to_numpy(), group.column("radius").to_numpy()
+        return _table([_pairs(unit(group.column("vec")), ids, radius, np.full(len(ids), -2.0), None, threshold, k)])
+
+    tables = [cells(heads, t, block).groupBy(*_KEYS, "cell", "part").applyInArrow(compare, _FOUND) for t in range(TABLES)]
+    found = tables[0]
+    for more in tables[1:]:
+        found = found.union(more)
+    return found
+
+
+def trimmed(found: DataFrame, k: int) -> DataFrame:
+    """Lists of different entries: all threshold edges, and others up to the list's size.
+
+    The size is ``k``, doubled until the list is not saturated with edges. ``fresh``
+    marks what the last round brought.
+    """
+    lists = found.groupBy("id", "other").agg(F.max("cosine").alias("cosine"), F.max("edge").alias("edge"), F.min("fresh").alias("fresh"))
+    own = Window.partitionBy("id")
+    edges = F.sum(F.col("edge").cast("int")).over(own)
+    size = F.lit(k) * F.pow(2, F.greatest(F.lit(0), F.floor(F.log2(F.greatest(edges / k, F.lit(0.5)))) + 1))
+    place = F.row_number().over(own.orderBy(F.col("edge").desc(), F.col("cosine").desc(), "other"))
+    return lists.select("*", size.alias("size"), place.alias("place")).where("place <= size").drop("size", "place")
+
+
+def refined(lists: DataFrame, heads: DataFrame, threshold: float, k: int, groups: int) -> DataFrame:
+    """What one round finds: neighbours and reverse neighbours of a leader, joined with each other."""
+    worst = lists.groupBy("id").agg(F.when(F.count("*") >= k, F.min("cosine")).otherwise(F.lit(-2.0)).alias("worst"))
+    forward = lists.select(F.col("id").alias("at"), F.col("other").alias("id"), "fresh", F.lit(0).alias("back"))
+    reverse = lists.select(F.col("other").alias("at"), "id", "fresh", F.lit(1).alias("back"))
+    # A leader that many lists name has its reverse neighbours dealt to parts; its own meet each part.
+    parts = reverse.groupBy("at").agg(F.ceil(F.count("*") / REVERSE).alias("parts"))
+    some = F.pmod(F.xxhash64("id", "at"), F.col("parts"))
+    meet = forward.join(parts, "at", "left").select("at", "id", "fresh", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    meet = meet.union(reverse.join(parts, "at").select("at", "id", "fresh", some.cast("bigint")))
+    meet = meet.groupBy("at", "part", "id").agg(F.max("fresh").alias("fresh"))
+    busy = meet.where("fresh").select("at", "part").distinct()
+    meet = meet.join(busy, ["at", "part"], "left_semi")
+    wide = meet.join(heads.select("id", "vec", "radius", "width"), "id").join(worst, "id", "left")
+    rows = wide.select(
+        F.pmod(F.xxhash64("at", "part"), F.lit(groups)).alias("group"),
+        "width", "at", "part", "id", "vec", "radius", "fresh", F.coalesce("worst", F.lit(-2.0)).alias("worst"),
+    )
+
+    def join(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("at", "ascending"), ("part", "ascending"), ("id", "ascending")])
+        at, part, ids = (group.column(c).to_numpy() for c in ("at", "part", "id"))
+        radius, worst = group.column("radius").to_numpy(), group.column("worst").to_numpy()
+        fresh = np.asarray(group.column("fresh"))
+        x = unit(group.column("vec"))
+        new = np.flatnonzero((np.diff(at, prepend=at[0] - 1) != 0) | (np.diff(part, prepend=part[0]) != 0))
+        found = []
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(ids)], strict=True):
+            if b - a > 1:
+                found.append(_pairs(x[a:b], ids[a:b], radius[a:b], worst[a:b], fresh[a:b], threshold, k))
+        return _table(found)
+
+    return rows.groupBy("group", "width").applyInArrow(join, _FOUND)
+
+
+def audited(lists: DataFrame, heads: DataFrame, threshold: float, seed: int, sample: int) -> tuple[DataFrame, list[float]]:
+    """(missing edges, share of leaders with every edge per sample): no edge found, few edges, many edges.
+
+    A sample holds at most ``sample`` leaders; with their vectors it is sent to
+    the tasks, which compare it with all leaders.
+    """
+    degree = lists.where("edge").groupBy("id").agg(F.count("*").alias("edges"))
+    kind = F.when(F.col("edges").isNull(), 0).when(F.col("edges") < 4, 1).otherwise(2)
+    drawn = heads.join(degree, "id", "left").select("id", *_KEYS, "vec", "radius", kind.alias("kind"), F.xxhash64("id", F.lit(seed)).alias("draw"))
+    some = [r for kind in (0, 1, 2) for r in drawn.where(F.col("kind") == kind).orderBy("draw", "id").limit(sample).collect()]
+    by_key: dict[tuple, list] = {}
+    for r in some:
+        by_key.setdefault((r["label"], r["width"]), []).append(r)
+    asked = {
+        key: (
+            np.array([r["id"] for r in rows]),
+            unit(pa.array([r["vec"] for r in rows], pa.list_(pa.float64()))),
+            np.array([r["radius"] for r in rows]),
+        )
+        for key, rows in by_key.items()
+    }
+
+    def compare(batches):
+        for batch in batches:
+            ids, width, radius = (batch.column(i).to_numpy() for i in (0, 2, 4))
+            labels = batch.column(1).to_pylist()
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(labels, width.tolist(), strict=True)):
+                if key in asked:
+                    places.setdefault(key, []).append(i)
+            found = []
+            for key, at in places.items():
+                known, y, r = asked[key]
+                cosine = y @ unit(batch.column(3).take(pa.array(at))).T
+                edge = may_link(cosine, r[:, None], radius[at][None, :], threshold)
+                edge &= known[:, None] != ids[at][None, :]
+                i, j = np.nonzero(edge)
+                found.append((known[i], ids[at][j], cosine[i, j], np.ones(len(i), bool)))
+            yield from _table(found).to_batches() if found else ()
+
+    truth = heads.select("id", *_KEYS, "vec", "radius").mapInArrow(compare, _FOUND)
+    missing = saved(truth.join(lists.where("edge").select("id", "other"), ["id", "other"], "left_anti").select("id", "other", "cosine", "edge"))
+    lacking = {r["id"] for r in missing.select("id").distinct().collect()}
+    shares = []
+    for kind in (0, 1, 2):
+        own = [r["id"] for r in some if r["kind"] == kind]
+        shares.append(1 - sum(i in lacking for i in own) / len(own) if own else 1.0)
+    return missing, shares
+
+
+def search(heads: DataFrame, threshold: float, block: int = BLOCK, k: int = NEIGHBOURS, sample: int = SAMPLE) -> tuple[DataFrame, list[list[float]]]:
+    """(edges in both directions, the shares of each audit): pairs of balls that can hold a link."""
+    groups = max(heads.count() // TOGETHER, 1)
+    new = F.lit(True).alias("fresh")
+    old = F.lit(False).alias("fresh")
+
+    def count_edges(lists: DataFrame) -> int:
+        return lists.where("edge").count()
+
+    lists = saved(trimmed(started(heads, threshold, block, k).select("*", new), k))
+    edges, audits, rounds = count_edges(lists), [], 0
+    while True:
+        while True:
+            found = refined(lists, heads, threshold, k, groups).select("*", new)
+            lists = saved(trimmed(lists.select("id", "other", "cosine", "edge", old).union(found), k))
+            before, edges, rounds = edges, count_edges(lists), rounds + 1
+            if edges == before:
+                break
+        missing, shares = audited(lists, heads, threshold, SEED + len(audits), sample)
+        audits.append(shares)
+        back = missing.select(F.col("other").alias("id"), F.col("id").alias("other"), "cosine", "edge")
+        both = missing.union(back).select("*", new)
+        lists = saved(trimmed(lists.select("id", "other", "cosine", "edge", old).union(both), k))
+        edges = count_edges(lists)
+        if min(shares) >= AUDIT:
+            return lists.where("edge").select("id", "other", "cosine"), audits
+
+
+# --- links -------------------------------------------------------------------
+
+
+def linked(members: DataFrame, heads: DataFrame, edges: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """((id, linked), (a, b)): links of a class outside its ball, and pairs of balls with a link.
+
+    ``members`` are the classes with their leader. ``sure``: leaders and radii
+    are so near that all classes of two balls link; else they are compared in
+    blocks of either ball.
     """
-    cells = saved(placed(nodes, threshold))
-    sizes = saved(cells.groupBy(*_KEYS, "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
-    number = F.col("cell") * PARTS + F.pmod(F.xxhash64("id"), F.col("parts"))
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda part: F.col("other") * PARTS + part)
-    visits = (
-        cells.join(sizes, [*_KEYS, "cell"])
-        .select("id", *_KEYS, number.alias("block"), F.explode("visits").alias("other"))
-        .join(sizes.withColumnRenamed("cell", "other"), [*_KEYS, "other"])
-        .select("id", *_KEYS, "block", F.explode(others).alias("other"))
-        .select("id", *_KEYS, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    limit = F.lit(math.acos(threshold))
+    one = heads.select("id", F.col("radius").alias("r"))
+    two = heads.select(F.col("id").alias("other"), F.col("radius").alias("q"), F.col("total").alias("many"))
+    apart = F.acos(F.least(F.greatest("cosine", F.lit(-1.0)), F.lit(1.0)))
+    judged = saved(
+        edges.groupBy("id", "other").agg(F.max("cosine").alias("cosine")).join(one, "id").join(two, "other")
+        .select("id", "other", "many", (apart + F.col("r") + F.col("q") + SLACK <= limit).alias("sure"))
+    )
+    sure = judged.where("sure")
+    by_ball = sure.groupBy(F.col("id").alias("leader")).agg(F.sum("many").alias("linked"))
+    doubtful = judged.where(~F.col("sure") & (F.col("id") < F.col("other"))).select(F.col("id").alias("low"), F.col("other").alias("high"))
+    sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / block).alias("parts"))
+    dealt = members.join(sizes, "leader").select("id", "leader", "vec", "n", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    pairs = doubtful.join(sizes.select(F.col("leader").alias("low"), F.col("parts").alias("low_parts")), "low").join(
+        sizes.select(F.col("leader").alias("high"), F.col("parts").alias("high_parts")), "high"
     )
 
+    def side(own: str, other: str) -> DataFrame:
+        each = F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)).alias("across")
+        rows = pairs.select("low", "high", F.col(own).alias("leader"), each).join(dealt, "leader")
+        first, second = ("part", "across") if own == "low" else ("across", "part")
+        return rows.select("low", "high", F.col(first).cast("bigint").alias("i"), F.col(second).cast("bigint").alias("j"), F.lit(own == "low").alias("is_low"), "id", "vec", "n")
+
     def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by("id")
+        low = np.asarray(group.column("is_low"))
         ids, n = group.column("id").to_numpy(), group.column("n").to_numpy().astype(float)
-        block = group.column("block").to_numpy()
-        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-        i, j = np.flatnonzero(block == low), np.flatnonzero(block == high)
         x = unit(group.column("vec"))
-        links = np.zeros((len(ids), len(ids)), bool)
-        across = x[i] @ x[j].T >= threshold
-        links[np.ix_(i, j)] = across
-        links[np.ix_(j, i)] = across.T
-        np.fill_diagonal(links, False)
-        many = links @ n
+        links = x[low] @ x[~low].T >= threshold
+        many = np.zeros(len(ids))
+        many[low], many[~low] = links @ n[~low], links.T @ n[low]
         some = many > 0
-        return pa.table({"id": ids[some], "root": ids[roots_of(links)[some]], "linked": many[some].astype(np.int64)})
+        ends = [np.full(int(some.sum()), group.column(c)[0].as_py()) for c in ("low", "high")]
+        return pa.table({"id": ids[some], "linked": many[some].astype(np.int64), "a": ends[0], "b": ends[1]})
 
-    return (
-        visits.join(nodes.select("id", "vec", "n"), "id")
-        .groupBy(*_KEYS, "low", "high")
-        .applyInArrow(compare, "id bigint, root bigint, linked bigint")
+    compared = saved(
+        side("low", "high").union(side("high", "low")).groupBy("low", "high", "i", "j").applyInArrow(compare, "id bigint, linked bigint, a bigint, b bigint")
     )
+    outside = members.join(by_ball, "leader").select("id", "linked").union(compared.select("id", "linked"))
+    joined = sure.where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b")).union(compared.select("a", "b").distinct())
+    return outside.groupBy("id").agg(F.sum("linked").alias("linked")), joined
 
 
 def near_duplicates(
@@ -199,9 +413,14 @@ def near_duplicates(
     label: str = "label",
     threshold: float = THRESHOLD,
     block: int = BLOCK,
+    report: list | None = None,
+    sample: int = SAMPLE,
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept): one row for each row of ``rows``."""
-    vec = F.col(embedding)
+    """(vec_id, n_links, component_id, kept): one row for each row of ``rows``.
+
+    ``report`` takes the shares of each audit, if a list is given.
+    """
+    vec: Column = F.col(embedding)
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col(label).isNotNull() & F.coalesce(finite & F.exists(vec, lambda x: x != 0), F.lit(False))
     named = rows.select(
@@ -211,21 +430,26 @@ def near_duplicates(
         F.size(vec).alias("width"),
     )
     known = named.where("vec is not null")
-    nodes = saved(classes_of(known, block))
-    found = saved(linked(nodes, threshold, block))
-    members = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("id").agg(F.sum("linked").alias("linked"))
-    rooted = nodes.join(members.withColumnRenamed("node", "id"), "id", "left").select(
-        "id", "label", "vec", "class", "n", F.coalesce("root", "id").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("class").alias("component_id"))
-    by_class = (
-        rooted.join(least, "root")
-        .join(counts, "id", "left")
-        .select("label", "vec", "component_id", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    nodes = saved(classes_of(known))
+    members = saved(nodes.join(balls(nodes, threshold, block), "id"))
+    about = members.groupBy("leader").agg(F.max("off").alias("radius"), F.sum("n").alias("total"))
+    heads = saved(nodes.join(about.withColumnRenamed("leader", "id"), "id").select("id", *_KEYS, "vec", "radius", "total"))
+    edges, audits = search(heads, threshold, block, sample=sample)
+    if report is not None:
+        report += audits
+    outside, joined = linked(members, heads, edges, threshold, block)
+    roots = components(joined).select(F.col("node").alias("leader"), "root")
+    whole = (
+        members.join(heads.select(F.col("id").alias("leader"), "total"), "leader")
+        .join(roots, "leader", "left")
+        .join(outside, "id", "left")
+        .select("label", "vec", "class", F.coalesce("root", "leader").alias("root"), (F.col("total") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     )
+    least = whole.groupBy("root").agg(F.min("class").alias("component_id"))
+    by_class = whole.join(least, "root").select("label", "vec", "component_id", "n_links")
     joined = known.join(by_class, ["label", "vec"]).select("vec_id", "n_links", "component_id")
     alone = named.where("vec is null").select(
         "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")
     )
-    return joined.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull())
+    return joined.union(alone).withColumn("kept", kept)

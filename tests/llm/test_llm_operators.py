@@ -617,6 +617,17 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(empty(df)).count() == 0
 
 
+def roots_of(links):
+    """The first row of each row's component in a symmetric matrix of links."""
+    root = np.full(len(links), -1)
+    for first in range(len(links)):
+        front = np.array([first]) if root[first] < 0 else ()
+        while len(front):
+            root[front] = first
+            front = np.flatnonzero(links[front].any(0) & (root < 0))
+    return root
+
+
 def check_embeddings(spark, x, labels, **options):
     """near_duplicates on vectors numbered in order, against all pairs; gives the number of components."""
     rows = [(i, [float(a) for a in v], label) for i, (v, label) in enumerate(zip(x, labels, strict=True))]
@@ -626,7 +637,7 @@ def check_embeddings(spark, x, labels, **options):
     labels = np.array(labels)
     links = (u @ u.T >= 0.93) & (labels[:, None] == labels[None, :])
     np.fill_diagonal(links, False)
-    root = embeddings.roots_of(links)
+    root = roots_of(links)
     assert [got[i]["n_links"] for i in range(len(x))] == links.sum(1).tolist()
     assert [got[i]["component_id"] for i in range(len(x))] == root.tolist()
     return len(set(root.tolist()))
@@ -660,6 +671,38 @@ def test_embeddings_shared_direction(spark):
     assert check_embeddings(spark, x, [1] * len(x), block=256) > 1000
 
 
+def test_embeddings_search_without_the_audit_of_all(spark):
+    """Samples far smaller than the label: what the descent itself finds, and far fewer comparisons than all pairs."""
+    rng = np.random.default_rng(11)
+    ends = rng.normal(size=(900, 32))
+    x = np.concatenate([ends, ends[:300] + rng.normal(size=(300, 32)) * 0.2, ends[:100] + rng.normal(size=(100, 32)) * 0.3])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = np.triu(u @ u.T >= 0.93, 1)
+    rows = [(i, [float(a) for a in v], 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    report = []
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df, block=64, sample=40, report=report).collect()}
+    found, want = sum(r["n_links"] for r in got.values()) / 2, links.sum()
+    assert 0.98 * want <= found <= want
+    assert report and all(len(shares) == 3 for shares in report) and min(report[-1]) >= embeddings.AUDIT
+
+
+def test_embedding_balls_link_throughout(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([np.eye(1, 24)[0] + rng.normal(size=(700, 24)) * 0.015, rng.normal(size=(100, 24))])
+    rows = [(i, [float(a) for a in v], 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, vec array<double>, label int").withColumn("width", F.lit(24))
+    nodes = embeddings.saved(embeddings.classes_of(df))
+    members = embeddings.balls(nodes, 0.93, 64).join(nodes.select("id", "class"), "id").collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    groups = {}
+    for r in members:
+        groups.setdefault(r["leader"], []).append(r["class"])
+    assert sum(map(len, groups.values())) == 800 and len(groups) < 130
+    for own in groups.values():
+        assert (u[own] @ u[own].T).min() >= 0.93
+
+
 def test_embeddings_repeated_rows(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [0.0, 1.0], 1), (4, [1.0, 0.0], 2)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
