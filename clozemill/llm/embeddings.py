@@ -73,8 +73,8 @@ def classes_of(vectors: DataFrame) -> DataFrame:
 # --- cells -------------------------------------------------------------------
 
 
-def cells(nodes: DataFrame, table: int, block: int) -> DataFrame:
-    """``nodes`` with cell and part: about ``block`` of a label that lie on the same sides of random planes.
+def cells(nodes: DataFrame, tables: tuple[int, ...], block: int) -> DataFrame:
+    """``nodes`` once per table, with table, cell and part: about ``block`` of a label on the same sides of random planes.
 
     Planes go through the medians of the label, so that a direction that all
     vectors share tells them apart no less; a cell that is still too large is dealt to parts.
@@ -84,37 +84,40 @@ def cells(nodes: DataFrame, table: int, block: int) -> DataFrame:
     wide = nodes.select("id", *_KEYS, "vec").join(sizes.select(*_KEYS, F.least(bits, F.lit(30)).alias("bits")), _KEYS)
 
     def run(batches):
-        normals: dict[int, np.ndarray] = {}
+        normals: dict[tuple, np.ndarray] = {}
         for batch in batches:
             width, bits = (batch.column(i).to_numpy() for i in (2, 3))
-            along: list[list[float]] = [[]] * len(batch)
-            for w in np.unique(width):
-                at = np.flatnonzero(width == w)
-                if w not in normals:
-                    normals[w] = np.random.default_rng([SEED, table, w]).normal(size=(w, 30))
-                values = unit(batch.column(4).take(pa.array(at))) @ normals[w]
-                for i, row in zip(at.tolist(), values, strict=True):
-                    along[i] = row[: bits[i]].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(along, pa.list_(pa.float64()))], names=["id", *_KEYS, "along"]
-            )
+            for table in tables:
+                along: list[list[float]] = [[]] * len(batch)
+                for w in np.unique(width):
+                    at = np.flatnonzero(width == w)
+                    if (table, w) not in normals:
+                        normals[table, w] = np.random.default_rng([SEED, table, w]).normal(size=(w, 30))
+                    values = unit(batch.column(4).take(pa.array(at))) @ normals[table, w]
+                    for i, row in zip(at.tolist(), values, strict=True):
+                        along[i] = row[: bits[i]].tolist()
+                named = [pa.array(np.full(len(batch), table, np.int32)), pa.array(along, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *named], names=["id", *_KEYS, "table", "along"])
 
     label = nodes.schema["label"].dataType.simpleString()
     placed = saved(
-        wide.select("id", *_KEYS, "bits", "vec").mapInArrow(run, f"id bigint, label {label}, width int, along array<double>")
+        wide.select("id", *_KEYS, "bits", "vec").mapInArrow(
+            run, f"id bigint, label {label}, width int, table int, along array<double>"
+        )
     )
+    of = [*_KEYS, "table"]
     middle = (
-        placed.select(*_KEYS, F.posexplode("along").alias("plane", "x"))
-        .groupBy(*_KEYS, "plane")
+        placed.select(*of, F.posexplode("along").alias("plane", "x"))
+        .groupBy(*of, "plane")
         .agg(F.percentile_approx("x", 0.5).alias("x"))
-        .groupBy(*_KEYS)
+        .groupBy(*of)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("plane", "x"))), lambda p: p["x"]).alias("middle"))
     )
     sides = F.zip_with("along", F.coalesce("middle", F.array().cast("array<double>")), lambda a, m: F.when(a > m, "1").otherwise("0"))
-    sided = placed.join(middle, _KEYS, "left").select("id", *_KEYS, F.array_join(sides, "").alias("cell"))
-    full = sided.groupBy(*_KEYS, "cell").agg(F.ceil(F.count("*") / block).alias("parts"))
-    part = F.pmod(F.xxhash64("id", F.lit(table)), F.col("parts")).alias("part")
-    return nodes.join(sided.join(full, [*_KEYS, "cell"]).select("id", "cell", part), "id")
+    sided = placed.join(middle, of, "left").select("id", *of, F.array_join(sides, "").alias("cell"))
+    full = sided.groupBy(*of, "cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    part = F.pmod(F.xxhash64("id", "table"), F.col("parts")).alias("part")
+    return nodes.join(sided.join(full, [*of, "cell"]).select("id", "table", "cell", part), "id")
 
 
 # --- balls -------------------------------------------------------------------
@@ -142,7 +145,7 @@ def balls(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
         return pa.table({"id": ids, "leader": leader, "off": off})
 
     def grouped(some: DataFrame, table: int) -> DataFrame:
-        return cells(some, table, block).groupBy(*_KEYS, "cell", "part").applyInArrow(lead, "id bigint, leader bigint, off double")
+        return cells(some, (table,), block).groupBy(*_KEYS, "cell", "part").applyInArrow(lead, "id bigint, leader bigint, off double")
 
     def moved(batches):
         for batch in batches:
@@ -220,11 +223,8 @@ def started(heads: DataFrame, threshold: float, block: int, k: int) -> DataFrame
         ids, radius = group.column("id").to_numpy(), group.column("radius").to_numpy()
         return _table([_pairs(unit(group.column("vec")), ids, radius, np.full(len(ids), -2.0), None, threshold, k)])
 
-    tables = [cells(heads, t, block).groupBy(*_KEYS, "cell", "part").applyInArrow(compare, _FOUND) for t in range(TABLES)]
-    found = tables[0]
-    for more in tables[1:]:
-        found = found.union(more)
-    return found
+    dealt = cells(heads.drop("total"), tuple(range(TABLES)), block)
+    return dealt.groupBy(*_KEYS, "table", "cell", "part").applyInArrow(compare, _FOUND)
 
 
 def trimmed(found: DataFrame, k: int) -> DataFrame:
@@ -276,8 +276,8 @@ def refined(lists: DataFrame, heads: DataFrame, threshold: float, k: int, groups
     return rows.groupBy("group", "width").applyInArrow(join, _FOUND)
 
 
-def audited(lists: DataFrame, heads: DataFrame, threshold: float, seed: int, sample: int) -> tuple[DataFrame, list[float]]:
-    """(missing edges, share of leaders with every edge per sample): no edge found, few edges, many edges.
+def audited(lists: DataFrame, heads: DataFrame, threshold: float, seed: int, sample: int) -> tuple[DataFrame | None, list[float]]:
+    """(missing edges if there are any, share of leaders with every edge per sample): no edge found, few edges, many edges.
 
     A sample holds at most ``sample`` leaders; with their vectors it is sent to
     the tasks, which compare it with all leaders.
@@ -285,7 +285,8 @@ def audited(lists: DataFrame, heads: DataFrame, threshold: float, seed: int, sam
     degree = lists.where("edge").groupBy("id").agg(F.count("*").alias("edges"))
     kind = F.when(F.col("edges").isNull(), 0).when(F.col("edges") < 4, 1).otherwise(2)
     drawn = heads.join(degree, "id", "left").select("id", *_KEYS, "vec", "radius", kind.alias("kind"), F.xxhash64("id", F.lit(seed)).alias("draw"))
-    some = [r for kind in (0, 1, 2) for r in drawn.where(F.col("kind") == kind).orderBy("draw", "id").limit(sample).collect()]
+    few = [drawn.where(F.col("kind") == k).orderBy("draw", "id").limit(sample) for k in (0, 1, 2)]
+    some = few[0].union(few[1]).union(few[2]).collect()
     by_key: dict[tuple, list] = {}
     for r in some:
         by_key.setdefault((r["label"], r["width"]), []).append(r)
@@ -323,7 +324,7 @@ def audited(lists: DataFrame, heads: DataFrame, threshold: float, seed: int, sam
     for kind in (0, 1, 2):
         own = [r["id"] for r in some if r["kind"] == kind]
         shares.append(1 - sum(i in lacking for i in own) / len(own) if own else 1.0)
-    return missing, shares
+    return missing if lacking else None, shares
 
 
 def search(heads: DataFrame, threshold: float, block: int = BLOCK, k: int = NEIGHBOURS, sample: int = SAMPLE) -> tuple[DataFrame, list[list[float]]]:
@@ -346,10 +347,11 @@ def search(heads: DataFrame, threshold: float, block: int = BLOCK, k: int = NEIG
                 break
         missing, shares = audited(lists, heads, threshold, SEED + len(audits), sample)
         audits.append(shares)
-        back = missing.select(F.col("other").alias("id"), F.col("id").alias("other"), "cosine", "edge")
-        both = missing.union(back).select("*", new)
-        lists = saved(trimmed(lists.select("id", "other", "cosine", "edge", old).union(both), k))
-        edges = count_edges(lists)
+        if missing is not None:
+            back = missing.select(F.col("other").alias("id"), F.col("id").alias("other"), "cosine", "edge")
+            both = missing.union(back).select("*", new)
+            lists = saved(trimmed(lists.select("id", "other", "cosine", "edge", old).union(both), k))
+            edges = count_edges(lists)
         if min(shares) >= AUDIT:
             return lists.where("edge").select("id", "other", "cosine"), audits
 
