@@ -24,6 +24,7 @@ from clozemill.operators import (
     ordering,
     runs,
     shuffling,
+    subwords,
     vectors,
 )
 from clozemill.operators import questions as question_ops
@@ -487,6 +488,17 @@ def truncate_tokens(spark, sf_dir):
     return _joined(tokens.drop("attention_mask"), "input_ids", "labels")
 
 
+@query
+def truncate_subwords(spark, sf_dir):
+    """Pieces are trained on all rows; the same rows are then cut into their ids."""
+    rows = _canonical(spark, sf_dir).select("row_idx", "source", "target")
+    words = subwords.word_counts(rows, "source", "target").cache()
+    model = subwords.train(words, 4000)
+    words.unpersist()
+    tokens = batches.truncate_tokens(rows, 384, 64, subwords.tokenizer(model))
+    return _joined(tokens.drop("attention_mask"), "input_ids", "labels")
+
+
 @query
 def assign_batches(spark, sf_dir):
     return batches.assign_batches(_canonical(spark, sf_dir).select("row_idx"), 4)
