@@ -586,6 +586,18 @@ select lang, count(*) as num_examples,
   round(avg(case when p > 0 then 2.0 * p / (p + r) else 0.0 end), 6) as "rougeL" from sizes group by 1""",
     "rouge_lsum": _TURN_PAIRS + "," + _LCS + """
 select count(*) as num_examples, round(avg(f), 6) as "rougeLsum" from lcs""",
+    # A prediction's lines are lines of the reference, so every token of it is covered once.
+    "rouge_lines_documents": duck_with("v_line_pairs") + ","
+    + _overlaps("v_line_pairs", "pair_id", "lang", lambda c: _rouge_tokens(c, "a-z0-9"), 2)
+    + """,
+f as (
+  select v.pair_id, v.lang,
+    coalesce(max(case when n = 1 and hit > 0 then 2.0 * hit / (np + nr) end), 0.0) as rouge1,
+    coalesce(max(case when n = 2 and hit > 0 then 2.0 * hit / (np + nr) end), 0.0) as rouge2,
+    coalesce(max(case when n = 1 and np > 0 then 2.0 * np / (np + nr) end), 0.0) as covered
+  from v_line_pairs v left join hits using (pair_id, lang) group by all)
+select lang, count(*) as num_examples, round(avg(rouge1), 6) as rouge1, round(avg(rouge2), 6) as rouge2,
+  round(avg(covered), 6) as "rougeL", round(avg(covered), 6) as "rougeLsum" from f group by lang""",
     "meteor_exact": duck_with("v_pairs") + "," + _meteor("v_pairs", "pair_id", "lang") + """
 select lang, count(*) as num_examples, round(avg(meteor), 6) as meteor
 from meteor_pairs group by 1""",

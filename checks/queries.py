@@ -350,6 +350,14 @@ def rouge_l_documents(spark, sf_dir):
     return _rounded(metrics.rouge_l(_pairs(spark, sf_dir), ("lang",)), "rougeL")
 
 
+@query
+def rouge_lines_documents(spark, sf_dir):
+    """All ROUGE scores of whole documents whose line breaks count; predictions lack every third line."""
+    pairs = _spread(view(spark, sf_dir, "v_line_pairs"), "pair_id")
+    names = ("rouge1", "rouge2", "rougeL", "rougeLsum")
+    return _rounded(metrics.compute_text_metrics(pairs, ("lang",), names), *names)
+
+
 @query
 def meteor_exact(spark, sf_dir):
     return _rounded(metrics.meteor_exact(_pairs(spark, sf_dir), ("lang",)), "meteor")

@@ -137,6 +137,10 @@ from v_qa_flat group by conv_id""",
 select doc_id as pair_id, lang, array_join(w, ' ') as reference,
   array_join(filter(w, (x, i) -> i % 4 <> 2), ' ') as prediction
 from (select *, split(regexp_replace(text, '[ \\n\\t\\r]+', ' '), ' ') as w from documents)""",
+    "v_line_pairs": """
+select doc_id as pair_id, lang, array_join(l, '\\n') as reference,
+  array_join(filter(l, (x, i) -> i % 3 <> 1), '\\n') as prediction
+from (select *, split(text, '\\n') as l from documents)""",
     "v_turn_pairs": "select row_idx, question as prediction, context as reference from v_qa_flat",
     "v_epochs": _EPOCHS,
     "v_steps": _STEPS,
@@ -163,6 +167,10 @@ select doc_id as pair_id, lang, array_to_string(w, ' ') as reference,
   array_to_string(list_filter(w, lambda x, i: (i - 1) % 4 <> 2), ' ') as prediction
 from (select *, string_split(regexp_replace(text, '[ \n\t\r]+', ' ', 'g'), ' ') as w
       from documents)""",
+    "v_line_pairs": r"""
+select doc_id as pair_id, lang, array_to_string(l, chr(10)) as reference,
+  array_to_string(list_filter(l, lambda x, i: (i - 1) % 3 <> 1), chr(10)) as prediction
+from (select *, string_split(text, chr(10)) as l from documents)""",
     "v_experiments": _EXPERIMENTS,
     "v_run_metrics": _RUN_METRICS,
     "v_run_scores": _RUN_SCORES,

@@ -97,10 +97,72 @@ def test_sequence_helpers_against_brute_force():
         x = rng.choices("abcde", k=rng.randint(0, 12))
         y = rng.choices("abcde", k=rng.randint(0, 12))
         assert overlap._lcs_length(x, y) == table_lcs(x, y)
-        if x and y:
-            used = sorted(overlap._lcs_positions(x, y))
-            assert len(used) == table_lcs(x, y)
-            assert table_lcs([x[i] for i in used], y) == len(used)
+
+
+def traced(x, y):
+    """Positions in x on the way back through the whole table: a match first, then left if that keeps more."""
+    t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            t[i + 1][j + 1] = t[i][j] + 1 if a == b else max(t[i][j + 1], t[i + 1][j])
+    used, i, j = set(), len(x), len(y)
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            used.add(i)
+        elif t[i][j - 1] > t[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return used
+
+
+@pytest.mark.parametrize("held", [1, 3, 64])
+def test_positions_are_those_of_the_whole_table(monkeypatch, held):
+    monkeypatch.setattr(overlap, "_HELD", held)
+    rng = random.Random(4)
+    for _ in range(400):
+        x, y = (rng.choices("abcdefg", k=rng.randint(0, 25)) for _ in range(2))
+        assert overlap._lcs_positions(x, overlap._Line(y)) == traced(x, y)
+
+
+def plain_union_hits(prediction, reference):
+    from collections import Counter
+
+    lines, targets = ([line.split(" ") if line else [] for line in t.split("\n")] for t in (prediction, reference))
+    left = Counter(t for x in lines for t in x) & Counter(t for x in targets for t in x)
+    hits = 0
+    for target in targets:
+        for i in sorted(set().union(*[traced(target, line) for line in lines])):
+            if left[target[i]]:
+                left[target[i]] -= 1
+                hits += 1
+    return hits
+
+
+def test_union_over_lines_against_plain_python():
+    rng = random.Random(8)
+    for _ in range(150):
+        a, b = ("\n".join(" ".join(rng.choices("abcdef", k=rng.randint(0, 6))) for _ in range(rng.randint(2, 6))) for _ in range(2))
+        assert overlap._union_lcs_hits(a, b) == plain_union_hits(a, b)
+
+
+def test_tracing_holds_few_rows():
+    import tracemalloc
+
+    rng = random.Random(9)
+    x, y = rng.choices("abcdefghij", k=6000), rng.choices("abcdefghij", k=6000)
+    tracemalloc.start()
+    used = overlap._lcs_positions(x, overlap._Line(y))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(used) == overlap._lcs_length(x, y)
+    assert peak < 2_500_000  # all rows would take 6000 * 800 bytes
+
+
+def test_many_lines_that_share_little():
+    lines = [f"w{i} v{i % 500} u{i} t{i}" for i in range(1000)]
+    assert overlap._union_lcs_hits("\n".join(lines), "\n".join(reversed(lines))) == 4000
 
 
 def test_long_texts_are_scored_whole(spark):
