@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,20 +74,36 @@ def pa_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with checkpoint(), in the folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see: that of spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a folder of this machine is used.
+    Where none is named, a session whose executors run in this process may use a
+    folder of this machine; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None)
-            or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        )
+        context.setCheckpointDir(named)
+    return named
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with checkpoint(), in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of this library's own, wherever it is stored."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
@@ -98,7 +115,7 @@ def one_label(labels: DataFrame, label: str, doc_id: str = "doc_id") -> DataFram
     return named.dropna().groupBy("doc_id").agg(F.avg("label").alias("label"))
 
 
-def components(links: DataFrame, rounds: int = 100) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a, b): one row (node, root) per linked node.
 
     Alternates the two star operations on the edge list until nothing changes:
@@ -111,7 +128,7 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     ).where("lo < hi")
     edges = saved(edges.distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
             edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
@@ -137,8 +154,6 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select("lo").distinct()
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
         roots.select("lo", "lo")

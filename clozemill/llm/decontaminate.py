@@ -10,7 +10,8 @@ block by block, all documents each time, and hits add up in the document row.
 
 Rows: a null or empty text has no words, no hits, and is not contaminated; so
 has a null or empty item no window. Repeated items and windows name every item
-they come from; null item ids are skipped. Repeated documents are judged each.
+they come from; the windows of an item without an id count as hits, but name no
+item. Repeated documents are judged each.
 Empty tables on either side give empty or hit-free results. Other columns of
 the input stay; one named like an output is replaced.
 """
@@ -46,10 +47,10 @@ def windows_of(text: str | None, window: int = WINDOW) -> set[str]:
     return {" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))}
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str, str]]]:
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str | None, str]]]:
     """Lists of (item_id, text) of at most ``limit`` characters, or one item."""
     block, size = [], 0
-    items = benchmark.select(F.col(item_id).cast("string"), F.col(text)).dropna()
+    items = benchmark.select(F.col(item_id).cast("string"), F.col(text)).dropna(subset=[text])
     for item, words in items.toLocalIterator():
         if block and size + len(words) > limit:
             yield block
@@ -60,14 +61,16 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> It
         yield block
 
 
-def build(items: list[tuple[str, str]], window: int = WINDOW):
+def build(items: list[tuple[str | None, str]], window: int = WINDOW):
     """The automaton over " w1 … wn ", with the window's word count and its items."""
     import ahocorasick
 
     owners: dict[str, set[str]] = {}
     for item, text in items:
         for key in windows_of(text, window):
-            owners.setdefault(key, set()).add(item)
+            own = owners.setdefault(key, set())
+            if item is not None:
+                own.add(item)
     automaton = ahocorasick.Automaton()
     for key, whose in owners.items():
         automaton.add_word(f" {key} ", (key.count(" ") + 1, sorted(whose)))

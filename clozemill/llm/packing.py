@@ -7,8 +7,8 @@ table of at most ``capacity`` rows. Bins are completed around the largest piece
 left: undominated fillings are enumerated with the best waste first, a filling
 is used as often as its pieces last, and a branch is pruned once its waste
 shows that it cannot beat the incumbent, which starts as best-fit decreasing.
-The search ends at the lower bound, or after a fixed number of steps with the
-best solution found.
+The search ends at the lower bound, or after a fixed number of fillings with
+the best solution found; nothing else limits it.
 
 Pieces meet their places by number: the pieces of a length are numbered in
 chunks of a hash, and the plan says which numbers of a length go to which bins.
@@ -37,12 +37,8 @@ from clozemill.llm.tokens import PIECES, byte_letters
 
 CAPACITY = 2048
 CLOSING_ID = 0
-#: Fillings tried in one search, over all branches.
-STEPS = 4_000
-#: Fillings looked at for one bin.
-FILLINGS = 3
-#: Dominated fillings passed over for one bin, once there is an undominated one.
-TRIES = 60
+#: Fillings looked at in one search, dominated ones and those of all branches included.
+STEPS = 20_000
 #: Entries of a worker's table of known parts of texts.
 KNOWN = 400_000
 #: Chunks in which the pieces of one length are numbered.
@@ -169,8 +165,8 @@ def _use(left: dict[int, int], filling: tuple[int, ...]) -> Filling:
     return filling, times
 
 
-def fillings(left: dict[int, int], capacity: int, at_most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated fillings around the largest piece left, least waste first.
+def fillings(left: dict[int, int], capacity: int) -> Iterator[tuple[int, ...] | None]:
+    """Fillings around the largest piece left, least waste first; None stands for a dominated one.
 
     Bit sets of the sums that the smaller lengths can reach bound the waste of
     every partial filling, so no branch is entered that cannot be completed.
@@ -190,20 +186,15 @@ def fillings(left: dict[int, int], capacity: int, at_most: int = FILLINGS) -> li
             step *= 2
         sums.append(reach)
     sums.reverse()
-    found: list[tuple[int, ...]] = []
-    tries = TRIES
     for waste in range(room + 1):
-        if len(found) >= at_most or tries <= 0:
-            break
         if not sums[0] >> (room - waste) & 1:
             continue
         stack = [(0, room - waste, ())]
-        while stack and len(found) < at_most and (tries > 0 or not found):
+        while stack:
             at, rest, chosen = stack.pop()
             if not rest:
-                tries -= 1
-                if not waste or not _dominated(waste, chosen, lengths, stock):
-                    found.append((largest, *chosen))
+                spare = waste and _dominated(waste, chosen, lengths, stock)
+                yield None if spare else (largest, *chosen)
                 continue
             while lengths[at] > rest or not stock[at]:
                 at += 1
@@ -211,7 +202,6 @@ def fillings(left: dict[int, int], capacity: int, at_most: int = FILLINGS) -> li
             for k in range(min(stock[at], rest // n) + 1):  # the most of n is tried first
                 if sums[at + 1] >> (rest - k * n) & 1:
                     stack.append((at + 1, rest - k * n, chosen + (n,) * k))
-    return found
 
 
 def _dominated(waste: int, chosen: tuple[int, ...], lengths: list[int], stock: list[int]) -> bool:
@@ -221,32 +211,45 @@ def _dominated(waste: int, chosen: tuple[int, ...], lengths: list[int], stock: l
 
 
 def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[Filling]:
-    """Fillings and how often each is used, with as few bins as the search finds."""
-    counts = {n: k for n, k in counts.items() if k}
-    total = sum(n * k for n, k in counts.items())
+    """Fillings and how often each is used, with as few bins as the search finds.
+
+    Depth first: the next filling of a bin is looked for only when the search
+    comes back to it, in the pieces as they were, so that one plan is held.
+    """
+    left = {n: k for n, k in counts.items() if k}
+    total = sum(n * k for n, k in left.items())
     bound = -(-total // capacity)
-    best = best_fit(counts, capacity)
+    best = best_fit(left, capacity)
     fewest = sum(k for _, k in best)
+    done: list[Filling] = []
+    seen: list[int] = []  # how many fillings of each bin were looked at
+    bins = waste = skip = 0
     budget = steps
-    # Depth first over fillings, without recursion: bins differ in number by the millions.
-    stack: list[tuple[dict[int, int], tuple[Filling, ...], int, int]] = [(counts, (), 0, 0)]
-    while stack and budget > 0 and fewest > bound:
-        left, done, bins, waste = stack.pop()
-        while left and budget > 0:
-            if waste > (fewest - 1) * capacity - total:
-                break  # no room for this much waste in a better solution
-            budget -= 1
-            options = fillings(left, capacity)
-            for other in options[:0:-1]:
-                after = dict(left)
-                f = _use(after, other)
-                stack.append((after, (*done, f), bins + f[1], waste + f[1] * (capacity - sum(other))))
-            left = dict(left)
-            f = _use(left, options[0])
-            done, bins = (*done, f), bins + f[1]
-            waste += f[1] * (capacity - sum(options[0]))
-        if not left and bins < fewest:
-            best, fewest = list(done), bins
+    while fewest > bound:
+        filling = None
+        if left and waste <= (fewest - 1) * capacity - total:  # else too much waste for a better plan
+            for looked, filling in enumerate(fillings(left, capacity)):
+                if looked < skip:
+                    filling = None
+                    continue
+                budget -= 1
+                if filling or budget <= 0:
+                    break
+        if budget <= 0:
+            break
+        if filling:
+            done.append(_use(left, filling))
+            seen.append(looked)
+            bins, waste, skip = bins + done[-1][1], waste + done[-1][1] * (capacity - sum(filling)), 0
+            if not left and bins < fewest:
+                best, fewest = list(done), bins
+        elif done:
+            filling, times = done.pop()
+            for n in filling:
+                left[n] = left.get(n, 0) + times
+            bins, waste, skip = bins - times, waste - times * (capacity - sum(filling)), seen.pop() + 1
+        else:
+            break
     return best
 
 

@@ -63,7 +63,7 @@ _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQ
 
 ORACLES["op2_decontamination"] = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
-i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
 win AS (
   SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[k : k + least(len(w), 13) - 1], ' ') AS key
   FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS k FROM i WHERE len(w) > 0)
@@ -75,7 +75,7 @@ grams AS (
 ),
 met AS (SELECT r, k, g.n, item FROM grams g JOIN win USING (key) WHERE g.n = win.n),
 hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + met.n)) AS place FROM met) GROUP BY r),
-named AS (SELECT r, string_agg(item, ',' ORDER BY item) AS items, count(*) AS n_items FROM (SELECT DISTINCT r, item FROM met) GROUP BY r)
+named AS (SELECT r, string_agg(item, ',' ORDER BY item) AS items, count(*) AS n_items FROM (SELECT DISTINCT r, item FROM met WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
@@ -171,9 +171,21 @@ def op6_warc(spark, sf_dir):
 
 
 def _op6_oracle() -> str:
-    """Plain alternations for the possessive ones; entities of the tables only, & last."""
-    attributes = """(?:[^>"'']|"[^"]*"|''[^'']*'')*"""
-    block = rf"(?i)</?(?:{warc._BLOCKS})(?:{attributes})>".replace("(?:(?:", "(?:(?:")
+    """Patterns of RE2, written for themselves; entities of the tables only, & last."""
+    quoted = """"[^"]*"|''[^'']*''"""
+    attributes = f"""(?:[^>"'']|{quoted})*"""
+    hidden = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script[^>]*>|\z)"
+    aside = "(?is)" + "|".join(rf"<{x}\b.*?(?:</{x}[^>]*>|\z)" for x in ("style", "title", "noscript", "template"))
+    blocks = (
+        "address|article|aside|blockquote|body|br|caption|center|dd|div|dl|dt|fieldset|figure|figcaption|footer|form|"
+        "h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|tr|ul"
+    )
+    # RE2 has no look-ahead: what follows the name of a tag is a blank, a slash or its end.
+    block = rf"(?i)</?(?:{blocks})(?:[^a-z0-9>-]{attributes})?>"
+    value = rf"""(?:{quoted}|[^\s"''>][^\s>]*)"""
+    link = rf"""(?is)<a(?:[\s/]+[^\s/>="''][^\s/>=]*(?:\s*=\s*{value})?)*?[\s/]+href\s*=\s*({value})"""
+    title = r"(?is)<title\b[^>]*>(.*?)(?:</title|\z)"
+    no_date = "1970-01-01T00:00:00Z"
     named = {"&copy;": "\u00a9", "&middot;": "\u00b7", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&nbsp;": "\u00a0", "&amp;": "&"}
 
     def decoded(x):
@@ -188,39 +200,36 @@ def _op6_oracle() -> str:
 
     crlf = "chr(13) || chr(10)"
     blanks = "[\\t\\n\\x0B\\f\\r \u00a0]+"
-    text = f"regexp_replace(visible, '{warc._ASIDE}', ' ', 'g')"
-    # RE2 has no look-ahead: what follows the name of a tag is a blank, a slash or its end.
-    block = rf"(?i)</?(?:{warc._BLOCKS})(?:[^a-z0-9>-]{attributes})?>"
+    text = f"regexp_replace(visible, '{aside}', ' ', 'g')"
     text = f"regexp_replace({text}, '{block}', chr(1), 'g')"
     text = f"regexp_replace({text}, '(?is)</?[a-z!?](?:{attributes}>|[^>]*(?:>|\\z))', '', 'g')"
     text = f"regexp_replace({decoded(text)}, '{blanks}', ' ', 'g')"
     text = f"trim(regexp_replace({text}, ' ?\\x01[ \\x01]*', chr(10), 'g'), ' ' || chr(10))"
-    link = warc._LINK.replace("'", "''")
     one = lambda x: f"trim(regexp_replace({decoded(x)}, '[\\x00-\\x20\u00a0]+', ' ', 'g'))"
     return f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS html FROM pages),
 h AS (SELECT *, 'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: '
   || CAST(octet_length(CAST(encode(html) AS BLOB)) AS VARCHAR) || {crlf} AS http, 'sha256:' || sha256(html) AS payload FROM p),
 b AS (SELECT *, 'sha256:' || sha256(http || {crlf} || html) AS blockd FROM h),
-i AS (SELECT *, {uuid("'response'", "coalesce(CAST(page_id AS VARCHAR), '')", "uri", f"'{warc.NO_DATE}'", "blockd")} AS id,
-  regexp_replace(html, '{warc._HIDDEN}', ' ', 'g') AS visible FROM b),
+i AS (SELECT *, {uuid("'response'", "coalesce(CAST(page_id AS VARCHAR), '')", "uri", f"'{no_date}'", "blockd")} AS id,
+  regexp_replace(html, '{hidden}', ' ', 'g') AS visible FROM b),
 k AS (SELECT *, {uuid("'metadata'", "id")} AS mid, {uuid("'conversion'", "id")} AS tid, {text} AS body FROM i),
-m AS (SELECT *, 'title: ' || {one(f"regexp_extract(visible, '{warc._TITLE}', 1)")} || {crlf} || 'conversion: ' || tid || {crlf}
+m AS (SELECT *, 'title: ' || {one(f"regexp_extract(visible, '{title}', 1)")} || {crlf} || 'conversion: ' || tid || {crlf}
   || 'source-payload-digest: ' || payload || {crlf} || 'source-block-digest: ' || blockd || {crlf}
   || 'source-header: HTTP/1.1 200 OK' || {crlf} || 'source-header: Content-Type: text/html; charset=utf-8' || {crlf}
   || 'source-header: Content-Length: ' || CAST(octet_length(CAST(encode(html) AS BLOB)) AS VARCHAR) || {crlf}
-  || array_to_string(list_transform(regexp_extract_all(visible, '{link}', 1), lambda x: 'outlink: ' || {one("x")} || {crlf}), '') AS about FROM k),
+  || array_to_string(list_transform(regexp_extract_all(visible, '{link}', 1), lambda x: 'outlink: ' || {one("regexp_replace(x, '(?s)^[' || chr(34) || chr(39) || '](.*)[' || chr(34) || chr(39) || ']$', '" + chr(92) + "1')")} || {crlf}), '') AS about FROM k),
 r AS (
   SELECT page_id, 'metadata' AS warc_type, mid AS record_id, id AS refers_to, tid AS concurrent_to, uri, 'application/warc-fields' AS content_type, payload, about AS block FROM m
   UNION ALL
   SELECT page_id, 'conversion', tid, id, mid, uri, 'text/plain; charset=utf-8', payload, body FROM m
 )
-SELECT page_id, warc_type, record_id, refers_to, concurrent_to, uri AS target_uri, '{warc.NO_DATE}' AS date, content_type,
+SELECT page_id, warc_type, record_id, refers_to, concurrent_to, uri AS target_uri, '{no_date}' AS date, content_type,
   CAST(octet_length(CAST(encode(block) AS BLOB)) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest,
   payload AS source_digest, block,
   'WARC/1.1' || {crlf} || 'WARC-Type: ' || warc_type || {crlf} || 'WARC-Record-ID: ' || record_id || {crlf}
   || 'WARC-Refers-To: ' || refers_to || {crlf} || 'WARC-Concurrent-To: ' || concurrent_to || {crlf}
-  || 'WARC-Target-URI: ' || uri || {crlf} || 'WARC-Date: {warc.NO_DATE}' || {crlf}
+  || 'WARC-Target-URI: ' || uri || {crlf} || 'WARC-Date: {no_date}' || {crlf}
   || 'WARC-Block-Digest: sha256:' || sha256(block) || {crlf} || 'Content-Type: ' || content_type || {crlf}
   || 'Content-Length: ' || CAST(octet_length(CAST(encode(block) AS BLOB)) AS VARCHAR) || {crlf} AS headers
 FROM r

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -102,21 +103,26 @@ class Model:
         return -math.expm1(clean)
 
 
-def _fit(rows: list[tuple[float, list[list[int]], int]], size: int) -> tuple[float, np.ndarray]:
+#: Ends a sentence among its word numbers, which are below it.
+_END = 0xFFFF
+
+
+def _fit(rows: list[tuple[float, bytes, int]], size: int) -> tuple[float, np.ndarray]:
     """Bias and weights of the noisy-or likelihood.
 
-    rows: (label, word numbers of each sentence that has some, number of sentences without).
+    rows: (label, 16-bit word numbers of the sentences that have some, each ended by _END, number of sentences without).
     """
     label = np.array([r[0] for r in rows])
     empty = np.array([r[2] for r in rows], float)
-    of = np.array([i for i, r in enumerate(rows) for _ in r[1]], int)
-    lists = [s for r in rows for s in r[1]]
-    at = np.array([k for k, s in enumerate(lists) for _ in s], int)
-    word = np.array([w for s in lists for w in s], int)
+    coded = np.frombuffer(b"".join(r[1] for r in rows), np.uint16)
+    of = np.repeat(np.arange(len(rows)), [len(r[1]) // 2 for r in rows])
+    ends = coded == _END
+    at, word, of = (np.cumsum(ends) - ends)[~ends], coded[~ends], of[ends]
+    sentences = int(ends.sum())
     weights, bias, n = np.zeros(size), -5.0, len(rows)
     moments = [np.zeros(size + 1), np.zeros(size + 1)]
     for step in range(1, STEPS + 1):
-        logit = bias + np.bincount(at, weights[word], len(lists))
+        logit = bias + np.bincount(at, weights[word], sentences)
         # log(1 - q) of a sentence is -softplus(logit)
         soft = np.logaddexp(0, logit)
         q = np.exp(logit - soft)
@@ -215,14 +221,14 @@ def train(
             for one in found.to_pylist():
                 sets = [[number[f] for w in s for f in forms(w) if f in number] for s in one]
                 with_words = [s for s in sets if s]
-                out.append(with_words)
+                out.append(array("H", [w for s in with_words for w in (*s, _END)]).tobytes())
                 bare.append(len(sets) - len(with_words))
             return [out, bare]
 
         return compute
 
     small = append_columns(
-        rows.select("label", "sentences", "pick"), ["sentences"], "numbers array<array<int>>, bare int", reduce
+        rows.select("label", "sentences", "pick"), ["sentences"], "numbers binary, bare int", reduce
     )
     taken = small.orderBy("pick").select("label", "numbers", "bare").limit(sample).collect()
     fitted = [(r["label"], r["numbers"], r["bare"]) for r in taken]

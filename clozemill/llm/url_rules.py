@@ -100,11 +100,13 @@ def index(urls: DataFrame, rules: list[Rule]) -> DataFrame:
 
     ``urls`` has host and path; tokens are counted over all its rows.
     """
-    spark = urls.sparkSession
-    table = spark.createDataFrame(
-        [(r.name, r.verdict, r.regex(), r.rank, len(r.name), i, sorted(r.literals())) for i, r in enumerate(rules)],
-        "rule string, verdict string, regex string, rank int, size int, place int, literals array<string>",
-    )
+    kinds = "struct<rule: string, verdict: string, regex: string, rank: int, size: int, place: int, literals: array<string>>"
+    rows = [
+        F.struct(*[F.lit(x) for x in (r.name, r.verdict, r.regex(), r.rank, len(r.name), i)], F.array(*map(F.lit, sorted(r.literals()))))
+        for i, r in enumerate(rules)
+    ]
+    listed = F.array(*rows).cast(f"array<{kinds}>")
+    table = urls.sparkSession.range(1).select(F.inline(listed))
     wanted = table.select("place", F.explode("literals").alias("token"))
     counted = (
         urls.select(F.explode(_tokens(F.col("host"), F.col("path"))).alias("token"))
@@ -136,12 +138,15 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str =
         # Of equally long ones the first listed.
         .agg(F.max(F.struct("rank", "size", (-F.col("place")).alias("early"), "rule", "verdict")).alias("best"))
     )
-    kept = [c for c in pages.columns if c not in _OUTPUTS or c == url]
-    rows = pages.select(*kept, F.col(url).alias("__own"))
-    return rows.join(best, rows["__own"] == best["__url"], "left").select(
-        *kept,
+    kept = [c for c in pages.columns if c.lower() not in _OUTPUTS]
+    own = F.col(f"`{url}`")
+    # The row as one value, so that no name of a column can clash with another.
+    rows = pages.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"), own.alias("__own"))
+    judged = rows.join(best, F.col("__own") == F.col("__url"), "left").select(
+        *[F.col("row").getField(c).alias(c) for c in kept],
         host_of(F.col("__own")).alias("host"),
         path_of(F.col("__own")).alias("path"),
         F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )
+    return judged

@@ -47,7 +47,14 @@ _BLANKS = f"{_BLANK}(?:(?<=[^ ]){_BLANK}*+|{_BLANK}++)"
 _BREAK = "\u0001"
 _ENTITY = r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
 _TITLE = rf"(?is)<title\b[^>]*>(.*?)(?:</title|{_END})"
-_LINK = r"""(?is)<a\b[^>]*?\shref\s*=\s*["']([^"']*)["']"""
+#: The first href of an anchor, with its quotes if it has some; quoted values of other attributes are passed over whole.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+_NEXT = r"""(?:[\s/]++|(?<=["']))"""
+_LINK = (
+    rf"(?is)<a(?=[\s/])(?:{_NEXT}(?!href[\s=])[^\s/>=][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?)*+"
+    rf"{_NEXT}href\s*+=\s*+({_VALUE})"
+)
+_QUOTED = r"""(?s)^(["'])(.*)\1$"""
 _CRLF = "\r\n"
 
 
@@ -165,7 +172,7 @@ def derivatives(found: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataF
     text_id = identifier(F.lit("conversion"), F.col("record_id"))
     links = F.transform(
         "links",
-        lambda x: F.concat(F.lit("outlink: "), one_line(x), F.lit(_CRLF)),
+        lambda x: F.concat(F.lit("outlink: "), one_line(F.regexp_replace(x, _QUOTED, "$2")), F.lit(_CRLF)),
     )
     source = F.transform(
         F.filter(F.split("http_headers", _CRLF, -1), lambda x: x != ""),

@@ -218,7 +218,7 @@ def plain_hits(text, items):
             for k in range(len(words) - n + 1):
                 if words[k : k + n] == w[i : i + n]:
                     hit |= set(range(k, k + n))
-                    names.add(str(item))
+                    names |= {str(item)} - {"None"}
     return len(words), len(hit), sorted(names)
 
 
@@ -235,9 +235,8 @@ def test_decontamination(spark, limit):
     b = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     got = decontaminate.decontaminate(d, b, block_chars=limit).collect()
     assert len(got) == len(DOCS)
-    items = [x for x in ITEMS if x[0] is not None]
     for r in got:
-        n, hit, names = plain_hits(r["text"], items)
+        n, hit, names = plain_hits(r["text"], ITEMS)
         assert (r["n_words"], r["n_hit"], r["items"], r["n_items"]) == (n, hit, names, len(names))
         assert r["contaminated"] == (hit > 0 and 20 * hit >= n)
         cut = [r["text"][p["start"] : p["end"]] for p in r["hit_places"]]
@@ -442,6 +441,21 @@ def test_bin_completion_is_exact_on_small_cases():
         assert sum(t for _, t in plan) <= exact_bins(sizes, 30) + 0
 
 
+def test_steps_are_the_only_limit_of_the_search():
+    rng = random.Random(16)
+    for _ in range(40):
+        counts = {n: rng.randint(1, 3) for n in rng.sample(range(3, 40), 12)}
+        sizes = [n for n, k in counts.items() for _ in range(k)]
+        plans = [packing.pack_counts(counts, 50, steps) for steps in (0, 1, 50, 100_000)]
+        used = [sum(t for _, t in p) for p in plans]
+        assert used == sorted(used, reverse=True) and used[0] == sum(t for _, t in packing.best_fit(counts, 50))
+        for plan in plans:
+            assert sorted(n for f, t in plan for n in f * t) == sorted(sizes)
+    # Dominated fillings are looked at as None: 3 + 1 leaves room in which another 3 would do better.
+    found = list(packing.fillings({6: 1, 4: 1, 3: 1, 1: 1}, 10))
+    assert found[0] == (6, 4) and (6, 3, 1) in found and None in found
+
+
 def test_bin_completion_beats_best_fit():
     counts = {6: 2, 5: 2, 4: 2, 3: 2, 2: 1}  # 38 of 4 x 10
     assert sum(t for _, t in packing.pack_counts(counts, 10)) == 4
@@ -490,6 +504,18 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in url_rules.judge(pages, []).collect()} == {"allow"}
 
 
+def test_url_rules_with_clashing_columns(spark, tmp_path):
+    names = ["page_id", "url", "best", "__url", "Host", "VERDICT", "token", "row", "__own"]
+    pages = spark.createDataFrame([(1, "http://example.com/en/1", *"abcdefg"), (2, None, *"abcdefg")], ", ".join(f"`{n}` {'bigint' if n == 'page_id' else 'string'}" for n in names))
+    rules = [url_rules.parse(r, rank=1) for r in RULES]
+    judged = url_rules.judge(pages, rules)
+    assert judged.columns == ["page_id", "url", "best", "__url", "token", "row", "__own", "host", "path", "rule", "verdict"]
+    judged.write.parquet(f"{tmp_path}/judged")
+    got = by_id(spark.read.parquet(f"{tmp_path}/judged").withColumnRenamed("page_id", "doc_id"))
+    assert (got[1]["verdict"], got[1]["rule"], got[1]["best"], got[1]["row"]) == ("block", "example.com/en/", "a", "f")
+    assert (got[2]["verdict"], got[2]["host"], got[2]["token"]) == ("allow", "", "e")
+
+
 # --- WARC --------------------------------------------------------------------
 
 PAGES = [
@@ -558,6 +584,36 @@ def test_warc_text_against_a_parser(spark):
         assert "".join(got[r["page_id"]].split()) == "".join(parser.words), r["page_id"]
 
 
+LINKS = [
+    "<a href=/x>", "<a href=\"/o'reilly\">", "<a title=\"a>b\" href=\"/z\">", "<A\nHREF = '/q?a=1&amp;b=2'>", "<a data-href=/no href=/yes>",
+    "<a title='href=\"/no\"' href=/yes>", "<abbr href=/no>", "<a hrefs=/no>", "<a class=\"x\"href=\"/near\">", "<a disabled href=/bare/>",
+    "<a href=''>", "<a name=x>", "<a href=/one href=/two>", "<a/href=/slash>", "<link href=/no>", "<a title=it's href=/yes>", "<p title='<a href=/in>'>",
+]
+
+
+def test_links_against_a_parser(spark):
+    from html.parser import HTMLParser
+
+    class Links(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found = []
+
+        def handle_starttag(self, tag, attrs):
+            first = next((v for k, v in attrs if k == "href"), None)
+            if tag == "a" and first is not None:
+                self.found.append(first)
+
+    pages = [(i, "http://a/", f"<p>{x}text</a> ") for i, x in enumerate(LINKS[:-1])] + [(99, "http://a/", "".join(LINKS[:-1]))]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    rows = warc.derivatives(warc.responses(df)).where("warc_type = 'metadata'").collect()
+    got = {r["page_id"]: [line[9:] for line in r["block"].split("\r\n") if line.startswith("outlink: ")] for r in rows}
+    for i, _, html_text in pages:
+        parser = Links()
+        parser.feed(html_text)
+        assert got[i] == parser.found, html_text
+
+
 def test_entities(spark):
     rng = random.Random(9)
     names = ["&amp;", "&lt;", "&eacute;", "&#8217;", "&#x1F600;", "&", "amp;", "&copy;", "x", "&quot;", ";", "&middot;"]
