@@ -70,16 +70,17 @@ _HINTS = {
 #: An address by its form: labels between single dots, and a last label of letters.
 _WORD = r"[\p{L}\p{N}_%+-]++"
 _DOT = r"(?:\.| ?[(\[]dot[)\]] ?)"
-_ADDRESS = rf"^{_WORD}(?:\.{_WORD})*+(?:@| ?[(\[]at[)\]] ?)(?:{_LABEL}{_DOT})+[A-Za-z]{{2,24}}$"
+_ADDRESS = rf"^{_WORD}(?:\.{_WORD})*+(?:@| ?[(\[]at[)\]] ?)(?:{_LABEL}{_DOT})++[A-Za-z]{{2,24}}$"
 #: What comes before numbers and names in code, decimals and versions.
 _CODE = r"[=/\\#$&?]$|[0-9][.,]$|\b(?:version|v|id|isbn|doi)[.: ]*$"
 #: Code points before a candidate that count as its context.
 CONTEXT = 32
 #: Examples that trees are fitted on: about so many, chosen by a hash.
 TRAIN_ROWS = 20_000
-#: A threshold needs so many held-back examples at or above it, this part of them right.
-LEAST_EXAMPLES = 10
+#: Part of the held-back examples at or above a threshold that must be right, counted
+#: together with so many imagined ones of which that part is right.
 PRECISION = 0.98
+PRIOR, PRIOR_RIGHT = 2.0, 0.9
 TREES, DEPTH, SHRINKAGE, PENALTY, LEAST_LEAF = 20, 3, 0.5, 1.0, 5
 
 _OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -238,7 +239,8 @@ def _features(kind: str, span: Column) -> Column:
 
 def examples(docs: DataFrame, text: str = "text") -> DataFrame:
     """(kind, features, label, pick): every match of a fixed pattern, and whether it passes its check;
-    every candidate of a generator that touches no match of its kind, with its weak label.
+    every candidate of a generator. One that touches a passing match is right if it has its bounds; one
+    that touches no match has its weak label.
     """
     found = _with_base(docs.select(F.col(text).alias(text)), text)
     found = _located(found, "__text", {f"__wide_{i}": (_wide_guard(must), p) for i, (_, must, p) in enumerate(WIDE)})
@@ -259,8 +261,19 @@ def examples(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def beside(kind: str) -> Column:
         spans = F.array_distinct(F.concat(*[F.col(f"__wide_{i}") for i, w in enumerate(WIDE) if w[0] == kind]))
-        own = F.filter(spans, lambda a: ~F.exists(f"__base_{kind}", lambda b: _overlaps(a, b)))
-        return labelled(kind, own, lambda s: _weak_label(kind, s))
+        base = F.col(f"__base_{kind}")
+
+        def label(s: Column) -> Column:
+            touched = F.filter(base, lambda b: _overlaps(s, b))
+            right = F.filter(touched, lambda b: _passes(kind, b["value"]))
+            same = F.exists(right, lambda b: (s["start"] == b["start"]) & (s["end"] == b["end"]))
+            return (
+                F.when(F.size(touched) == 0, _weak_label(kind, s))
+                .when(F.size(right) > 0, same)
+                .otherwise(F.lit(None).cast("boolean"))
+            )
+
+        return labelled(kind, spans, label)
 
     rows = F.concat(*map(base, KINDS), *map(beside, KINDS))
     return found.select(F.explode(rows).alias("e")).select("e.*").where(F.col("label").isNotNull())
@@ -336,7 +349,7 @@ def train(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) ->
     rows = saved(examples(docs, text))
     held = F.pmod(F.col("pick"), F.lit(4)) == 0
     seen = {r["label"]: r["n"] for r in rows.where(~held).groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if min(seen.get(0.0, 0), seen.get(1.0, 0)) < LEAST_EXAMPLES:
+    if not seen:
         return Model()
     part = math.ceil(1e6 * min(1.0, train_rows / sum(seen.values())))
     sample = rows.where(~held & (F.pmod(F.shiftright("pick", 8), F.lit(1_000_000)) < part))
@@ -355,13 +368,10 @@ def train(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) ->
     )
     for kind in KINDS:
         own = [r for r in steps if r["kind"] == kind]
-        good = sum(r["right"] for r in own)
-        if min(good, sum(r["n"] for r in own) - good) < LEAST_EXAMPLES / 2:
-            continue  # nothing to tell right from wrong by
         n = right = 0
         for r in own:
             n, right = n + r["n"], right + r["right"]
-            if n >= LEAST_EXAMPLES and right >= PRECISION * n:
+            if right + PRIOR * PRIOR_RIGHT >= PRECISION * (n + PRIOR):
                 model.thresholds[kind] = r["score"]
     return model
 
