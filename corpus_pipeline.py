@@ -3,7 +3,8 @@
 Each stage reads what its predecessor kept and returns the columns of
 ``documents``, but for the last, which returns pieces with their places. run()
 writes every stage as Parquet into the folder of spark.checkpoint.dir and reads
-it again, so a lost executor costs its own tasks only.
+it again, so a lost executor costs its own tasks only; a stage's folder is
+removed once the next one is written.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clozemill.llm import decontaminate, packing, pii, quality, simhash
+from clozemill.llm.common import removed, shared_folder
 
 #: Models and packing cannot be written in SQL; tests compare run() with plain Python.
 ORACLE_SQL = None
@@ -64,11 +66,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to ``documents``."""
-    context = spark.sparkContext
-    shared = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4()}"
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            removed(spark, f"{folder}/{i - 1}")
     return docs
