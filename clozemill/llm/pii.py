@@ -287,15 +287,39 @@ class Model:
     thresholds: dict[str, float] = field(default_factory=dict)
 
     def score(self, features: Column) -> Column:
-        def branch(node) -> Column:
-            if isinstance(node, float):
-                return F.lit(node)
-            at, limit, left, right = node
-            return F.when(features[at] <= limit, branch(left)).otherwise(branch(right))
-
-        total = F.lit(0.0)
-        for tree in self.trees:
-            total = total + branch(tree)
+        """Of each tree the leaf that the features lead to, added up; trees are one array of constants.
+
+        Nodes of a tree stand level by level, so node i leads to 2 i + 1 or 2 i + 2.
+        """
+        start, *trees = self.trees or [0.0]
+        if not trees:
+            return 1 / (1 + F.exp(F.lit(-start)))
+
+        def flat(node, depth: int) -> list[list]:
+            """Per level the (feature, limit) of its nodes, then the leaves; a leaf above goes left for good."""
+            if not depth:
+                return [[node]]
+            at, limit, left, right = node if isinstance(node, tuple) else (0, float("inf"), node, node)
+            below = [x + y for x, y in zip(flat(left, depth - 1), flat(right, depth - 1), strict=True)]
+            return [[(at, limit)], *below]
+
+        def constant(tree) -> Column:
+            *levels, leaves = flat(tree, DEPTH)
+            nodes = [n for level in levels for n in level]
+            return F.struct(
+                F.array(*[F.lit(at) for at, _ in nodes]).alias("at"),
+                F.array(*[F.lit(limit) for _, limit in nodes]).alias("limit"),
+                F.array(*[F.lit(leaf) for leaf in leaves]).alias("leaf"),
+            )
+
+        def walk(tree: Column) -> Column:
+            node: Column = F.lit(0)
+            for _ in range(DEPTH):
+                left = F.get(features, F.get(tree["at"], node)) <= F.get(tree["limit"], node)
+                node = 2 * node + F.when(left, 1).otherwise(2)
+            return F.get(tree["leaf"], node - (2**DEPTH - 1))
+
+        total = F.aggregate(F.array(*map(constant, trees)), F.lit(start), lambda sum, tree: sum + walk(tree))
         return 1 / (1 + F.exp(-total))
 
 
@@ -372,7 +396,7 @@ def train(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS) ->
         for r in own:
             n, right = n + r["n"], right + r["right"]
             if right + PRIOR * PRIOR_RIGHT >= PRECISION * (n + PRIOR):
-                model.thresholds[kind] = r["score"]
+                model.thresholds[kind] = max(r["score"], 0.5)  # and more likely right than not
     return model
 
 
@@ -409,7 +433,9 @@ def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def accepted(name: str) -> Column:
         kind = WIDE[int(name.removeprefix("__wide_"))][0]
         fits = F.filter(F.col(name), lambda s: _plausible(kind, s["value"]))
-        scored = F.transform(fits, lambda s: as_span(kind, s, model.score(_features(kind, s))))
+        # Features first, as values of their own: the trees name them many times.
+        known = F.transform(fits, lambda s: F.struct(s.alias("s"), _features(kind, s).alias("f")))
+        scored = F.transform(known, lambda x: as_span(kind, x["s"], model.score(x["f"])))
         return F.filter(scored, lambda s: F.round(s["score"], 3) >= model.thresholds[kind])
 
     ready = ready.withColumn("__base", F.array_sort(F.concat(*map(valid, KINDS))))
