@@ -20,6 +20,7 @@ from clozemill.schemas import (
     SQUAD_SCHEMA,
     TRAINING_SUMMARY_SCHEMA,
 )
+from clozemill.sources.csv_rows import read_rows
 
 
 def _as_list(paths: str | list[str]) -> list[str]:
@@ -94,19 +95,10 @@ def read_csv_corpus(
 
     A plain cell in ``answers`` is no answer, so such a corpus normalises to
     nothing; ``answers_json`` parses the cell as a struct of lists instead. A
-    malformed row or cell fails the job. Cells may hold line breaks, so each
-    file is read by one task.
+    malformed row or cell fails the job. Cells may hold line breaks, and a file
+    is read by as many tasks as it has splits all the same (see ``csv_rows``).
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "FAILFAST")
-    )
-    if schema is not None:
-        reader = reader.schema(schema)
-    corpus = number_rows([reader.csv(path) for path in _as_list(data_files)])
+    corpus = read_rows(spark, _as_list(data_files), schema)
     if answers_json and "answers" in corpus.columns:
         parsed = F.from_json("answers", SQUAD_SCHEMA["answers"].dataType, {"mode": "FAILFAST"})
         corpus = corpus.withColumn("answers", parsed)
