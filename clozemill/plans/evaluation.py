@@ -12,7 +12,7 @@ from clozemill.operators.metrics import isolated_text_metrics
 from clozemill.operators.questions import Generator, batch_generate
 from clozemill.operators.runs import human_eval_sheet, run_summary
 from clozemill.sources.readers import load_corpora
-from clozemill.sources.sinks import write_csv, write_jsonl, write_markdown, write_record
+from clozemill.sources.sinks import write_csv, write_jsonl, write_markdown, write_one_csv, write_record
 
 #: From texts to the token vectors of each.
 Encoder = Callable[[list[str]], list[list[list[float]]]]
@@ -82,9 +82,12 @@ def encoded(pairs: DataFrame, make_encoder: Callable[[], Encoder]) -> DataFrame:
 
 
 def rating_sheet(spark: SparkSession, predictions: str, output_csv: str) -> DataFrame:
-    """Written predictions as a sheet with blank rating columns, saved as CSV."""
+    """Written predictions as a sheet with blank rating columns, saved as CSV in the order of their rows."""
     sheet = human_eval_sheet(spark.read.json(predictions))
-    write_csv(sheet, output_csv)
+    if order := tuple(c for c in ("spec_pos", "row_idx") if c in sheet.columns):
+        write_one_csv(sheet, output_csv, order, tuple(sheet.columns))
+    else:
+        write_csv(sheet, output_csv)
     return sheet
 
 
@@ -98,7 +101,6 @@ def summarize_runs(
 ) -> DataFrame:
     """The research summary of many runs, as CSV and Markdown."""
     summary = run_summary(experiments, configs, metrics, summaries)
-    ordered = summary.orderBy("group_pos", "pos")
-    write_csv(ordered.drop("group_pos", "pos"), output_csv)
+    write_one_csv(summary, output_csv, ("group_pos", "pos"))
     write_markdown(summary, output_md)
     return summary
