@@ -80,3 +80,28 @@ GENERATION_DEFAULTS = {
 }
 DEFAULT_PATIENCE = 2
 LABEL_PAD = -100
+
+# --- stems: the public suffix rules of 1980 with their customary extensions ----
+# (ending, what replaces it); the first ending that fits decides.
+STEM_PLURALS = (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", ""))
+STEM_REPAIRS = (("at", "ate"), ("bl", "ble"), ("iz", "ize"))
+STEM_DOUBLE = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
+    ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
+    ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+    ("fulli", "ful"), ("logi", "log"),
+)
+STEM_SINGLE = (
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
+)
+STEM_LAST = (
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism",
+    "ate", "iti", "ous", "ive", "ize",
+)
+STEM_IRREGULAR = {
+    "skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+    "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+    "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed",
+    "exceed": "exceed", "succeed": "succeed",
+}

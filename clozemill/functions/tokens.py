@@ -32,14 +32,16 @@ def tokens_13a(c: Column) -> Column:
     return collapse_whitespace(line)
 
 
+ROUGE_CLASSES = {"ascii": "[^a-z0-9]+", "unicode": r"[^\p{L}\p{N}]+"}
+
+
 def rouge_tokens(c: Column, tokenizer: str = "ascii") -> Column:
     """Lower-cased letters and digits.
 
     ``ascii`` is the usual definition and erases Cyrillic; ``unicode`` keeps the
     letters and digits of every script.
     """
-    classes = {"ascii": "[^a-z0-9]+", "unicode": r"[^\p{L}\p{N}]+"}
-    return F.trim(F.regexp_replace(F.lower(c), classes[tokenizer], " "))
+    return F.trim(F.regexp_replace(F.lower(c), ROUGE_CLASSES[tokenizer], " "))
 
 
 def word_tokens(c: Column) -> Column:

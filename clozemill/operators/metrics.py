@@ -15,7 +15,6 @@ from clozemill.functions import tokens
 from clozemill.functions.overlap import (
     clipped_matches,
     lcs_length,
-    synonym_alignment,
     union_lcs_hits,
     word_alignment,
 )
@@ -82,7 +81,7 @@ def _token_columns(metrics: tuple[str, ...], tokenizer: str) -> dict[str, Column
     return columns
 
 
-def _overlap_columns(metrics: tuple[str, ...], with_synonyms: bool) -> dict[str, Column]:
+def _overlap_columns(metrics: tuple[str, ...], with_synonyms: bool, stems: bool) -> dict[str, Column]:
     columns: dict[str, Column] = {}
     if "sacrebleu" in metrics:
         columns["bleu_m"] = clipped_matches(F.col("bleu_p"), F.col("bleu_r"), ORDERS)
@@ -93,10 +92,8 @@ def _overlap_columns(metrics: tuple[str, ...], with_synonyms: bool) -> dict[str,
     if "rougeLsum" in metrics:
         columns["hits"] = union_lcs_hits(F.col("lines_p"), F.col("lines_r"))
     if "meteor" in metrics:
-        words = (F.col("words_p"), F.col("words_r"))
-        columns["align"] = (
-            synonym_alignment(*words, F.col("synonyms")) if with_synonyms else word_alignment(*words)
-        )
+        known = F.col("synonyms") if with_synonyms else None
+        columns["align"] = word_alignment(F.col("words_p"), F.col("words_r"), known, stems)
     return columns
 
 
@@ -124,6 +121,18 @@ def _with_synonyms(counted: DataFrame, synonyms: DataFrame) -> DataFrame:
     return counted.join(found, "__texts", "left").drop("__texts")
 
 
+def _check_options(
+    metrics: tuple[str, ...] = TEXT_METRICS, tokenizer: str = "ascii", synonyms: DataFrame | None = None, **_
+) -> None:
+    """A wrong option is the caller's error, not one of the texts."""
+    if unknown := set(metrics) - set(TEXT_METRICS):
+        raise ValueError(f"Unknown metrics: {sorted(unknown)}")
+    if tokenizer not in tokens.ROUGE_CLASSES:
+        raise ValueError(f"Unknown tokenizer {tokenizer!r}: not one of {sorted(tokens.ROUGE_CLASSES)}")
+    if synonyms is not None and not {"word", "synonym"} <= set(synonyms.columns):
+        raise ValueError("Synonyms are a table with the columns word and synonym")
+
+
 def _score_columns(metrics: tuple[str, ...], guarded: bool) -> dict[str, Column]:
     def value(name: str, kind: str, alone: bool = True) -> Column:
         """The outcome of a pair; an error fails the job unless its family is guarded."""
@@ -171,21 +180,21 @@ def pair_scores(
     tokenizer: str = "ascii",
     synonyms: DataFrame | None = None,
     guarded: bool = False,
+    stems: bool = False,
 ) -> DataFrame:
     """Per pair: the ``by`` columns and the score (for BLEU: the counts) of each metric.
 
-    ``synonyms`` is a table (word, synonym) for METEOR. With ``guarded``, what
-    fails in a pair's ROUGE or METEOR is kept as text in a column per family.
+    ``synonyms`` is a table (word, synonym) for METEOR; ``stems`` lets it match
+    words of one stem before that. With ``guarded``, what fails in a pair's
+    ROUGE or METEOR is kept as text in a column per family.
     """
-    unknown = set(metrics) - set(TEXT_METRICS)
-    if unknown:
-        raise ValueError(f"Unknown metrics: {sorted(unknown)}")
+    _check_options(metrics, tokenizer, synonyms)
     text = _token_columns(metrics, tokenizer)
     counted = pairs.select(*by, *[c.alias(n) for n, c in text.items()])
     use_synonyms = synonyms is not None and "meteor" in metrics
     if use_synonyms:
         counted = _with_synonyms(counted, synonyms)
-    overlaps = _overlap_columns(metrics, use_synonyms)
+    overlaps = _overlap_columns(metrics, use_synonyms, stems)
     counted = counted.select("*", *[c.alias(n) for n, c in overlaps.items()])
     errors = {}
     if guarded:
@@ -236,13 +245,14 @@ def compute_text_metrics(
     tokenizer: str = "ascii",
     synonyms: DataFrame | None = None,
     guarded: bool = False,
+    stems: bool = False,
 ) -> DataFrame:
     """One row per group: num_examples and every metric, in one pass over the pairs.
 
     With ``guarded`` a group in which a family failed has its error text and no
     scores of that family.
     """
-    scores = pair_scores(pairs, by, metrics, tokenizer, synonyms, guarded)
+    scores = pair_scores(pairs, by, metrics, tokenizer, synonyms, guarded, stems)
     bleu = "sacrebleu" in metrics
     means = [m for m in metrics if m != "sacrebleu"]
     grouped = scores.groupBy(*by).agg(
@@ -282,6 +292,13 @@ def meteor_exact(
     return compute_text_metrics(pairs, by, ("meteor",), synonyms=synonyms)
 
 
+def meteor_stems(
+    pairs: DataFrame, by: tuple[str, ...] = (), synonyms: DataFrame | None = None
+) -> DataFrame:
+    """METEOR with all its stages: equal words, words of one stem, synonyms."""
+    return compute_text_metrics(pairs, by, ("meteor",), synonyms=synonyms, stems=True)
+
+
 def isolated_text_metrics(
     pairs: DataFrame,
     by: tuple[str, ...] = (),
@@ -291,10 +308,13 @@ def isolated_text_metrics(
     """The full record of scores; a failing family leaves its error text instead.
 
     One pass over the pairs. A family fails alone both when its plan cannot be
-    built and when a pair breaks it; BLEU is not guarded. ``token_vectors`` (see
-    ``embedding_match``, with the ``by`` columns) adds bertscore_f1 by a join of
-    one row per group.
+    built and when a pair breaks it; BLEU is not guarded, and a wrong option is
+    raised at once. ``token_vectors`` (see ``embedding_match``, with the ``by``
+    columns) adds bertscore_f1 by a join of one row per group.
     """
+    _check_options(**options)
+    if unknown := set(options) - {"tokenizer", "synonyms", "stems"}:
+        raise TypeError(f"Unknown options: {sorted(unknown)}")
     metrics, failed = ["sacrebleu"], {}
     for error, names, _ in FAMILIES:
         try:

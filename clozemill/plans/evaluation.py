@@ -60,7 +60,7 @@ def evaluate_corpus(
         F.col("reference_question").alias("reference"),
     )
     vectors = encoded(pairs, make_encoder) if make_encoder else None
-    metrics = isolated_text_metrics(pairs.drop("pair_id"), token_vectors=vectors)
+    metrics = isolated_text_metrics(pairs.drop("pair_id"), token_vectors=vectors, stems=True)
     write_record(metrics, f"{out}/metrics")
     return spark.read.schema(metrics.schema).json(f"{out}/metrics")
 
