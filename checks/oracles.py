@@ -431,6 +431,95 @@ meteor_pairs as (
   from words w left join counts n on n.{key} = w.{key})"""
 
 
+def _stems(words: str) -> str:
+    """From the table ``words`` (word) a table ``stems`` (word, stem): one step after another."""
+
+    def rest(n: int) -> str:
+        return f"left(w, length(w) - {n})"
+
+    def measure(n: int) -> str:
+        shape = f"left(sh, length(w) - {n})"
+        return f"(length({shape}) - length(replace({shape}, '01', ''))) // 2"
+
+    def short(n: int) -> str:
+        shape = f"left(sh, length(w) - {n})"
+        return f"({shape} = '01' or {shape} like '%101' and substr(w, length(w) - {n}, 1) not in ('w', 'x', 'y'))"
+
+    def rules(pairs, least: int | None, more=lambda ending: "") -> str:
+        cases = ""
+        for ending, new in pairs:
+            kept = 1 if ending == "logi" else len(ending)  # it is measured with its "log"
+            fits = "true" if least is None else f"{measure(kept)} > {least}"
+            cases += f" when w like '%{ending}' then case when {fits}{more(ending)} then {rest(len(ending))} || '{new}' else w end"
+        return f"case{cases} else w end"
+
+    def ion(ending: str) -> str:
+        return " and substr(w, length(w) - 3, 1) in ('s', 't')" if ending == "ion" else ""
+
+    repaired = " or ".join(f"w like '%{old}'" for old, _ in fv.STEM_REPAIRS)
+    steps = [
+        f"case when length(w) = 4 and w like '%ies' then {rest(1)} else {rules(fv.STEM_PLURALS, None)} end",
+        f"""case when w like '%ied' then case when length(w) = 4 then {rest(1)} else {rest(2)} end
+          when w like '%eed' then case when {measure(3)} > 0 then {rest(1)} else w end
+          when w like '%ed' and contains(left(sh, length(w) - 2), '0') then chr(1) || {rest(2)}
+          when w like '%ing' and contains(left(sh, length(w) - 3), '0') then chr(1) || {rest(3)} else w end""",
+        f"""case when not cut then w when {repaired} then w || 'e'
+          when right(w, 1) = substr(w, length(w) - 1, 1) and length(w) > 1 and right(sh, 1) = '1'
+            then case when right(w, 1) in ('l', 's', 'z') then w else {rest(1)} end
+          when {measure(0)} = 1 and {short(0)} then w || 'e' else w end""",
+        f"case when length(w) > 2 and w like '%y' and substr(sh, length(w) - 1, 1) = '1' then {rest(1)} || 'i' else w end",
+        f"case when w like '%alli' and {measure(4)} > 0 then {rest(2)} else w end",
+        rules(fv.STEM_DOUBLE, 0),
+        rules(fv.STEM_SINGLE, 0),
+        rules([(e, "") for e in fv.STEM_LAST], 1, ion),
+        f"case when w like '%e' and ({measure(1)} > 1 or {measure(1)} = 1 and not {short(1)}) then {rest(1)} else w end",
+        f"case when w like '%ll' and {measure(1)} > 1 then {rest(1)} else w end",
+    ]
+    shape = (
+        "list_reduce(list_prepend('', string_split(w, '')), lambda s, c: s || case when c in ('a', 'e', 'i', 'o', 'u') "
+        "or c = 'y' and right(s, 1) = '1' then '0' else '1' end)"
+    )
+    chain = f"select word, word as w from {words} where length(word) > 2"
+    for step in steps:
+        chain = f"""select word, {step} as w from (
+  select *, {shape} as sh from (
+  select word, starts_with(w, chr(1)) as cut, ltrim(w, chr(1)) as w from ({chain})))"""
+    known = " ".join(f"when '{word}' then '{stem}'" for word, stem in fv.STEM_IRREGULAR.items())
+    return f"""
+stems as (
+  select a.word, case a.word {known} else coalesce(c.w, a.word) end as stem
+  from {words} a left join ({chain}) c on c.word = a.word)"""
+
+
+def _tokens(c: str) -> str:
+    pattern = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_" + _WS[1:]
+    return f"regexp_extract_all(lower({c}), '{pattern}')"
+
+
+def _meteor_by_stems() -> str:
+    """The exact pairs, then the words left over by their rank among those of one stem."""
+    exact = _meteor("v_pairs", "pair_id", "lang")
+    head, tail = exact.split("aligned as (", 1)
+    return head + "exact as (" + tail.replace("steps as (", f"""every as (
+  select distinct t as word from (select t from pw union all select t from rw)),{_stems("every")},
+lp as (
+  select p.pair_id, p.i, s.stem, row_number() over (partition by p.pair_id, s.stem order by p.i desc) as k
+  from pw p join stems s on s.word = p.t anti join exact e on e.pair_id = p.pair_id and e.i = p.i),
+lr as (
+  select r.pair_id, r.j, s.stem, row_number() over (partition by r.pair_id, s.stem order by r.j desc) as k
+  from rw r join stems s on s.word = r.t anti join exact e on e.pair_id = r.pair_id and e.j = r.j),
+aligned as (
+  select pair_id, i, j from exact
+  union all select lp.pair_id, lp.i, lr.j from lp join lr
+    on lr.pair_id = lp.pair_id and lr.stem = lp.stem and lr.k = lp.k),
+steps as (""", 1)
+
+
+def _cell(c: str) -> str:
+    text = f"coalesce({c}::varchar, '')"
+    return f"""case when regexp_matches({text}, '[",\n\r]') then '"' || replace({text}, '"', '""') || '"' else {text} end"""
+
+
 # --- runs --------------------------------------------------------------------
 
 _PICKED = duck_with("v_experiments", "v_configs", "v_run_metrics", "v_summaries") + """,
@@ -601,6 +690,12 @@ select lang, count(*) as num_examples, round(avg(rouge1), 6) as rouge1, round(av
     "meteor_exact": duck_with("v_pairs") + "," + _meteor("v_pairs", "pair_id", "lang") + """
 select lang, count(*) as num_examples, round(avg(meteor), 6) as meteor
 from meteor_pairs group by 1""",
+    "meteor_stems": duck_with("v_pairs") + "," + _meteor_by_stems() + """
+select lang, count(*) as num_examples, round(avg(meteor), 6) as meteor
+from meteor_pairs group by 1""",
+    "word_stems": duck_with("v_texts") + f""",
+every as (select distinct unnest({_tokens('text')}) as word from v_texts),{_stems("every")}
+select word, stem from stems""",
     "embedding_match_f1": duck_with("v_token_vectors") + """,
 met as (
   select p.pair_id, p.pos as i, r.pos as j,
@@ -651,6 +746,10 @@ select group_pos, pos, '| ' || concat_ws(' | ', id, scenario, model_name, train_
   sacrebleu, "rougeL", meteor, bertscore_f1, best_val_loss) || ' |' as value from cells
 union all select -1, 0, '| id | scenario | model_name | train_language | eval_language | sacrebleu | rougeL | meteor | bertscore_f1 | best_val_loss |'
 union all select -1, 1, '| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |'""",
+    "csv_lines": f"""
+select true as is_row, doc_id, concat_ws(',', {_cell('doc_id')}, {_cell('lang')}, {_cell('source')},
+  {_cell('n_chars')}, {_cell('text')}) as value from documents
+union all select false, null, chr(65279) || 'doc_id,lang,source,n_chars,text'""",
     "format_metric": """
 select l_orderkey, l_linenumber,
   printf('%.4f', (l_extendedprice * l_discount - 100) / 64) as formatted from lineitem""",

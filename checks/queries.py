@@ -14,7 +14,7 @@ import checks
 import clozemill
 from checks.views import view
 from clozemill import fixed_values as fv
-from clozemill.functions import formats, questions, text
+from clozemill.functions import formats, questions, stems, text, tokens
 from clozemill.operators import (
     answers,
     batches,
@@ -363,6 +363,18 @@ def meteor_exact(spark, sf_dir):
     return _rounded(metrics.meteor_exact(_pairs(spark, sf_dir), ("lang",)), "meteor")
 
 
+@query
+def meteor_stems(spark, sf_dir):
+    return _rounded(metrics.meteor_stems(_pairs(spark, sf_dir), ("lang",)), "meteor")
+
+
+@query
+def word_stems(spark, sf_dir):
+    words = F.explode(F.split(tokens.word_tokens(F.col("text")), " ")).alias("word")
+    distinct = _texts(spark, sf_dir).select(words).where("word <> ''").distinct()
+    return distinct.select("word", stems.stem("word").alias("stem"))
+
+
 @query
 def embedding_match_f1(spark, sf_dir):
     return _rounded(vectors.embedding_match(view(spark, sf_dir, "v_token_vectors")))
@@ -420,6 +432,13 @@ def markdown_lines(spark, sf_dir):
     return sinks.markdown_lines(_summary(spark, sf_dir))
 
 
+@query
+def csv_lines(spark, sf_dir):
+    """Whole documents as the lines of one CSV file."""
+    docs = view(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    return sinks.csv_lines(docs, ("doc_id",), tuple(docs.columns))
+
+
 @query
 def format_metric(spark, sf_dir):
     number = (F.col("l_extendedprice") * F.col("l_discount") - 100) / 64
