@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,3 +64,12 @@ def test_fractional_numbers_read_as_in_python(spark):
     df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
     got = {r.i: r.t for r in df.select("i", text.falsy_to_empty(F.col("v"), T.DoubleType()).alias("t")).collect()}
     assert [got[i] for i in range(len(values))] == [str(v or "") for v in values]
+
+
+def test_number_rendering_stays_small_enough_to_be_compiled(spark):
+    # The JVM only ever interprets a method of more than 8000 bytes.
+    rows = spark.range(3).select(F.col("id").cast("double").alias("v"))
+    shown = rows.select(*[text.falsy_to_empty(F.col("v") * k, T.DoubleType()).alias(f"c{k}") for k in (1, 2, 3)])
+    debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+    code = getattr(debug, "MODULE$").codegenString(shown._jdf.queryExecution().executedPlan())
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
