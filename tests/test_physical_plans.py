@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from checks.queries import QUERIES
 from checks.views import view
+from clozemill import fixed_values as fv
+from clozemill.functions.questions import template_question
 from clozemill.functions.text import normalize_text
 from clozemill.operators import answers, corpus, metrics
 from clozemill.plans.text_to_questions import text_to_questions
@@ -30,6 +32,25 @@ def test_documents_without_answers_need_no_join(spark):
     assert "Join" not in text and "Exchange" not in text and " Filter " not in text
 
 
+def test_the_search_for_an_answer_can_stop(spark):
+    text = plan(answers.documents_without_answers(view(spark, SF, "documents")))
+    assert "exists(sentences" in text and "flatten(" not in text
+    rows = [(1, "он и она."), (2, "он. 50%x"), (3, None), (4, ""), (5, "к 5. " * 9 + "Слово"), (6, "a" * 91)]
+    found = answers.documents_without_answers(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in found.collect()) == [1, 4, 6]
+
+
+def test_a_cloze_question_needs_no_pattern(spark):
+    rows = [("Кит", "keyword", "\u2003Кит плыл?!. \n"), ("Кит", "keyword", "..Кит!"), ("?!", "keyword", "?!"), ("ООН", "abbreviation", None), ("!", "quoted", " . ! ")]
+    df = spark.createDataFrame(rows, "a string, k string, s string")
+    asked = df.select(template_question(F.col("a"), F.col("k"), F.col("s")).alias("q"))
+    assert "regexp" not in plan(asked).lower() and "rlike" not in plan(asked).lower()
+    fact, bare = fv.QUESTION_TEXTS["other"]
+    assert [r.q for r in asked.collect()] == [
+        f"{fact}_____ плыл?", f"{fact}.._____?", f"{fact}_____?", "Что обозначает ООН?", f"{fact}. _____?",
+    ]
+
+
 def test_a_score_shuffles_only_group_sums(spark):
     text = plan(metrics.compute_text_metrics(view(spark, SF, "v_pairs"), ("lang",)))
     assert text.count("Exchange") == 1 and "partial_sum" in text
