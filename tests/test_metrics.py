@@ -2,10 +2,13 @@
 
 import math
 import random
+from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from clozemill.functions import overlap, tokens
 from clozemill.operators import metrics, vectors
@@ -254,3 +257,24 @@ def test_isolation_without_checkpoints_and_with_null_groups(spark, monkeypatch):
     with pytest.raises(Exception, match="no length"):
         metrics.rouge_l(pairs).collect()
 
+
+
+def test_common_grams_against_counters():
+    rng = random.Random(5)
+    for _ in range(300):
+        x, y = (rng.choices("abcdé", k=rng.randint(0, 12)) for _ in range(2))
+        want = []
+        for n in (1, 2, 3, 4):
+            a, b = (Counter(zip(*[side[k:] for k in range(n)], strict=False)) for side in (x, y))
+            want.append(sum((a & b).values()))
+        assert overlap._common_grams(x, y, (1, 2, 3, 4)) == want
+        assert overlap._common_grams(x, y, (2,)) == want[1:2]
+
+
+def test_overlaps_hold_no_batch_of_python_texts():
+    """Texts stay Arrow's; a pandas column would hold a batch of them a second time."""
+    used = [overlap.lcs_length, overlap.union_lcs_hits]
+    assert {f.evalType for f in used} == {PythonEvalType.SQL_SCALAR_ARROW_UDF}
+    whole = pa.array(["a b"] * 3)
+    got = overlap.lcs_length.func(whole, pa.array(["a", "b c", ""]))
+    assert got.to_pylist() == [{"value": n, "error": None} for n in (1, 1, 0)]
