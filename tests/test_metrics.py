@@ -168,6 +168,20 @@ def test_many_lines_that_share_little():
     assert overlap._union_lcs_hits("\n".join(lines), "\n".join(reversed(lines))) == 4000
 
 
+def test_lines_are_compared_only_while_hits_are_left(monkeypatch):
+    calls = []
+    trace = overlap._lcs_positions
+    monkeypatch.setattr(overlap, "_lcs_positions", lambda x, line: calls.append(1) or trace(x, line))
+    rng = random.Random(10)
+    lines = [" ".join(rng.choices([f"w{i}" for i in range(50)], k=30)) for _ in range(60)]
+    kept = "\n".join(line for i, line in enumerate(lines) if i % 3 != 1)
+    assert overlap._union_lcs_hits(kept, "\n".join(lines)) == 40 * 30
+    assert not calls
+    changed = kept.replace("w7", "v7")
+    assert overlap._union_lcs_hits(changed, "\n".join(lines)) == plain_union_hits(changed, "\n".join(lines))
+    assert len(calls) < 60 * 40 / 2
+
+
 def test_long_texts_are_scored_whole(spark):
     rng = random.Random(5)
     x, y = rng.choices("abcdefgh", k=3000), rng.choices("abcdefgh", k=2500)
